@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_fst, fingerprints, simhash
+from . import bpe_fst, fingerprints, pii_fpe, raking, simhash
 from .common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,10 +27,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_fpe.pseudonymise(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_pseudonyms")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.mix(read(spark, sf_dir, "documents")).drop("text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash": op7_simhash,
+    "op8_pseudonyms": op8_pseudonyms,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
