@@ -8,12 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_fst, fingerprints, pii_fpe, raking, simhash, toxicity
+from . import bpe_fst, chroma, fingerprints, html_extract, pii_fpe, raking, simhash, toxicity, url_rules
 from .common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    mined = url_rules.mine(url_rules.labelled(pages, read(spark, sf_dir, "labels")))
+    return url_rules.judge(pages.select("page_id", "url"), mined).drop("url")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -38,16 +48,25 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_fpe.pseudonymise(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_pseudonyms")
 
 
+def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no recordings: each embedding is played as one (``chroma.sonified``)."""
+    media = read(spark, sf_dir, "embeddings")
+    return chroma.align(chroma.with_items(media, "embedding", decode=chroma.sonified, keep=["vec_id"]))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.mix(read(spark, sf_dir, "documents")).drop("text", "n_chars")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
+    "op2_url_rules": op2_url_rules,
     "op4_toxicity": op4_toxicity,
     "op5_fingerprints": op5_fingerprints,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash": op7_simhash,
     "op8_pseudonyms": op8_pseudonyms,
+    "op9_chroma": op9_chroma,
     "op10_mixing": op10_mixing,
 }
 
