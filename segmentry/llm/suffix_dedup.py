@@ -3,7 +3,7 @@
 A byte goes if a string of ``LENGTH`` = 200 bytes that covers it starts anywhere else too. The suffixes, cut to 200 bytes,
 are sorted one bucket at a time, so no task holds more than a few buckets:
 
-1. Buckets. A 200-byte string's bucket is its least hashed 64-byte gram (leftmost of equals) and that gram's place in it,
+1. Buckets. A 200-byte string's bucket is its least hashed 32-byte gram (leftmost of equals) and that gram's place in it,
    so equal strings share a bucket, whatever document they are in. Neighbouring strings of a document with the same gram
    travel as one stretch of text.
 2. Only grams that occur twice matter. Their counts are summed before the shuffle; all other stretches stay where they are.
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import with_arrow
 
 LENGTH = 200
-GRAM = 64
+GRAM = 32
 GRAMS = LENGTH - GRAM + 1
 #: Grams that occur more often are cut into 8 or 64 parts.
 OFTEN, VERY_OFTEN = 64, 2048
@@ -50,7 +50,7 @@ def cover_steps(period: int = PERIOD, cover: tuple[int, ...] = COVER) -> np.ndar
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of the 64-byte grams at each place, by doubling."""
+    """Hashes of the grams at each place, by doubling."""
     h = data.astype(np.uint64)
     h += np.uint64(0x9E3779B97F4A7C15)
     step = 1
@@ -118,7 +118,7 @@ def _buffer(held: list[bytes]):
 
 
 def _places(batches):
-    """(id, tk, text) to one row for each stretch: id, tk, begin, strings, place, gram."""
+    """(id, tk, text) to one row for each stretch: id, tk, where (begin, strings and place in one number), gram."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -129,8 +129,14 @@ def _places(batches):
                 continue
             text, begin, strings, place, gram = stretches(data, starts[full], ends[full])
             row = pa.array(full[text] + first)
-            arrays = [batch.column(0).take(row), batch.column(1).take(row), *(pa.array(a.astype(np.int32)) for a in (begin, strings, place)), pa.array(gram)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "tk", "begin", "strings", "place", "gram"])
+            arrays = [batch.column(0).take(row), batch.column(1).take(row), pa.array(begin << 16 | strings << 8 | place), pa.array(gram)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "tk", "where", "gram"])
+
+
+def _grams(batches):
+    """Only the grams, for counting."""
+    for batch in _places(batches):
+        yield batch.select(["gram"])
 
 
 def _cut(batches):
@@ -142,8 +148,8 @@ def _cut(batches):
         seen: dict[bytes, int] = {}
         size = 0
         for doc, tk, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            for s in {(w["begin"], w["strings"], w["place"], w["parts"]) for w in wanted}:
-                begin, strings, place, parts = s
+            for where, parts in {(w["where"], w["parts"]) for w in wanted}:
+                begin, strings, place = where >> 16, where >> 8 & 255, where & 255
                 anchor = begin + place
                 width = -(-GRAMS // parts)
                 # string j of the stretch has the gram at place - j; parts are intervals of that place
@@ -274,12 +280,13 @@ def without(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
     """What is left, how many bytes went, and in how many runs."""
     if not spans:
         return text, 0, 0
-    step = np.zeros(len(text) + 1, dtype=np.int32)
+    begins = np.zeros(len(text) + 1, dtype=np.int32)
     for s in spans:
-        at = np.flatnonzero(np.unpackbits(np.frombuffer(s["mask"], dtype=np.uint8), count=s["strings"])) + s["begin"]
-        np.add.at(step, at, 1)
-        np.add.at(step, at + LENGTH, -1)
-    gone = np.cumsum(step[:-1]) > 0
+        n = s["strings"]
+        begins[s["begin"] + 1 : s["begin"] + 1 + n] |= np.unpackbits(np.frombuffer(s["mask"], dtype=np.uint8), count=n)
+    begun = np.cumsum(begins, dtype=np.int32)
+    # a byte is covered if a repeated string began at it or at one of the LENGTH - 1 places before
+    gone = begun[1:] > np.concatenate([np.zeros(LENGTH - 1, dtype=np.int32), begun])[: len(text)]
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
     return np.frombuffer(text, dtype=np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
@@ -287,10 +294,10 @@ def without(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
 def find_repeats(docs: DataFrame) -> DataFrame:
     """From (id, tk, bytes): (id, tk, spans), an array of (begin, strings, mask) for each text with repeated strings."""
     read = docs.select("id", "tk", "bytes")
-    shape = "id long, tk long, begin int, strings int, place int, gram long"
-    grams = read.mapInArrow(_places, shape).groupBy("gram").count().where("count > 1")
+    shape = "id long, tk long, where long, gram long"
+    grams = read.mapInArrow(_grams, "gram long").groupBy("gram").count().where("count > 1")
     parts = F.when(F.col("count") > VERY_OFTEN, 64).when(F.col("count") > OFTEN, 8).otherwise(1).alias("parts")
-    wanted = read.mapInArrow(_places, shape).join(grams, "gram").select("id", "tk", F.struct("begin", "strings", "place", parts).alias("w"))
+    wanted = read.mapInArrow(_places, shape).join(grams, "gram").select("id", "tk", F.struct("where", parts).alias("w"))
     lists = wanted.groupBy("id", "tk").agg(F.collect_list("w").alias("wanted"))
     cut_shape = "ident binary, key long, place int, id long, tk long, begin int, strings int, number long, bytes binary"
     cut = docs.join(lists, (docs.id.eqNullSafe(lists.id)) & (docs.tk == lists.tk)).select(docs.id, docs.tk, "bytes", "wanted").mapInArrow(_cut, cut_shape)
@@ -308,8 +315,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def start():
         def run(texts, spans):
-            made = [without(t, s or []) for t, s in zip(texts.to_pylist(), spans.to_pylist())]
-            return [[m[0] for m in made], [len(t) for t in texts.to_pylist()], [m[1] for m in made], [m[2] for m in made], [hashlib.sha256(m[0]).hexdigest() for m in made]]
+            whole = texts.to_pylist()
+            made = [without(t, s or []) for t, s in zip(whole, spans.to_pylist())]
+            return [[m[0] for m in made], [len(t) for t in whole], [m[1] for m in made], [m[2] for m in made], [hashlib.sha256(m[0]).hexdigest() for m in made]]
 
         return run
 
