@@ -134,9 +134,13 @@ def _hits(reps: DataFrame) -> DataFrame:
     lists = reps.select("rep", "items")
     left, found = places.select("rep", "asked", "pos"), []
     for level, length in enumerate(STRETCHES):
-        stretch = F.xxhash64(F.slice("items", F.col("pos") + 1, F.lit(length)))
-        keyed = left.join(lists, "rep").where(F.size("items") >= F.col("pos") + length).select("rep", "asked", "pos", stretch.alias("key")) if level else places.select("rep", "asked", "pos", F.xxhash64("item").alias("key"))
-        keyed = durable(keyed)
+        if level:
+            stretch = F.xxhash64(F.slice("items", F.col("pos") + 1, F.lit(length)))
+            keyed = left.join(lists, "rep").where(F.size("items") >= F.col("pos") + length).select("rep", "asked", "pos", stretch.alias("key"))
+        else:
+            keyed = places.select("rep", "asked", "pos", F.col("item").cast("long").alias("key"))
+        # only what a query holds can be hit
+        keyed = durable(keyed.join(keyed.where("asked").select("key").distinct(), "key", "left_semi"))
         holders = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "pos")).alias("first"))
         few = keyed.join(holders.where(f"n between 2 and {MOST_HOLDERS}").select("key"), "key")
         asked = few.where("asked").select("key", F.col("rep").alias("query"), F.col("pos").alias("at"))
