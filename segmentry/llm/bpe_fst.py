@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import texts, with_arrow
 
 MAX_STATES = 20_000
-MAX_KNOWN = 250_000
+MAX_KNOWN = 330_000
 MAX_PAIRS = 600_000
 #: Longer stretches are encoded each time and not remembered.
 LONGEST_PIECE = 64
@@ -173,40 +173,44 @@ class Transducer:
         There is one accepting path, so the order of the search does not matter; (position, last token) pairs that led
         nowhere are not tried again.
         """
-        grows, follows, end = self.grows.get, self.follows, len(data)
+        grows, pairs, follows, end = self.grows.get, self.pairs, self.follows, len(data)
         path: list[int] = []
-        ends = [0]
-        choices: list[list[int]] = []
+        ends: list[int] = []
+        choices: list[list[tuple[int, int]]] = []
         dead: set[tuple[int, int]] = set()
-        at, last = 0, -1
+        at, last, found = 0, -1, None
         while at < end:
-            if len(choices) < len(ends):
+            if found is None:
                 found = []
-                for to in range(at + 1, end + 1):
+                to = at
+                while to < end:
+                    to += 1
                     known = grows(data[at:to])
                     if known is None:
                         break
-                    if known[0] >= 0:
-                        found.append(known[0])
-                    if not known[1]:
+                    token, longer = known
+                    if token >= 0:
+                        found.append((to, token))
+                    if not longer:
                         break
-                choices.append(found)
-            found = choices[-1]
             while found:
-                token = found.pop()
-                to = at + len(self.spelled[token])
-                if (to, token) not in dead and follows(last, token):
+                pair = found.pop()
+                token = pair[1]
+                fits = pairs.get(last << 20 | token) if last >= 0 else None
+                if fits is None:
+                    fits = follows(last, token)
+                if fits and not (dead and pair in dead):
+                    ends.append(at)
+                    choices.append(found)
                     path.append(token)
-                    ends.append(to)
-                    at, last = to, token
+                    at, last, found = pair[0], token, None
                     break
             else:
                 if not path:
                     raise ValueError("bytes without a token in the vocabulary")
-                choices.pop()
-                ends.pop()
                 dead.add((at, path.pop()))
-                at, last = ends[-1], path[-1] if path else -1
+                at, found = ends.pop(), choices.pop()
+                last = path[-1] if path else -1
         return path
 
 
