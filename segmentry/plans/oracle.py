@@ -52,8 +52,9 @@ LAST_S, LAST_D = f"right({strip('s')}, 1)", f"right({strip('d')}, 1)"
 FINAL = "('.', '!', '?', '…', '。', '．', '！', '？')"
 FIRST_S, FIRST_D = f"left({strip('s')}, 1)", f"left({strip('d')}, 1)"
 SYMBOL = "[<>≤≥≠±×÷√∞‰$€£¥]"
-SYM_S, SYM_D = f"regexp_extract_all(s, '{SYMBOL}')", f"regexp_extract_all(d, '{SYMBOL}')"
-MORE = lambda a, b: f"coalesce(list_min(list_filter({a}, lambda x: len(list_filter({a}, lambda y: y = x)) > len(list_filter({b}, lambda y: y = x)))), '')"
+SIGN_LIST = "[" + ", ".join(f"'{c}'" for c in sorted(SYMBOL[1:-1])) + "]"
+SIGNS_OF = lambda a, b: f"list_filter({SIGN_LIST}, lambda x: length({a}) - length(replace({a}, x, '')) > length({b}) - length(replace({b}, x, '')))"
+MORE = lambda a, b: f"coalesce({SIGNS_OF(a, b)}[1], '')"
 ID = lambda c: f"list_filter(regexp_extract_all(translate({c}, '‑‐   ', '--   '), '[A-Za-z0-9][A-Za-z0-9./_-]*[A-Za-z0-9]'), lambda x: length(x) >= 3 and regexp_matches(x, '[A-Za-z]') and regexp_matches(x, '[0-9]'))"
 WORDS = lambda c: f"regexp_split_to_array({c}, '[^\\p{{L}}\\p{{N}}_]+')"
 CAMEL = first_distinct(f"list_filter({WORDS('s')}, lambda x: regexp_full_match(x, '[A-Za-z]*[a-z][A-Z][A-Za-z]*'))")
@@ -76,7 +77,7 @@ RULES: dict[str, tuple[str, str, str]] = {
     "urls": lists(r"(?i)(?:https?://|www\.)[^\s<>""''''"r"]+", r"regexp_replace(x, '[.,;:!?)\]}]+$', '')"),
     "emails": lists(r"[\p{L}\p{N}_.%+\-]+@[\p{L}\p{N}_.\-]+\.\p{L}{2,}"),
     "placeholders": lists(r"%[0-9]*\$?[sdifoxX]|\{\{[^{}]+\}\}|\{[A-Za-z0-9_.\-]+\}|\$\{[^}]+\}|<[A-Za-z]+/>"),
-    "symbol_mismatch": (f"list_sort({SYM_S}) <> list_sort({SYM_D})", MORE(SYM_S, SYM_D), MORE(SYM_D, SYM_S)),
+    "symbol_mismatch": (f"len({SIGNS_OF('s', 'd')}) + len({SIGNS_OF('d', 's')}) > 0", MORE("s", "d"), MORE("d", "s")),
     "alphanum_id_mismatch": (f"list_sort({ID('s')}) <> list_sort({ID('d')})", bar(only_in(ID("s"), ID("d"))), bar(only_in(ID("d"), ID("s")))),
     "camelcase_mismatch": (f"d <> '' and len({MISSING}) > 0", bar(MISSING), "''"),
     "control_characters": (f"regexp_matches(d, '{INVISIBLE}')", "''", bar(f"list_sort(list_distinct(regexp_extract_all(d, '{INVISIBLE}')))")),
