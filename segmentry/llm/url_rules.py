@@ -6,8 +6,11 @@ tokens, the same label and no less confidence already covers. Matching is by inv
 rarest token only, and a URL looks at the postings of its own tokens. Of several matches the most confident wins, then
 the one of most support, then the first by its text. Where none matches, the verdict is ``allow``.
 
-The number of rules is bounded by the supports (at most 1 / ``SUPPORT`` disjoint sets of each size) and checked against
-``MOST_RULES`` before they are sent to the tasks.
+Before mining, tokens of too little support go, tokens that occur in the same labelled URLs are one (the longest name
+stands for all), and tokens of all labelled URLs go: they could only repeat rules. The support of a rule is a share of the
+labelled URLs and at least ``LEAST_ROWS`` of them, so few labels give few rules. The tokens sent to the tasks number at
+most the tokens of a URL / ``SUPPORT``. Of more than ``MOST_RULES`` rules none is dropped at random: the support is doubled
+and mining starts again, which keeps the best supported ones.
 
 Edge cases: a null URL or one without "://" has empty host and path, no given rule and no tokens but its form, so it is
 allowed; repeated rows are judged alike; without labels there are no association rules; labels null on both sides are
@@ -28,6 +31,7 @@ from pyspark.sql import types as T
 from .common import texts, with_arrow
 
 SUPPORT = 0.005
+LEAST_ROWS = 20
 CONFIDENCE = 0.8
 MOST_RULES = 50_000
 LABEL = "\u0000"
@@ -87,21 +91,47 @@ class Mined:
         return " & ".join(sorted(self.tokens)) + " -> " + self.label
 
 
-def mine(urls: DataFrame, url: str = "url", label: str = "label", support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[Mined]:
-    """Pruned rules from labelled URLs."""
-    labelled = urls.where(F.col(label).isNotNull()).select(F.col(url).alias("_u"), F.col(label).cast("string").alias("_l"))
-    made = with_arrow(labelled, ["_u"], [T.StructField("items", T.ArrayType(T.StringType()))], lambda: lambda c: [[sorted(tokens(u)) for u in texts(c)]], keep=["_l"])
-    baskets = made.select(F.array_append("items", F.concat(F.lit(LABEL), "_l")).alias("items")).persist()
-    try:
-        if baskets.isEmpty():
-            return []
+def _representatives(items: DataFrame, rows: int, least: float) -> frozenset[str]:
+    """Of the tokens in ``least`` rows or more, but not in all, one for each set of rows they occur in."""
+    counted = (
+        items.select("_k", F.explode("items").alias("token"))
+        .groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("_k").cast("decimal(20,0)")).alias("where"))
+        .where((F.col("n") >= least) & (F.col("n") < rows))
+    )
+    # rows of equal URLs share a key and all tokens, so the sum of keys stands for the rows
+    one = counted.groupBy("n", "where").agg(F.max(F.struct(F.length("token").alias("size"), "token")).alias("longest"))
+    return frozenset(r[0] for r in one.select("longest.token").collect())
+
+
+def _frequent_rules(baskets: DataFrame, support: float, confidence: float) -> list:
+    """Rules tokens -> label; with more than ``MOST_RULES`` of them, those of twice the support, and so on."""
+    while True:
         model = FPGrowth(minSupport=support, minConfidence=confidence, itemsCol="items").fit(baskets)
         found = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL) & ~F.exists("antecedent", lambda t: t.startswith(LABEL)))
         rows = found.select("antecedent", F.substring(F.element_at("consequent", 1), 2, 1 << 20).alias("label"), "confidence", "support").limit(MOST_RULES + 1).collect()
+        if len(rows) <= MOST_RULES or support >= 1:
+            return rows
+        support = min(1.0, 2 * support)
+
+
+def mine(urls: DataFrame, url: str = "url", label: str = "label", support: float = SUPPORT, confidence: float = CONFIDENCE, least_rows: int = LEAST_ROWS) -> list[Mined]:
+    """Pruned rules from labelled URLs."""
+    labelled = urls.where(F.col(label).isNotNull()).select(F.col(url).alias("_u"), F.xxhash64(url).alias("_k"), F.col(label).cast("string").alias("_l"))
+    made = with_arrow(labelled, ["_u"], [T.StructField("items", T.ArrayType(T.StringType()))], lambda: lambda c: [[sorted(tokens(u)) for u in texts(c)]], keep=["_k", "_l"]).persist()
+    try:
+        rows = made.count()
+        support = max(support, least_rows / max(1, rows))
+        names = _representatives(made, rows, support * rows) if support <= 1 else frozenset()
+        if not names:
+            return []
+        made_of = with_arrow(made, ["items"], [T.StructField("items", T.ArrayType(T.StringType()))], lambda: lambda c: [[[t for t in x if t in names] for x in c.to_pylist()]], keep=["_l"])
+        baskets = made_of.select(F.array_append("items", F.concat(F.lit(LABEL), "_l")).alias("items")).persist()
+        try:
+            rows = _frequent_rules(baskets, support, confidence)
+        finally:
+            baskets.unpersist()
     finally:
-        baskets.unpersist()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules; ask for more support")
+        made.unpersist()
     kept: list[Mined] = []
     by_token: dict[str, list[Mined]] = {}
     for rule in sorted((Mined(frozenset(r["antecedent"]), r["label"], r["confidence"], r["support"]) for r in rows), key=lambda r: (len(r.tokens), -r.confidence, r.text)):
