@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentry.llm import bpe_fst, pii_fpe, raking, simhash, toxicity
+from segmentry.llm import bpe_fst, near_copies, pii_fpe, raking, toxicity
 from segmentry.llm.common import durable, read
 from segmentry.llm.queries import VOCABULARY
 
@@ -22,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the least id stays."""
-    found = simhash.near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
+    """Of each group of texts linked by resemblance (five words, 0.8 or more) the document with the least id stays."""
+    found = near_copies.with_group(docs, out="_group").select("doc_id", "_group")
+    stay = found.groupBy("_group").agg(F.min("doc_id").alias("_stays")).select("_stays").distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
 
 
