@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: toxicity, near-duplicates, personal data, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
-columns of ``documents``. Rows that share a doc_id share their fate; extra columns pass through to the last stage.
+columns of ``documents``. Rows of one doc_id, or of none, but of different texts are different documents; extra columns
+pass through to the last stage.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by resemblance (five words, 0.8 or more) the document with the least id stays."""
-    found = near_copies.with_group(docs, out="_group").select("doc_id", "_group")
-    stay = found.groupBy("_group").agg(F.min("doc_id").alias("_stays")).select("_stays").distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each group of texts linked by resemblance (five words, 0.8 or more) one row stays: the least id, then the least text hash."""
+    found = near_copies.with_group(docs, out="_group")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    stay = found.groupBy("_group").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("_row"))
+    return stay.select("_row.*")
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from segmentry.llm import near_copies
 
@@ -58,3 +59,14 @@ def test_stage_drops_edited_copies(spark):
         first[g] = min(first.get(g, r.doc_id), r.doc_id)
     kept = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert sorted(kept) == sorted(first.values())
+
+
+def test_stage_keeps_distinct_texts_of_equal_ids(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    long = [" ".join(f"w{rnd.randrange(500)}" for _ in range(40)) for _ in range(4)]
+    rows = [(None, long[0]), (None, long[1]), (3, long[2]), (3, long[3]), (4, long[2]), (None, long[3]), (5, long[0]), (5, long[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, long[1]), (3, long[2]), (3, long[3]), (5, long[0])])
