@@ -7,10 +7,10 @@ rarest token only, and a URL looks at the postings of its own tokens. Of several
 the one of most support, then the first by its text. Where none matches, the verdict is ``allow``.
 
 Before mining, tokens of too little support go, tokens that occur in the same labelled URLs are one (the longest name
-stands for all), and tokens of all labelled URLs go: they could only repeat rules. The support of a rule is a share of the
+stands for all in a rule's text, and a URL with any of them has it), and tokens of all labelled URLs go: they could only repeat rules. The support of a rule is a share of the
 labelled URLs and at least ``LEAST_ROWS`` of them, so few labels give few rules. The tokens sent to the tasks number at
-most the tokens of a URL / ``SUPPORT``. Of more than ``MOST_RULES`` rules none is dropped at random: the support is doubled
-and mining starts again, which keeps the best supported ones.
+most the tokens of a URL / ``SUPPORT``. Rules are pruned as they
+come from the tasks, the shortest first; none is dropped for their number.
 
 Edge cases: a null URL or one without "://" has empty host and path, no given rule and no tokens but its form, so it is
 allowed; repeated rows are judged alike; without labels there are no association rules; labels null on both sides are
@@ -33,7 +33,6 @@ from .common import texts, with_arrow
 SUPPORT = 0.005
 LEAST_ROWS = 20
 CONFIDENCE = 0.8
-MOST_RULES = 50_000
 LABEL = "\u0000"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -85,33 +84,42 @@ class Mined:
     label: str
     confidence: float
     support: float
+    #: For each token in order, all tokens that occur in the same labelled URLs; any of them will do.
+    same: tuple[tuple[str, ...], ...] = ()
+
+    def fits(self, own: set[str]) -> bool:
+        return all(not own.isdisjoint(members) for members in self.same) if self.same else self.tokens <= own
 
     @property
     def text(self) -> str:
         return " & ".join(sorted(self.tokens)) + " -> " + self.label
 
 
-def _representatives(items: DataFrame, rows: int, least: float) -> frozenset[str]:
-    """Of the tokens in ``least`` rows or more, but not in all, one for each set of rows they occur in."""
+def _representatives(items: DataFrame, rows: int, least: float) -> dict[str, tuple[str, ...]]:
+    """Of the tokens in ``least`` rows or more, but not in all, one for each set of rows they occur in: all tokens of it."""
     counted = (
         items.select("_k", F.explode("items").alias("token"))
         .groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("_k").cast("decimal(20,0)")).alias("where"))
         .where((F.col("n") >= least) & (F.col("n") < rows))
     )
     # rows of equal URLs share a key and all tokens, so the sum of keys stands for the rows
-    one = counted.groupBy("n", "where").agg(F.max(F.struct(F.length("token").alias("size"), "token")).alias("longest"))
-    return frozenset(r[0] for r in one.select("longest.token").collect())
+    one = counted.groupBy("n", "where").agg(F.max(F.struct(F.length("token").alias("size"), "token")).alias("longest"), F.sort_array(F.collect_list("token")).alias("members"))
+    return {r[0]: tuple(r[1]) for r in one.select("longest.token", "members").collect()}
 
 
-def _frequent_rules(baskets: DataFrame, support: float, confidence: float) -> list:
-    """Rules tokens -> label; with more than ``MOST_RULES`` of them, those of twice the support, and so on."""
-    while True:
-        model = FPGrowth(minSupport=support, minConfidence=confidence, itemsCol="items").fit(baskets)
-        found = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL) & ~F.exists("antecedent", lambda t: t.startswith(LABEL)))
-        rows = found.select("antecedent", F.substring(F.element_at("consequent", 1), 2, 1 << 20).alias("label"), "confidence", "support").limit(MOST_RULES + 1).collect()
-        if len(rows) <= MOST_RULES or support >= 1:
-            return rows
-        support = min(1.0, 2 * support)
+def _pruned_rules(baskets: DataFrame, support: float, confidence: float, classes: dict[str, tuple[str, ...]]) -> list[Mined]:
+    """Rules tokens -> label that no rule of fewer tokens covers. They come by size, so only those that stay are held."""
+    model = FPGrowth(minSupport=support, minConfidence=confidence, itemsCol="items").fit(baskets)
+    found = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL) & ~F.exists("antecedent", lambda t: t.startswith(LABEL)))
+    rows = found.select("antecedent", F.substring(F.element_at("consequent", 1), 2, 1 << 20).alias("label"), "confidence", "support").orderBy(F.size("antecedent"))
+    kept: list[Mined] = []
+    by_token: dict[str, list[Mined]] = {}
+    for r in rows.toLocalIterator():
+        rule = Mined(frozenset(r["antecedent"]), r["label"], r["confidence"], r["support"], tuple(classes[t] for t in sorted(r["antecedent"])))
+        if not any(k.label == rule.label and k.confidence >= rule.confidence and k.tokens <= rule.tokens for t in rule.tokens for k in by_token.get(t, ())):
+            kept.append(rule)
+            by_token.setdefault(min(rule.tokens), []).append(rule)
+    return sorted(kept, key=lambda k: (len(k.tokens), -k.confidence, k.text))
 
 
 def mine(urls: DataFrame, url: str = "url", label: str = "label", support: float = SUPPORT, confidence: float = CONFIDENCE, least_rows: int = LEAST_ROWS) -> list[Mined]:
@@ -121,25 +129,17 @@ def mine(urls: DataFrame, url: str = "url", label: str = "label", support: float
     try:
         rows = made.count()
         support = max(support, least_rows / max(1, rows))
-        names = _representatives(made, rows, support * rows) if support <= 1 else frozenset()
+        names = _representatives(made, rows, support * rows) if support <= 1 else {}
         if not names:
             return []
         made_of = with_arrow(made, ["items"], [T.StructField("items", T.ArrayType(T.StringType()))], lambda: lambda c: [[[t for t in x if t in names] for x in c.to_pylist()]], keep=["_l"])
         baskets = made_of.select(F.array_append("items", F.concat(F.lit(LABEL), "_l")).alias("items")).persist()
         try:
-            rows = _frequent_rules(baskets, support, confidence)
+            return _pruned_rules(baskets, support, confidence, names)
         finally:
             baskets.unpersist()
     finally:
         made.unpersist()
-    kept: list[Mined] = []
-    by_token: dict[str, list[Mined]] = {}
-    for rule in sorted((Mined(frozenset(r["antecedent"]), r["label"], r["confidence"], r["support"]) for r in rows), key=lambda r: (len(r.tokens), -r.confidence, r.text)):
-        covered = any(k.label == rule.label and k.confidence >= rule.confidence and k.tokens <= rule.tokens for t in rule.tokens for k in by_token.get(t, ()))
-        if not covered:
-            kept.append(rule)
-            by_token.setdefault(min(rule.tokens), []).append(rule)
-    return kept
 
 
 class Index:
@@ -149,13 +149,15 @@ class Index:
         often = Counter(t for r in rules for t in r.tokens)
         self.postings: dict[str, list[Mined]] = {}
         for rule in sorted(rules, key=lambda r: (-r.confidence, -r.support, r.text)):
-            self.postings.setdefault(min(rule.tokens, key=lambda t: (often[t], t)), []).append(rule)
+            rarest = min(rule.tokens, key=lambda t: (often[t], t))
+            for token in rule.same[sorted(rule.tokens).index(rarest)] if rule.same else (rarest,):
+                self.postings.setdefault(token, []).append(rule)
 
     def match(self, url: str) -> Mined | None:
         own, best = tokens(url), None
         for token in own:
             for rule in self.postings.get(token, ()):
-                if rule.tokens <= own:
+                if rule.fits(own):
                     if best is None or (-rule.confidence, -rule.support, rule.text) < (-best.confidence, -best.support, best.text):
                         best = rule
                     break

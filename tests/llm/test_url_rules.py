@@ -45,3 +45,17 @@ def test_mined_rules_and_index(spark):
     for a in rules:
         assert not any(b is not a and b.tokens < a.tokens and b.label == a.label and b.confidence > a.confidence for b in rules)
     assert U.mine(spark.createDataFrame([], "url string, label string")) == []
+
+
+def test_merged_tokens_each_stand_for_the_rule(spark):
+    rows = [(f"http://blog.cheap.example.com/{i}", "block") for i in range(60)] + [(f"http://www.good{i % 3}.org/{i}", "allow") for i in range(60)]
+    index = U.Index(U.mine(spark.createDataFrame(rows, "url string, label string")))
+    for url in ("http://blog.cheap.example.com/x", "http://m.cheap.example.com/x", "http://cheap.example.com/x"):
+        assert index.match(url).label == "block", url
+
+
+def test_many_rules_keep_the_support(spark, monkeypatch):
+    monkeypatch.setattr(U, "MOST_RULES", 3, raising=False)
+    rows = [(f"http://s{k}.h{k}.org/p{k}", "block" if k % 2 else "allow") for k in range(12) for _ in range(20 + 20 * k)]
+    index = U.Index(U.mine(spark.createDataFrame(rows, "url string, label string")))
+    assert all(index.match(u).label == label for u, label in rows)
