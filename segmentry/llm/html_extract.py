@@ -216,8 +216,8 @@ def main_paths(rows: list[tuple[str, tuple, float, float, int, bool]], pages: in
     if not held or not max(held.values()):
         return []
     most = max(held.values())
-    # the deepest element that still holds nearly all of it and holds blocks rather than being one
-    roots = [t for t, n in held.items() if n >= 0.9 * most and t.rsplit("/", 1)[-1].split(".")[0] not in ("p", "li", "h1", "h2", "h3", "td", "blockquote", "pre")]
+    # the deepest element that still holds all of it and holds blocks rather than being one
+    roots = [t for t, n in held.items() if n >= most and t.rsplit("/", 1)[-1].split(".")[0] not in ("p", "li", "h1", "h2", "h3", "td", "blockquote", "pre")]
     return [max(roots, key=lambda t: (t.count("/"), t))] if roots else []
 
 

@@ -41,3 +41,10 @@ def test_pages_table(spark):
         inner = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>|<br>", inner)]
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_heading_and_lead_outside_the_body_stay():
+    page = "<html><body><div class=menu><a href=a>one</a></div><div class=wrap><h1>Title</h1><p>Lead</p><div class=body>" + "<p>A long paragraph of the article.</p>" * 20 + "</div></div><div class=footer>foot</div></body></html>"
+    own = H.occurrences(page)
+    main = H.main_paths([(t, (c,), 1.0, place, int(letters), bool(b)) for t, (c, place, letters, b) in own.items()], 5)
+    assert H.main_text(page, main).split("\n\n") == ["Title", "Lead"] + ["A long paragraph of the article."] * 20
