@@ -157,7 +157,7 @@ def dd_same_source(spark, sf):
 
 
 def dd_variants(spark, sf):
-    return dedup.source_variants(_kept_rows(spark, sf), 0.95)
+    return dedup.source_variants(_kept_rows(spark, sf))
 
 
 def _funnel(spark, sf) -> DataFrame:

@@ -143,3 +143,17 @@ def test_whole_run(spark):
     assert {("inconsistent_translation", 2), ("double_spaces", 2)} <= got
     assert len(notices(df, cfg)) == 2 and notices(df.where("id < 3"), Config(source_lang="en", target_lang="es")) == []
     assert {c for c, _ in ((r.category_id, r.id) for r in run_checks(df, cfg, monolingual=True).collect())} <= {"double_spaces", "repeated_words"}
+
+
+def test_variants_are_registered_at_the_reference_threshold(monkeypatch):
+    from segmentry.plans import queries
+
+    asked = {}
+
+    def recorded(rows, threshold=dedup.source_variants.__defaults__[0]):
+        asked["threshold"] = threshold
+
+    monkeypatch.setattr(queries, "_kept_rows", lambda spark, sf: None)
+    monkeypatch.setattr(queries.dedup, "source_variants", recorded)
+    queries.QUERIES["dd_variants"](None, "")
+    assert asked == {"threshold": 0.85}
