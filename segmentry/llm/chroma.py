@@ -6,12 +6,13 @@ recordings are aligned by the histogram of offsets at which they hold equal item
 bits over the overlap at the best offset.
 
 Recordings with equal items form a class, and classes are matched through their representatives (the least id), so copies
-cost nothing. Items are an inverted index. An item held by more than ``MOST_HOLDERS`` representatives counts only
-together with the next ones: stretches of 4, 16 and 64 items are tried in turn. Holders of a frequent stretch of 64 items
-are aligned with the first of them, so the work stays in proportion to the rows.
+cost nothing. The queries' items form inverted indexes, a block of queries at a time, and every recording is held against
+every block: each equal item counts once, however frequent it is, and only links leave a task.
 
 Edge cases: null, broken, empty or too short recordings have no items, form one class and align with nothing; silence
-gives items of zeros; equal ids are kept as rows; extra columns are ignored.
+gives items of zeros; equal ids are kept as rows, and recordings of one id that differ are matched by their own items
+(a class is named by its least id); of equally high histogram columns the one nearest to offset 0 counts, then the later;
+classes of null ids only are not matched; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,20 +23,23 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, with_arrow
+from .common import durable, join_uneven, with_arrow
 
 RATE, FRAME, HOP = 4000, 1024, 128
 FILTERS = 16
 WIDEST = 16
 #: A match: so many equal items at one offset, so many frames of overlap, and at most this share of differing bits.
 LEAST_HITS, LEAST_OVERLAP, MOST_ERROR = 5, 32, 0.25
-MOST_HOLDERS = 200
-STRETCHES = (1, 4, 16, 64)
 QUERIES_OF = 20
+#: Items of queries that a task holds, about, and items of recordings in a task.
+BLOCK_PLACES, PLACES_IN_TASK = 1 << 20, 1 << 22
+#: Hits, and pairs of a recording and a query, that are counted at a time.
+HITS_AT_ONCE, PAIRS_AT_ONCE = 1 << 21, 1 << 22
 
 
 def decode_wav(data: bytes | None) -> np.ndarray:
@@ -128,35 +132,132 @@ def with_items(media: DataFrame, column: str = "audio", out: str = "items", deco
     return with_arrow(media, [column], [T.StructField(out, T.ArrayType(T.IntegerType(), False))], start, keep)
 
 
-def _hits(reps: DataFrame) -> DataFrame:
-    """(query, other, offset, hits) for equal items or, where items are frequent, equal stretches."""
-    places = reps.select("rep", "asked", F.posexplode("items").alias("pos", "item"))
-    lists = reps.select("rep", "items")
-    left, found = places.select("rep", "asked", "pos"), []
-    for level, length in enumerate(STRETCHES):
-        if level:
-            stretch = F.xxhash64(F.slice("items", F.col("pos") + 1, F.lit(length)))
-            keyed = left.join(lists, "rep").where(F.size("items") >= F.col("pos") + length).select("rep", "asked", "pos", stretch.alias("key"))
-        else:
-            keyed = places.select("rep", "asked", "pos", F.col("item").cast("long").alias("key"))
-        # only what a query holds can be hit
-        keyed = durable(keyed.join(keyed.where("asked").select("key").distinct(), "key", "left_semi"))
-        holders = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "pos")).alias("first"))
-        few = keyed.join(holders.where(f"n between 2 and {MOST_HOLDERS}").select("key"), "key")
-        asked = few.where("asked").select("key", F.col("rep").alias("query"), F.col("pos").alias("at"))
-        pairs = asked.join(few, "key").where("rep <> query").select("query", F.col("rep").alias("other"), (F.col("pos") - F.col("at")).alias("offset"), F.lit(length).alias("w"))
-        found.append(pairs.groupBy("query", "other", "offset").agg(F.sum("w").alias("hits")))
-        many = durable(keyed.join(holders.where(f"n > {MOST_HOLDERS}").select("key", "first"), "key"))
-        if many.isEmpty():
-            break
-        if level == len(STRETCHES) - 1:
-            star = many.where("rep <> first.rep").select(F.col("rep"), F.col("first.rep").alias("hub"), (F.col("first.pos") - F.col("pos")).alias("offset"))
-            found.append(star.groupBy(F.col("rep").alias("query"), F.col("hub").alias("other"), "offset").agg(F.sum(F.lit(length)).alias("hits")))
-        left = many.select("rep", "asked", "pos")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.groupBy("query", "other", "offset").agg(F.sum("hits").alias("hits"))
+class Block:
+    """An inverted index over the items of some queries."""
+
+    def __init__(self, ids: list[int], lists: list[np.ndarray]):
+        self.ids, self.lists = np.array(ids, dtype=np.int64), lists
+        sizes = np.array([len(x) for x in lists])
+        flat = np.concatenate(lists)
+        order = np.argsort(flat, kind="stable")
+        self.items, self.begins, self.counts = np.unique(flat[order], return_index=True, return_counts=True)
+        self.owner = np.repeat(np.arange(len(lists)), sizes)[order]
+        self.place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+        self.longest = int(sizes.max())
+
+    def _postings(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each item its number in the index, and how many postings it has."""
+        spot = np.minimum(np.searchsorted(self.items, flat), len(self.items) - 1)
+        return spot, np.where(self.items[spot] == flat, self.counts[spot], 0)
+
+    def histogram(self, lists: list[np.ndarray]) -> list[tuple[int, int, int]]:
+        """(number of the recording, number of the query, offset) at the highest column of each pair's histogram."""
+        sizes = np.array([len(x) for x in lists])
+        flat = np.concatenate(lists)
+        spot, n = self._postings(flat)
+        whose = np.repeat(np.arange(len(lists)), sizes)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        hits = np.repeat(np.arange(len(flat)), n)
+        posting = self.begins[spot[hits]] + np.arange(len(hits)) - np.repeat(np.cumsum(n) - n, n)
+        pair = whose[hits] * len(self.lists) + self.owner[posting]
+        # fewer hits than needed, whatever their offsets
+        enough = np.bincount(pair, minlength=1)[pair] >= LEAST_HITS
+        span = self.longest + int(sizes.max())
+        column, height = np.unique(pair[enough] * span + (at[hits] - self.place[posting])[enough] + self.longest, return_counts=True)
+        column, height = column[height >= LEAST_HITS], height[height >= LEAST_HITS]
+        pair, offset = column // span, column % span - self.longest
+        order = np.lexsort((offset, -np.abs(offset), height, pair))
+        last = order[np.r_[pair[order][1:] != pair[order][:-1], True]] if len(order) else order
+        return list(zip((pair[last] // len(self.lists)).tolist(), (pair[last] % len(self.lists)).tolist(), offset[last].tolist()))
+
+    def long_histogram(self, items_of: np.ndarray) -> list[tuple[int, int, int]]:
+        """The same for one recording with very many hits, a query at a time; memory follows the lengths of the two."""
+        order = np.argsort(items_of, kind="stable")
+        own, begins, counts = np.unique(items_of[order], return_index=True, return_counts=True)
+        out = []
+        for q, asked in enumerate(self.lists):
+            spot = np.minimum(np.searchsorted(own, asked), len(own) - 1)
+            n = np.where(own[spot] == asked, counts[spot], 0)
+            if n.sum() < LEAST_HITS:
+                continue
+            columns = np.zeros(len(items_of) + len(asked), dtype=np.int64)
+            for i in np.flatnonzero(n).tolist():
+                columns[order[begins[spot[i]] : begins[spot[i]] + n[i]] - i + len(asked)] += 1
+            best = np.flatnonzero(columns == columns.max()) - len(asked)
+            if columns.max() >= LEAST_HITS:
+                out.append((0, q, max(best.tolist(), key=lambda d: (-abs(d), d))))
+        return out
+
+    def matches(self, ids: list[int], lists: list[np.ndarray]) -> list[tuple[int, int, int, float]]:
+        """(query, other, offset, error) of the links between the queries and these recordings."""
+        totals = [int(self._postings(x)[1].sum()) for x in lists]
+        most = max(1, PAIRS_AT_ONCE // len(self.lists))
+        out, begin = [], 0
+        while begin < len(lists):
+            end, hits = begin + 1, totals[begin]
+            while end < len(lists) and end - begin < most and hits + totals[end] <= HITS_AT_ONCE:
+                hits += totals[end]
+                end += 1
+            found = self.long_histogram(lists[begin]) if hits > HITS_AT_ONCE else self.histogram(lists[begin:end])
+            for r, q, offset in found:
+                if ids[begin + r] != self.ids[q]:
+                    n, error = compare(self.lists[q], lists[begin + r], offset)
+                    if n >= LEAST_OVERLAP and error <= MOST_ERROR:
+                        out.append((int(self.ids[q]), ids[begin + r], offset, error))
+            begin = end
+        return out
+
+
+def compare(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
+    """Frames of overlap if a's frame t meets b's frame t + offset, and the share of bits that differ there."""
+    begin = max(0, -offset)
+    n = min(len(a) - begin, len(b) - begin - offset)
+    if n <= 0:
+        return 0, 1.0
+    differ = np.bitwise_count((a[begin : begin + n] ^ b[begin + offset : begin + offset + n]).view(np.uint32))
+    return n, int(differ.sum()) / (32 * n)
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """Views of the numbers of each list."""
+    edges = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+
+def links(recordings: DataFrame) -> DataFrame:
+    """From (rep, asked, items): (query, other, offset, error) for all that are asked against all recordings.
+
+    The queries go out in blocks of about ``BLOCK_PLACES`` items, so what a task holds does not grow with the table; each
+    block is held against every recording, and a task sees all items of a recording together, so only links leave it.
+    """
+    context = recordings.sparkSession.sparkContext
+    asked = recordings.where("asked").select("rep", "items")
+    places, all_places = (df.agg(F.sum(F.size("items").cast("long"))).first()[0] or 0 for df in (asked, recordings))
+    blocks = -(-places // BLOCK_PLACES)
+    dealt = durable(recordings.select("rep", "items").repartition(max(context.defaultParallelism, -(-all_places // PLACES_IN_TASK))))
+
+    def scan(held):
+        def run(batches):
+            block = Block(*held.value)
+            for batch in batches:
+                if batch.num_rows:
+                    found = block.matches(batch.column(0).to_pylist(), _lists(batch.column(1)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=["query", "other", "offset", "error"])
+
+        return run
+
+    shape, out = "query long, other long, offset int, error double", None
+    for i in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == i).toArrow()
+        if not rows.num_rows:
+            continue
+        held = context.broadcast((rows.column(0).to_pylist(), [np.array(x, dtype=np.int32) for x in rows.column(1).to_pylist()]))
+        found = durable(dealt.mapInArrow(scan(held), shape))
+        held.unpersist()
+        out = found if out is None else out.union(found)
+    return recordings.sparkSession.createDataFrame([], shape) if out is None else out
 
 
 def align(recordings: DataFrame, key: str = "vec_id", items_column: str = "items", queries_of: int = QUERIES_OF) -> DataFrame:
@@ -169,18 +270,14 @@ def align(recordings: DataFrame, key: str = "vec_id", items_column: str = "items
     base = recordings.select(F.col(key).alias("id"), F.coalesce(F.col(items_column), F.array().cast("array<int>")).alias("items"))
     base = durable(base.withColumn("digest", F.sha2(F.array_join("items", ","), 256)))
     # the items are a function of the digest, so any of them will do
-    reps = durable(base.groupBy("digest").agg(F.min("id").alias("rep"), F.max(F.coalesce(F.col("id") % queries_of == 0, F.lit(False))).alias("asked"), F.first("items").alias("items")))
-    usable = reps.where(f"size(items) >= {LEAST_OVERLAP} and rep is not null").select("rep", "asked", "items")
-    best = _hits(usable).groupBy("query", "other").agg(F.max_by("offset", F.struct("hits", -F.abs("offset"), "offset")).alias("offset"), F.max("hits").alias("hits")).where(f"hits >= {LEAST_HITS}")
-    both = best.join(usable.select(F.col("rep").alias("query"), F.col("items").alias("a")), "query").join(usable.select(F.col("rep").alias("other"), F.col("items").alias("b")), "other")
-    start = F.greatest(F.lit(0), -F.col("offset"))
-    n = F.least(F.size("a") - start, F.size("b") - start - F.col("offset"))
-    bits = F.aggregate(F.zip_with(F.slice("a", start + 1, F.greatest(n, F.lit(0))), F.slice("b", start + F.col("offset") + 1, F.greatest(n, F.lit(0))), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    judged = both.select("query", "other", "offset", n.alias("n"), (bits / (32 * n)).alias("error")).where(f"n >= {LEAST_OVERLAP} and error <= {MOST_ERROR}")
+    reps = durable(base.groupBy("digest").agg(
+        F.min("id").alias("rep"), F.max(F.coalesce(F.col("id") % queries_of == 0, F.lit(False))).alias("asked"), F.first("items").alias("items"), F.count("*").alias("n")))
+    judged = links(reps.where(f"size(items) >= {LEAST_OVERLAP} and rep is not null").select("rep", "asked", "items"))
     ends = judged.select(F.col("query").alias("rep"), F.col("other").alias("id2"), "offset", "error").union(
         judged.select(F.col("other").alias("rep"), F.col("query").alias("id2"), (-F.col("offset")).alias("offset"), "error"))
     summary = ends.groupBy("rep").agg(F.count_distinct("id2").alias("n_links"), F.min(F.struct("error", "id2", "offset")).alias("best"))
-    classes = reps.select("digest", "rep").join(summary, "rep", "left")
-    return base.join(classes, "digest").select(
-        F.col("id").alias(key), F.size("items").alias("n_items"), F.col("rep").alias("class_id"), F.col("digest").alias("fingerprint"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    classes = durable(reps.select("digest", "rep", "n").join(summary, "rep", "left"))
+    rows = base.select("id", "digest", F.size("items").alias("n_items"))
+    return join_uneven(rows, classes.drop("n"), "digest", classes.select("digest", "n")).select(
+        F.col("id").alias(key), "n_items", F.col("rep").alias("class_id"), F.col("digest").alias("fingerprint"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.col("best.id2").alias("best_id"), F.col("best.offset").alias("best_offset"), F.col("best.error").alias("best_error"))

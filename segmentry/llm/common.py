@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -27,6 +28,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A key is hot if it holds more than a thousandth of all rows, and this many; its rows are dealt out to so many shares.
+LEAST_HOT, SHARES = 1000, 64
+
+
+def join_uneven(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table``, which has one row for each key, where some keys may hold very many rows.
+
+    ``counts`` has each key's number of rows as ``n``. The rows of hot keys are dealt out in turn and the table's row goes
+    to each share; at most a thousand keys are hot, so their list is small for any input.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("n") > max(LEAST_HOT, total // 1000)).select(key, F.lit(True).alias("_hot")))
+    dealt = rows.join(hot, key, "left").withColumn("_share", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SHARES))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    sent = table.join(hot, key, "left").withColumn("_share", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return dealt.join(sent, [key, "_share"], how).drop("_share")
+
+
 def with_arrow(
     df: DataFrame,
     inputs: Sequence[str],

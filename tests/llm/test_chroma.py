@@ -56,11 +56,52 @@ def test_alignment(spark):
     assert got[100].class_id == got[101].class_id and got[100].n_links == 0
 
 
-def test_frequent_items_keep_links(spark, monkeypatch):
-    monkeypatch.setattr(chroma, "MOST_HOLDERS", 2)
-    df = spark.createDataFrame(melodies(), "vec_id long, embedding array<double>")
-    got = {r.vec_id: r for r in chroma.align(chroma.with_items(df, "embedding", decode=chroma.sonified, keep=["vec_id"])).collect()}
-    assert got[20].best_id == 2 and got[40].best_id == 5 and got[60].best_id == 6
+def crowd():
+    """Melodies, and many variants of one of them that share most of their items."""
+    rnd = np.random.default_rng(9)
+    one = rnd.normal(0, 0.15, 64)
+    rows = melodies()
+    for i in range(24):
+        v = one.copy()
+        v[rnd.integers(0, 64, 2)] += 0.3
+        rows.append((200 + 5 * i, v.tolist()))
+    return rows
+
+
+def linked(spark, rows):
+    made = chroma.with_items(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "embedding", decode=chroma.sonified, keep=["vec_id"])
+    got = {r.vec_id: r for r in chroma.align(made).collect()}
+    want, links = brute([(r.vec_id, r["items"]) for r in made.collect()])
+    for i, r in got.items():
+        assert r.class_id == want[i][0]
+        if r.n_items >= chroma.LEAST_OVERLAP:
+            assert r.n_links == want[i][1], i
+            if r.n_links:
+                assert min(links[r.class_id].values()) == round(r.best_error, 9)
+
+
+def test_all_links_at_any_block_size(spark, monkeypatch):
+    linked(spark, crowd())
+    monkeypatch.setattr(chroma, "BLOCK_PLACES", 600)
+    monkeypatch.setattr(chroma, "HITS_AT_ONCE", 1500)
+    linked(spark, crowd())
+
+
+def test_one_query_at_a_time_gives_the_same_histogram():
+    rnd = np.random.default_rng(4)
+    lists = [rnd.integers(0, 9, n).astype(np.int32) for n in (40, 60, 33)]
+    block = chroma.Block([1, 2, 3], lists)
+    other = rnd.integers(0, 9, 80).astype(np.int32)
+    assert sorted(block.histogram([other])) == sorted(block.long_histogram(other))
+
+
+def test_no_rows_equal_ids_and_clashing_names(spark):
+    shape = "vec_id long, items array<int>, query int, digest string"
+    assert chroma.align(spark.createDataFrame([], shape)).collect() == []
+    tune = list(range(50))
+    rows = [(0, tune, 1, "x"), (0, tune, 1, "x"), (0, [0] * 50, 1, "x"), (7, [9, *tune], 1, "x"), (None, tune[1:], 1, "x"), (None, None, None, None)]
+    got = chroma.align(spark.createDataFrame(rows, shape)).collect()
+    assert len(got) == 6 and {(r.vec_id, r.n_links) for r in got if r.n_items == 51} == {(7, 1)}
 
 
 def test_wav():
