@@ -13,15 +13,22 @@ are sorted one bucket at a time, so no task holds more than a few buckets:
 4. Equal stretches are merged in each task before the shuffle and count once with their number.
 5. Within a key the strings of a bucket are sorted by their first 32 bytes; ties are resolved by the ranks of the suffixes
    at a difference cover of 0..31, relative to the gram: one look at the next cover place instead of a comparison of up
-   to 200 bytes. Sorted neighbours that agree in 200 bytes are repeats (compared byte for byte).
+   to 200 bytes. The ranks are made once for a block of buckets, for those cover places that its ties meet, before the
+   ties are resolved. Sorted neighbours that agree in 200 bytes are repeats (compared byte for byte).
+
+Memory: texts are read in pieces of 1 MiB, and buckets sorted 1 MiB at a time; a larger key is sorted in shares. Of a gram
+that occurs over 2,048 times a key's stretches share 198 of at most 202 bytes, so its different ones are few.
 
 Edge cases: null texts count as empty; texts shorter than 200 bytes lose nothing; rows that are equal in id and text
-are repeats of each other and all stay as rows; any length of text; extra columns are ignored.
+are repeats of each other and all stay as rows; any length of text; extra columns are ignored, also those named like an
+output; ties: all copies of a string go, the first one too; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_arrow
+from .common import durable, join_uneven, with_arrow
 
 LENGTH = 200
 GRAM = 32
@@ -40,7 +47,9 @@ OFTEN, VERY_OFTEN = 64, 2048
 COVER, PERIOD = (0, 1, 2, 4, 8, 13, 18), 32
 #: Strings that are sorted at a time, and bytes of text that a task reads or buckets hold at a time.
 AT_ONCE = 200_000
-BYTES_AT_ONCE = 8 << 20
+BYTES_AT_ONCE = 1 << 20
+#: Rows of an Arrow batch that become Python objects at a time.
+ROWS_AT_ONCE = 256
 LOW = (1 << 31) - 1
 
 
@@ -97,17 +106,23 @@ def stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 
 def _joined(column: pa.Array):
-    """Groups of rows of at most ``BYTES_AT_ONCE`` (one row at least): (first row, texts)."""
-    held: list[bytes] = []
-    size, first = 0, 0
-    for i, t in enumerate(column.to_pylist()):
-        if held and size + len(t or b"") > BYTES_AT_ONCE:
-            yield first, held
-            held, size, first = [], 0, i
-        held.append(t or b"")
-        size += len(held[-1])
+    """Groups of about ``BYTES_AT_ONCE`` at most: (row, begin in its text, bytes) of texts, longer ones cut into pieces.
+
+    Pieces overlap by a string less one byte, so each string lies in one of them. Texts without strings are left out.
+    """
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, t in enumerate(column):
+        text = t.as_py() or b""
+        for begin in range(0, len(text) - LENGTH + 1, BYTES_AT_ONCE):
+            piece = text[begin : begin + BYTES_AT_ONCE + LENGTH - 1]
+            if held and size + len(piece) > BYTES_AT_ONCE + LENGTH:
+                yield held
+                held, size = [], 0
+            held.append((i, begin, piece))
+            size += len(piece)
     if held:
-        yield first, held
+        yield held
 
 
 def _buffer(held: list[bytes]):
@@ -117,19 +132,21 @@ def _buffer(held: list[bytes]):
     return np.frombuffer(b"".join(held), dtype=np.uint8), ends - lengths, ends
 
 
+def _slices(batch: pa.RecordBatch):
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _places(batches):
     """(id, tk, text) to one row for each stretch: id, tk, where (begin, strings and place in one number), gram."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        for first, held in _joined(batch.column(2)):
-            data, starts, ends = _buffer(held)
-            full = np.flatnonzero(ends > starts)
-            if not len(full):
-                continue
-            text, begin, strings, place, gram = stretches(data, starts[full], ends[full])
-            row = pa.array(full[text] + first)
-            arrays = [batch.column(0).take(row), batch.column(1).take(row), pa.array(begin << 16 | strings << 8 | place), pa.array(gram)]
+        for held in _joined(batch.column(2)):
+            text, begin, strings, place, gram = stretches(*_buffer([h[2] for h in held]))
+            rows, begins = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+            row = pa.array(rows[text])
+            arrays = [batch.column(0).take(row), batch.column(1).take(row), pa.array(begin + begins[text] << 16 | strings << 8 | place), pa.array(gram)]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "tk", "where", "gram"])
 
 
@@ -143,7 +160,7 @@ def _cut(batches):
     """(id, tk, text, stretches) to occurrences: ident, key, place, id, tk, begin, strings, and the bytes once for each task's batch."""
     names = ["ident", "key", "place", "id", "tk", "begin", "strings", "number", "bytes"]
     types = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    for batch in batches:
+    for batch in (part for whole in batches for part in _slices(whole)):
         rows: list[list] = []
         seen: dict[bytes, int] = {}
         size = 0
@@ -170,6 +187,7 @@ def _cut(batches):
                     else:
                         rows[known][7] += 1
                         rows.append([ident, rows[known][1], place - j, doc, tk, begin + j, n, 0, None])
+                    size += 100
                     j += n
             if size > BYTES_AT_ONCE:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
@@ -241,39 +259,64 @@ def repeated(pieces: list[bytes], places: np.ndarray, keys: np.ndarray) -> list[
     return np.split(found, np.cumsum(counts)[:-1]) if len(counts) else []
 
 
-def _sorted_buckets(batches):
-    """(key, ident, place, number, bytes), sorted by key and ident, to (ident, mask) of stretches with repeated strings."""
-    held: list[tuple] = []
-    size = 0
+def repeated_in_large_key(pieces: list[bytes], places: np.ndarray) -> list[np.ndarray]:
+    """``repeated`` for one key of any size: a place at a time, and its strings in shares by their checksum."""
+    found = [np.zeros(len(p) - LENGTH + 1, dtype=bool) for p in pieces]
+    for place in range(GRAMS):
+        here = [i for i, p in enumerate(pieces) if 0 <= places[i] - place < len(found[i])]
+        strings = [pieces[i][places[i] - place : places[i] - place + LENGTH] for i in here]
+        n = -(-len(here) * LENGTH // BYTES_AT_ONCE)
+        share = np.array([zlib.crc32(x) % n for x in strings], dtype=np.int64)
+        for k in range(n):
+            rows = np.flatnonzero(share == k)
+            if len(rows) > 1:
+                for r, hit in zip(rows, repeated([strings[r] for r in rows], np.full(len(rows), place), np.zeros(len(rows), dtype=np.int64))):
+                    found[here[r]][places[here[r]] - place] = hit[0]
+    return found
 
-    def settle(rows):
-        merged: dict[bytes, list] = {}
-        for key, ident, place, number, piece in rows:
-            if ident in merged:
-                merged[ident][2] += number
-            else:
-                merged[ident] = [key, place, number, piece]
-        several: dict[int, int] = {}
-        for key, *_ in merged.values():
-            several[key] = several.get(key, 0) + 1
-        masks = {i: np.ones(len(v[3]) - LENGTH + 1, dtype=bool) for i, v in merged.items() if v[2] > 1}
-        some = [i for i, v in merged.items() if several[v[0]] > 1]
+
+def _sorted_buckets(batches):
+    """(key, ident, place, number, bytes), sorted by key and ident, to (ident, mask) of stretches with repeated strings.
+
+    Equal stretches follow each other, so they are merged as they come. Keys are sorted together up to ``BYTES_AT_ONCE``;
+    what a key has beyond that (different stretches of one core) is sorted in shares.
+    """
+    keys: list[int] = []
+    held: list[list] = []  # ident, place, number, piece
+    size, begin = 0, 0  # of all that is held; where the last key begins
+
+    def settle(keys, held):
+        several = Counter(keys)
+        masks = {ident: np.ones(len(piece) - LENGTH + 1, dtype=bool) for ident, _, number, piece in held if number > 1}
+        some = [i for i, k in enumerate(keys) if several[k] > 1]
         if some:
-            parts = repeated([merged[i][3] for i in some], np.array([merged[i][1] for i in some], dtype=np.int64), np.array([merged[i][0] for i in some], dtype=np.int64))
+            pieces, places = [held[i][3] for i in some], np.array([held[i][1] for i in some], dtype=np.int64)
+            large = len(several) == 1 and sum(map(len, pieces)) > BYTES_AT_ONCE
+            parts = repeated_in_large_key(pieces, places) if large else repeated(pieces, places, np.array([keys[i] for i in some], dtype=np.int64))
             for i, part in zip(some, parts):
-                if i not in masks and part.any():
-                    masks[i] = part
+                if held[i][0] not in masks and part.any():
+                    masks[held[i][0]] = part
         return pa.RecordBatch.from_arrays([pa.array(list(masks), type=pa.binary()), pa.array([np.packbits(m).tobytes() for m in masks.values()], type=pa.binary())], names=["ident", "mask"])
 
-    for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if size > BYTES_AT_ONCE and held[-1][0] != row[0]:
-                yield settle(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[4])
-    if held:
-        yield settle(held)
+    for batch in (part for whole in batches for part in _slices(whole)):
+        for key, ident, place, number, piece in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if held and held[-1][0] == ident:
+                held[-1][2] += number
+                continue
+            if not keys or key != keys[-1]:
+                if size > BYTES_AT_ONCE:
+                    # the last key alone if it is the one that is too large
+                    for part in (slice(0, begin), slice(begin, None)):
+                        if keys[part]:
+                            yield settle(keys[part], held[part])
+                    keys, held, size = [], [], 0
+                begin = len(keys)
+            keys.append(key)
+            held.append([ident, place, number, piece])
+            size += len(piece)
+    for part in (slice(0, begin), slice(begin, None)):
+        if keys[part]:
+            yield settle(keys[part], held[part])
 
 
 def without(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
@@ -295,9 +338,11 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     """From (id, tk, bytes): (id, tk, spans), an array of (begin, strings, mask) for each text with repeated strings."""
     read = docs.select("id", "tk", "bytes")
     shape = "id long, tk long, where long, gram long"
-    grams = read.mapInArrow(_grams, "gram long").groupBy("gram").count().where("count > 1")
-    parts = F.when(F.col("count") > VERY_OFTEN, 64).when(F.col("count") > OFTEN, 8).otherwise(1).alias("parts")
-    wanted = read.mapInArrow(_places, shape).join(grams, "gram").select("id", "tk", F.struct("where", parts).alias("w"))
+    grams = read.mapInArrow(_grams, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    # the few that are frequent tell how each gram's stretches are cut; their rows are dealt out
+    grams = durable(grams)
+    parts = F.when(F.col("n") > VERY_OFTEN, 64).when(F.col("n") > OFTEN, 8).otherwise(1).alias("parts")
+    wanted = join_uneven(read.mapInArrow(_places, shape), grams, "gram", grams).select("id", "tk", F.struct("where", parts).alias("w"))
     lists = wanted.groupBy("id", "tk").agg(F.collect_list("w").alias("wanted"))
     cut_shape = "ident binary, key long, place int, id long, tk long, begin int, strings int, number long, bytes binary"
     cut = docs.join(lists, (docs.id.eqNullSafe(lists.id)) & (docs.tk == lists.tk)).select(docs.id, docs.tk, "bytes", "wanted").mapInArrow(_cut, cut_shape)

@@ -73,6 +73,40 @@ def test_small_blocks(monkeypatch):
             assert got[a][j] == want
 
 
+def test_small_pieces_and_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(S, "BYTES_AT_ONCE", 700)
+    monkeypatch.setattr(S, "ROWS_AT_ONCE", 7)
+    same(spark, corpus(5))
+    monkeypatch.setattr(S, "OFTEN", 3)
+    same(spark, corpus(6))
+
+
+def test_key_in_shares(monkeypatch):
+    rnd = np.random.default_rng(2)
+    core = rnd.integers(0, 3, 190, dtype=np.uint8).tobytes()
+    pieces = [rnd.integers(0, 2, 8, dtype=np.uint8).tobytes() + core + rnd.integers(0, 2, 8, dtype=np.uint8).tobytes() for _ in range(90)]
+    places = np.full(len(pieces), 60)
+    want = S.repeated(pieces, places, np.zeros(len(pieces), dtype=np.int64))
+    monkeypatch.setattr(S, "BYTES_AT_ONCE", 1500)
+    got = S.repeated_in_large_key(pieces, places)
+    assert all((a == b).all() for a, b in zip(want, got)) and any(a.any() for a in want) and not all(a.all() for a in want)
+
+
+def test_a_long_text():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(7)
+    text = rnd.integers(97, 105, 30_000_000, dtype=np.uint8).tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([text], pa.binary())], names=["id", "tk", "bytes"])
+    tracemalloc.start()
+    strings = sum(int((b.column(2).to_numpy() >> 8 & 255).sum()) for b in S._places([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert strings == len(text) - 199 and peak < 250_000_000
+
+
 def test_cover():
     assert {(a - b) % S.PERIOD for a in S.COVER for b in S.COVER} == set(range(S.PERIOD))
 
