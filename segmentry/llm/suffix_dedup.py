@@ -17,7 +17,7 @@ are sorted one bucket at a time, so no task holds more than a few buckets:
    ties are resolved. Sorted neighbours that agree in 200 bytes are repeats (compared byte for byte).
 
 Memory: texts are read in pieces of 1 MiB, and buckets sorted 1 MiB at a time; a larger key is sorted in shares. Of a gram
-that occurs over 2,048 times a key's stretches share 198 of at most 202 bytes, so its different ones are few.
+that is cut into 64 parts a key's stretches share 198 of at most 202 bytes, so its different ones are few.
 
 Edge cases: null texts count as empty; texts shorter than 200 bytes lose nothing; rows that are equal in id and text
 are repeats of each other and all stay as rows; any length of text; extra columns are ignored, also those named like an
@@ -41,13 +41,16 @@ from .common import durable, join_uneven, with_arrow
 LENGTH = 200
 GRAM = 32
 GRAMS = LENGTH - GRAM + 1
-#: Grams that occur more often are cut into 8 or 64 parts.
-OFTEN, VERY_OFTEN = 64, 2048
 #: A difference cover of 0..31: every difference modulo 32 is one of two of its members.
 COVER, PERIOD = (0, 1, 2, 4, 8, 13, 18), 32
 #: Strings that are sorted at a time, and bytes of text that a task reads or buckets hold at a time.
 AT_ONCE = 200_000
 BYTES_AT_ONCE = 1 << 20
+#: Grams that occur more often are cut into 8 or 64 parts: all stretches of a gram, or of a part, are to fit in memory.
+OFTEN = BYTES_AT_ONCE // (LENGTH + GRAMS)
+VERY_OFTEN = 8 * OFTEN
+#: Stretches that a task remembers to have sent.
+MOST_SENT = 200_000
 #: Rows of an Arrow batch that become Python objects at a time.
 ROWS_AT_ONCE = 256
 LOW = (1 << 31) - 1
@@ -157,7 +160,12 @@ def _grams(batches):
 
 
 def _cut(batches):
-    """(id, tk, text, stretches) to occurrences: ident, key, place, id, tk, begin, strings, and the bytes once for each task's batch."""
+    """(id, tk, text, stretches) to occurrences: ident, key, place, id, tk, begin, strings.
+
+    One row of a batch for each ident has its number there, and the bytes, which are empty if the task has sent them
+    before; the others' are null.
+    """
+    sent: set[bytes] = set()
     names = ["ident", "key", "place", "id", "tk", "begin", "strings", "number", "bytes"]
     types = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     for batch in (part for whole in batches for part in _slices(whole)):
@@ -182,6 +190,10 @@ def _cut(batches):
                     known = seen.get(ident)
                     if known is None:
                         seen[ident] = len(rows)
+                        if ident in sent:
+                            piece = b""
+                        elif len(sent) < MOST_SENT:
+                            sent.add(ident)
                         rows.append([ident, int.from_bytes(key, "big", signed=True), place - j, doc, tk, begin + j, n, 1, piece])
                         size += len(piece)
                     else:
@@ -302,6 +314,9 @@ def _sorted_buckets(batches):
         for key, ident, place, number, piece in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if held and held[-1][0] == ident:
                 held[-1][2] += number
+                if not held[-1][3]:
+                    held[-1][3] = piece
+                    size += len(piece)
                 continue
             if not keys or key != keys[-1]:
                 if size > BYTES_AT_ONCE:
