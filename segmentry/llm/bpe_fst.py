@@ -5,12 +5,13 @@ neighbours t, u satisfy encode(t + u) = [t, u]. That makes encoding a rational r
 nondeterministic machine are (last token, prefix of the next token). The machine is determinised lazily, by the subset
 construction for subsequential transducers: a state holds all live threads with the tokens that not all threads agree on
 yet, and a transition emits the tokens that all of them share. A thread dies once its prefix is no prefix of a token, so
-the lookahead is bounded by the longest token. States and transitions are made when text first needs them; once there are
-``MAX_STATES``, matches that need further ones are read by a depth-first search for the accepting path of the same machine
-(longest token first); that bounds memory and changes no result.
+the lookahead is bounded by the longest token. Tokens that have been emitted are known to a state only by what they still
+say about the next token (see ``Transducer``), so states of different histories are one. States and transitions are made
+when text first needs them; once there are ``MAX_STATES`` the table starts anew from the state that is reached, as lazy
+automata do: that bounds memory, and every match goes through the machine.
 
-A single space between two other characters always starts a new match of the pattern, so texts are cut there first and
-the ids of the short stretches between are remembered.
+With the pattern of ``public_tokenizers`` a single space between two other characters always starts a new match, so texts
+are cut there first and the ids of the short stretches between are remembered; other patterns are matched as they are.
 
 Decoding. Tokens may split characters. The decoder is an incremental UTF-8 machine over tokens: its state is the bytes of
 an unfinished character, a transition emits whole characters only.
@@ -26,15 +27,19 @@ import hashlib
 import re
 from collections.abc import Sequence
 
+import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import texts, with_arrow
 
-MAX_STATES = 20_000
+MAX_STATES = 150_000
 MAX_KNOWN = 330_000
 MAX_PAIRS = 600_000
+#: Above all ranks; and the guard of a border that no token is left of.
+NEVER = 1 << 40
+OPEN: tuple = ((), ())
 #: Longer stretches are encoded each time and not remembered.
 LONGEST_PIECE = 64
 #: Marks that follow a word and are one match then.
@@ -49,7 +54,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Bytes of one match of the pattern in, ids out."""
+    """Bytes of one match of the pattern in, ids out.
+
+    Whether a token may follow another is a matter of the pieces at their border. The right spine of the first one is
+    the token itself, the right half of its last merge, that one's right half, and so on; the left spine of the second
+    one likewise. A piece is at the border from its own merge until the merge of the piece above it. Two pieces x and y
+    that are there at the same time, and whose joint x + y is a token, would have been merged before. So all that a token
+    tells its followers is a list: for each y the least bound that the piece above y must stay below. This list,
+    restricted to what the bytes read since then allow, is the guard of a state and stands for the token.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -58,11 +71,17 @@ class Transducer:
         begun = {t[:n] for t in ranks for n in range(1, len(t))}
         self.grows = {t: (ranks.get(t, -1), t in begun) for t in begun | ranks.keys()}
         self.halves: dict[int, tuple[int, int]] = {}
-        self.pairs: dict[int, bool] = {}
-        # a state: (token emitted last or -1, threads); a thread: (tokens not yet emitted, bytes of the next token)
-        start = (-1, (((), b""),))
-        self.numbers = {start: 0}
-        self.states = [start]
+        self.spines: tuple[dict, dict] = ({}, {})
+        self.guards: dict[tuple[int, bytes], tuple] = {}
+        # a state: (guard of the token emitted last, threads); a thread: (tokens not yet emitted, guard of the last of
+        # them, bytes of the next token). The guard in front belongs to the thread without waiting tokens.
+        self.start = (((), OPEN, b""),)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begin with the start state alone; what is needed is made again."""
+        self.numbers = {self.start: 0}
+        self.states = [self.start]
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def split(self, token: int) -> tuple[int, int]:
@@ -85,133 +104,115 @@ class Transducer:
             self.halves[token] = known
         return known
 
+    def spine(self, token: int, side: int) -> tuple[tuple[bytes, int, int], ...]:
+        """(piece, rank of its merge, rank of the merge that ends it) at the token's left (0) or right (1) border."""
+        known = self.spines[side].get(token)
+        if known is None:
+            out, at, ends = [], token, NEVER
+            while True:
+                piece = self.spelled[at]
+                made = at if len(piece) > 1 else -1
+                out.append((piece, made, ends))
+                if made < 0:
+                    break
+                at, ends = self.split(at)[side], at
+                if at >= ends:
+                    raise ValueError("a token whose last merge joins tokens of higher rank")
+            known = self.spines[side][token] = tuple(out)
+        return known
+
+    def _grown(self, guard: tuple, begun: bytes) -> tuple:
+        """The guard when one byte more is read: (bounds as (length of y, bound), right pieces that may still matter)."""
+        bounds, pieces = guard
+        kept, bound, y = [], NEVER, -2
+        for piece in pieces:
+            joint = self.grows.get(piece[0] + begun)
+            if joint is None:
+                continue
+            if joint[1]:
+                kept.append(piece)
+            if joint[0] >= 0:
+                if y == -2:
+                    y = self.ranks.get(begun, -2) if len(begun) > 1 else -1
+                if (y >= 0 or len(begun) == 1) and max(joint[0], y) < piece[2]:
+                    bound = min(bound, max(joint[0], piece[1]))
+        if bound < NEVER:
+            bounds = (*bounds, (len(begun), bound))
+        return bounds, tuple(kept)
+
+    def guard(self, last: int, begun: bytes) -> tuple:
+        """What ``last`` still says about tokens that begin with ``begun``."""
+        known = self.guards.get((last, begun))
+        if known is None:
+            known = self._grown(self.guard(last, begun[:-1]), begun) if begun else ((), self.spine(last, 1))
+            if len(self.guards) >= MAX_PAIRS:
+                self.guards.clear()
+            self.guards[last, begun] = known
+        return known
+
+    def may_follow(self, guard: tuple, token: int) -> bool:
+        """Whether no merge reaches over the border; ``guard`` is grown to the token's bytes."""
+        if self.split(token)[0] < 0:
+            return False
+        bounds = guard[0]
+        if bounds:
+            least = dict(bounds)
+            for piece, _, ends in self.spine(token, 0):
+                if least.get(len(piece), NEVER + 1) <= ends:
+                    return False
+        return True
+
     def follows(self, last: int, token: int) -> bool:
-        """Whether no merge reaches over the border of ``last`` and ``token``.
-
-        Both are taken apart again from their latest merge backwards, so that at each moment the two pieces at the
-        border are those that the merges have when ranks up to ``latest`` are done. A merge over the border of a lower
-        rank than ``latest`` would have come before. (Of equal ranks, the merge further left comes first.)
-        """
-        if last < 0:
-            return self.split(token)[0] >= 0
-        key = last << 20 | token
-        fits = self.pairs.get(key)
-        if fits is not None:
-            return fits
-        left, right, latest, fits = last, token, 1 << 40, self.split(token)[0] >= 0
-        spelled, rank = self.spelled, self.ranks.get
-        while fits:
-            over = rank(spelled[left] + spelled[right])
-            if over is not None and over < latest:
-                fits = False
-                break
-            whole_left, whole_right = len(spelled[left]) == 1, len(spelled[right]) == 1
-            if whole_left and whole_right:
-                break
-            if not whole_left and (whole_right or left > right):
-                left, latest = self.split(left)[1], left
-            else:
-                right, latest = self.split(right)[0], right + 1
-        if len(self.pairs) >= MAX_PAIRS:
-            self.pairs.clear()
-        self.pairs[key] = fits
-        return fits
+        return self.may_follow(self.guard(last, self.spelled[token]), token)
 
     def _move(self, at: tuple, byte: bytes) -> tuple[tuple, tuple[int, ...]]:
-        last, threads = at
         grown = []
-        grows, follows = self.grows.get, self.follows
-        for waiting, begun in threads:
+        grows = self.grows.get
+        for waiting, guard, begun in at:
             begun += byte
             known = grows(begun)
             if known:
+                guard = self.guard(waiting[-1], begun) if waiting else self._grown(guard, begun)
                 if known[1]:
-                    grown.append((waiting, begun))
-                if known[0] >= 0 and follows(waiting[-1] if waiting else last, known[0]):
-                    grown.append((waiting + (known[0],), b""))
+                    grown.append((waiting, guard, begun))
+                if known[0] >= 0 and self.may_follow(guard, known[0]):
+                    grown.append(((*waiting, known[0]), self.guard(known[0], b""), b""))
         shared = 0
-        for waiting, _ in grown:
-            if not waiting:
-                return (last, tuple(grown)), ()
-        first = grown[0][0]
-        for token in first:
-            for waiting, _ in grown:
-                if len(waiting) <= shared or waiting[shared] != token:
-                    break
-            else:
+        if grown:
+            first = grown[0][0]
+            least = min(len(g[0]) for g in grown)
+            while shared < least and all(g[0][shared] == first[shared] for g in grown):
                 shared += 1
-                continue
-            break
-        if not shared:
-            return (last, tuple(grown)), ()
-        return (first[shared - 1], tuple([(w[shared:], b) for w, b in grown])), first[:shared]
+        # guards of threads with waiting tokens follow from these; only the other one's is part of the state
+        return tuple([(w[shared:], g if len(w) == shared else None, b) for w, g, b in grown]), first[:shared] if shared else ()
 
     def run(self, data: bytes) -> list[int]:
         number, out, known = 0, [], self.moves.get
         for n, byte in enumerate(data):
             move = known(number << 8 | byte)
             if move is None:
-                if len(self.states) >= MAX_STATES:
-                    return self._search(data)
                 at, tokens = self._move(self.states[number], data[n : n + 1])
-                to = self.numbers.get(at)
-                if to is None:
-                    to = self.numbers[at] = len(self.states)
-                    self.states.append(at)
-                move = self.moves[number << 8 | byte] = (to, tokens)
+                if len(self.states) >= MAX_STATES:
+                    self._forget()
+                    known = self.moves.get
+                    number = self._number(at)
+                    out += tokens
+                    continue
+                move = self.moves[number << 8 | byte] = (self._number(at), tokens)
             number = move[0]
             out += move[1]
-        for waiting, begun in self.states[number][1]:
+        for waiting, _, begun in self.states[number]:
             if not begun:
                 out += waiting
                 return out
         raise ValueError("bytes without a token in the vocabulary")
 
-    def _search(self, data: bytes) -> list[int]:
-        """The accepting path of the same machine, one thread at a time, longest token first.
-
-        There is one accepting path, so the order of the search does not matter; (position, last token) pairs that led
-        nowhere are not tried again.
-        """
-        grows, pairs, follows, end = self.grows.get, self.pairs, self.follows, len(data)
-        path: list[int] = []
-        ends: list[int] = []
-        choices: list[list[tuple[int, int]]] = []
-        dead: set[tuple[int, int]] = set()
-        at, last, found = 0, -1, None
-        while at < end:
-            if found is None:
-                found = []
-                to = at
-                while to < end:
-                    to += 1
-                    known = grows(data[at:to])
-                    if known is None:
-                        break
-                    token, longer = known
-                    if token >= 0:
-                        found.append((to, token))
-                    if not longer:
-                        break
-            while found:
-                pair = found.pop()
-                token = pair[1]
-                fits = pairs.get(last << 20 | token) if last >= 0 else None
-                if fits is None:
-                    fits = follows(last, token)
-                if fits and not (dead and pair in dead):
-                    ends.append(at)
-                    choices.append(found)
-                    path.append(token)
-                    at, last, found = pair[0], token, None
-                    break
-            else:
-                if not path:
-                    raise ValueError("bytes without a token in the vocabulary")
-                dead.add((at, path.pop()))
-                at, found = ends.pop(), choices.pop()
-                last = path[-1] if path else -1
-        return path
+    def _number(self, at: tuple) -> int:
+        to = self.numbers.get(at)
+        if to is None:
+            to = self.numbers[at] = len(self.states)
+            self.states.append(at)
+        return to
 
 
 class Remembered:
@@ -237,6 +238,7 @@ class Encoder:
         self.machine = Transducer(ranks)
         self.matches = regex.compile(pattern)
         self.pieces, self.words = Remembered(), Remembered()
+        self.cut_at_spaces = pattern == public_tokenizers.PATTERN
 
     def _stretch(self, stretch: str) -> list[int]:
         ids: list[int] = []
@@ -263,7 +265,7 @@ class Encoder:
         return words.add(word, ids)
 
     def encode(self, text: str) -> list[int]:
-        if SPACES.search(text):
+        if not self.cut_at_spaces or SPACES.search(text):
             return self._stretch(text)
         first, *words = text.split(" ")
         ids = self._stretch(first)

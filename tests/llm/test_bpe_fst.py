@@ -22,13 +22,47 @@ def sample(n=1500, seed=1):
 def test_like_the_library(ranks, monkeypatch):
     want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     texts = sample()
-    assert [bpe_fst.Encoder(ranks, P.PATTERN).encode(t) for t in texts] == [want(t) for t in texts]
+    encoder = bpe_fst.Encoder(ranks, P.PATTERN)
+    assert [encoder.encode(t) for t in texts] == [want(t) for t in texts]
     monkeypatch.setattr(bpe_fst, "MAX_STATES", 50)
     monkeypatch.setattr(bpe_fst, "MAX_KNOWN", 20)
     encoder = bpe_fst.Encoder(ranks, P.PATTERN)
     assert [encoder.encode(t) for t in texts] == [want(t) for t in texts]
 
 
+def naive(data, ranks):
+    parts = [data[i : i + 1] for i in range(len(data))]
+    while True:
+        found = [(ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        at = min(found)[1]
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+
+def test_small_vocabularies_and_few_states(monkeypatch):
+    rnd = random.Random(5)
+    for seed in range(30):
+        small = {bytes([c]): i for i, c in enumerate(b"abc")}
+        while len(small) < 25:
+            a, b = rnd.choice(list(small)), rnd.choice(list(small))
+            if len(a + b) < 9 and len(naive(a + b, small)) == 2:  # what training could add
+                small.setdefault(a + b, len(small))
+        monkeypatch.setattr(bpe_fst, "MAX_STATES", 5 if seed % 2 else 1000)
+        machine = bpe_fst.Transducer(small)
+        for _ in range(60):
+            data = bytes(rnd.choice(b"abc") for _ in range(rnd.randint(1, 30)))
+            assert machine.run(data) == naive(data, small)
+
+
+def test_another_pattern(ranks):
+    pattern = r"\S+ \S+|\s+|\S+"
+    want = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    texts = ["the cat sat on the mat.", *sample(200, 3)]
+    encoder = bpe_fst.Encoder(ranks, pattern)
+    assert [encoder.encode(t) for t in texts] == [want(t) for t in texts]
+
+
 def test_streaming_decoder(ranks):
     encoder = bpe_fst.Encoder(ranks, P.PATTERN)
     decoder = bpe_fst.Decoder(encoder.machine.spelled)
