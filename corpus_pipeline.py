@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmentry.llm import bpe_fst, near_copies, pii_fpe, raking, toxicity
-from segmentry.llm.common import durable, read
+from segmentry.llm.common import durable, read, spare
 from segmentry.llm.queries import VOCABULARY
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity reaches the threshold go."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    (out,) = spare(docs, "_toxicity")
+    return toxicity.score(docs, model, out=out).where(F.col(out) < toxicity.THRESHOLD).drop(out)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms of their own format; n_chars follows the text."""
-    made = pii_fpe.pseudonymise(docs, count="_n_pseudonyms").drop("_n_pseudonyms")
+    (count,) = spare(docs, "_n_pseudonyms")
+    made = pii_fpe.pseudonymise(docs, pii_fpe.DEMO_KEY, count=count)
     return made.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

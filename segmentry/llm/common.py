@@ -79,6 +79,17 @@ def with_arrow(
     return df.select(*[f"`{n}`" for n in sent]).mapInArrow(run, schema)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Working names that no column of ``df`` has (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null becomes the empty string."""
     return [t or "" for t in column.to_pylist()]

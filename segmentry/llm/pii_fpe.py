@@ -17,8 +17,10 @@ different ones of the same format have different ones.
     date          189 x 773 days = the 400 years of the calendar's cycle; d/m/y is tried before m/d/y
     credential    letters and digits, each within its class (a-f in hexadecimal ones)
 
-Edge cases: a null text stays null with 0 pseudonyms; texts of any length are read once; equal rows stay; a column named
-like an output is replaced, all others pass through.
+Values may have any length. Edge cases: a null text stays null with 0 pseudonyms, an empty one stays empty; texts of any
+length are read once; equal rows stay and change alike; of values that could be of two kinds the first kind of the table
+below that validates counts (the leftmost match first); an empty table gives no rows; a column named like an output is
+replaced, all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,16 +28,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: For tests and demonstrations; pass a secret of your own.
+from .common import spare
+
+#: For tests and the catalogue's query; it is no secret.
 DEMO_KEY = "not a secret"
 TURNS = 8
+#: Places that are permuted together.
+BLOCK = 64
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"(?:password|passwd|pwd|secret|token|api_?key|access_?key)"
 #: Kind and what it looks like, in the order in which they are tried at a place.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+",
-    "credential": rf"(?:(?<=\b{_NAME}=)|(?<=\b{_NAME} ?[=:] ?[\"']?))[A-Za-z0-9_/+.-]{{6,64}}|\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+",
+    "credential": rf"(?:(?<=\b{_NAME}=)|(?<=\b{_NAME} ?[=:] ?[\"']?))[A-Za-z0-9_/+.-]{{6,}}|\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -94,12 +100,30 @@ def _kind(v: Column) -> Column:
         .when(v.rlike(r"^[0-9 -]+$") & whole("card"), F.when(_luhn_sum(_digits(v)) % 10 == 0, "card"))
         .when(v.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{9,}$") & (_mod97(F.concat(F.substring(flat, F.lit(5), F.length(flat)), F.substring(flat, 1, 4))) == 1), "iban")
         .when(v.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"), "key")
-        .when(v.rlike(r"^[A-Za-z0-9_/+.-]{6,64}$") & ~v.rlike(r"^[0-9]{13,19}$"), "credential")
+        .when(v.rlike(r"^[A-Za-z0-9_/+.-]{6,}$") & ~v.rlike(r"^[0-9]{13,19}$"), "credential")
     )
 
 
 def feistel(numbers: Column, radixes: Column, key: str, tweak: Column, back: bool = False) -> Column:
-    """A keyed permutation of the product of the radixes; ``back`` inverts it. Arrays of up to 64 longs."""
+    """A keyed permutation of the product of the radixes; ``back`` inverts it. Arrays of longs of any length.
+
+    Blocks of ``BLOCK`` places are permuted one after another; each block's tweak is a digest of the tweak and the values
+    of the block before, so a change in one block changes all that follow.
+    """
+    start = F.struct(F.array().cast("array<bigint>").alias("done"), tweak.alias("tweak"))
+    cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int")))
+
+    def step(state: Column, b: Column) -> Column:
+        part = lambda a: F.slice(a, b * BLOCK + 1, F.lit(BLOCK))
+        return F.transform(F.array(_block(part(numbers), part(radixes), key, state["tweak"], back)), lambda made: F.struct(
+            F.concat(state["done"], made).alias("done"),
+            F.sha2(F.concat_ws(",", state["tweak"], F.transform(made if back else part(numbers), lambda x: x.cast("string"))), 256).alias("tweak")))[0]
+
+    return F.aggregate(cuts, start, step, lambda state: state["done"])
+
+
+def _block(numbers: Column, radixes: Column, key: str, tweak: Column, back: bool) -> Column:
+    """The network over one block: 64 places take 32 numbers of 32 bits in each turn, two digests."""
     turns = F.array(*[F.lit(t) for t in (range(TURNS - 1, -1, -1) if back else range(TURNS))])
 
     def turn(state: Column, t: Column) -> Column:
@@ -173,9 +197,8 @@ def pseudonym(v: Column, kind: Column, key: str, back: bool = False) -> Column:
         m, d = (F.when(F.length(x) < width, F.lpad(x, 2, "0")).otherwise(x) for x in (m, d))
         date_text = F.when(date["order"] == "ymd", F.concat(y, sep, m, sep, d)).when(date["order"] == "dmy", F.concat(d, sep, m, sep, y)).otherwise(F.concat(m, sep, d, sep, y))
         chars = F.transform(n, lambda x, i: F.chr(x + F.get(p, i)["low"]))
-        shown = F.array_join(F.transform(F.split(body, ""), lambda c, i: F.when(
-            c.rlike("^[A-Za-z0-9]$"), F.get(chars, F.length(F.regexp_replace(F.substring(body, F.lit(1), i), "[^A-Za-z0-9]", "")))
-        ).otherwise(c)), "")
+        signs = F.split(body, "[A-Za-z0-9]", -1)
+        shown = F.array_join(F.flatten(F.transform(signs, lambda c, i: F.array(c, F.coalesce(F.get(chars, i), F.lit(""))))), "")
         head, tail = F.substring(v, F.lit(1), before), F.substring(v, F.length(v) - after + 1, after)
 
         def checked(b: Column) -> Column:
@@ -190,16 +213,17 @@ def pseudonym(v: Column, kind: Column, key: str, back: bool = False) -> Column:
     return bind(numbers, put)
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", out: str = "text", key: str = DEMO_KEY, count: str = "n_pseudonyms") -> DataFrame:
-    """``out`` is the text with every validated value replaced, ``count`` how many were."""
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", out: str = "text", count: str = "n_pseudonyms") -> DataFrame:
+    """``out`` is the text with every validated value replaced, ``count`` how many were. ``key`` is to be kept secret."""
     column = F.col(text)
-    searched = docs.withColumn("_found", F.when(column.rlike(HINT), F.regexp_extract_all(column, F.lit(ANY), F.lit(0))))
-    made = searched.withColumn("_made", F.transform("_found", lambda v: F.transform(F.array(_kind(v)), lambda k: F.struct(
+    seen, done = spare(docs, "_found", "_made")
+    searched = docs.withColumn(seen, F.when(column.rlike(HINT), F.regexp_extract_all(column, F.lit(ANY), F.lit(0))))
+    made = searched.withColumn(done, F.transform(seen, lambda v: F.transform(F.array(_kind(v)), lambda k: F.struct(
         F.when(k.isNull(), v).otherwise(pseudonym(v, k, key)).alias("value"), k.alias("kind")))[0]))
     between = F.split(column, ANY, -1)
-    joined = F.array_join(F.flatten(F.transform(between, lambda t, i: F.array(t, F.coalesce(F.get("_made", i)["value"], F.lit(""))))), "")
-    some = F.size(F.coalesce("_found", F.array().cast("array<string>"))) > 0
-    counted = F.when(some, F.size(F.filter("_made", lambda m: m["kind"].isNotNull()))).otherwise(0)
+    joined = F.array_join(F.flatten(F.transform(between, lambda t, i: F.array(t, F.coalesce(F.get(done, i)["value"], F.lit(""))))), "")
+    some = F.size(F.coalesce(seen, F.array().cast("array<string>"))) > 0
+    counted = F.when(some, F.size(F.filter(done, lambda m: m["kind"].isNotNull()))).otherwise(0)
     others = [c for c in docs.columns if c not in (out, count)]
     position = {c: F.col(c) for c in others} | {out: F.when(some, joined).otherwise(column).alias(out)}
     order = [c for c in docs.columns if c != count]

@@ -49,7 +49,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_fpe.pseudonymise(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_pseudonyms")
+    return pii_fpe.pseudonymise(read(spark, sf_dir, "documents"), pii_fpe.DEMO_KEY).select("doc_id", "text", "n_pseudonyms")
 
 
 def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:

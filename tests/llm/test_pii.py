@@ -1,4 +1,6 @@
 import datetime
+import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ def test_values(spark):
     rows = [(i, f"see {v}, or {v}.") for i, v in enumerate(VALUES)] + [(90, 'password=b7db7aa4a5fcc78305 and token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"')]
     rows += [(100, None), (101, ""), (102, "no such thing"), (103, "4785380592391138 999.1.1.1 000-12-3456 2023-02-29 1.2.3 12:30"), (0, rows[0][1])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _other string")
-    got = pii_fpe.pseudonymise(df)
+    got = pii_fpe.pseudonymise(df, "k")
     assert got.columns == ["doc_id", "text", "_other", "n_pseudonyms"]
     out = {}
     for r in got.collect():
@@ -46,7 +48,7 @@ def test_values(spark):
 
 def test_same_number_in_other_spacing_is_linked(spark):
     df = spark.createDataFrame([("4111 1111 1111 1111",), ("4111111111111111",), ("4111-1111-1111-1111",)], "text string")
-    assert len({re.sub(r"\D", "", r.text) for r in pii_fpe.pseudonymise(df).collect()}) == 1
+    assert len({re.sub(r"\D", "", r.text) for r in pii_fpe.pseudonymise(df, "k").collect()}) == 1
 
 
 def test_permutation(spark):
@@ -58,5 +60,62 @@ def test_permutation(spark):
 
 def test_dates_are_a_permutation(spark):
     df = spark.range(3000).select(F.date_format(F.date_add(F.lit("2023-06-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
-    got = [r.text for r in pii_fpe.pseudonymise(df).collect()]
+    got = [r.text for r in pii_fpe.pseudonymise(df, "k").collect()]
     assert len(set(got)) == 3000 and all(datetime.date.fromisoformat(x).year in range(1800, 2200) for x in got)
+
+
+def plain_feistel(numbers, radixes, key, tweak, back=False):
+    """The same network in plain Python."""
+    done = []
+    for at in range(0, max(1, len(numbers)), pii_fpe.BLOCK):
+        state, radix = list(numbers[at : at + pii_fpe.BLOCK]), radixes[at : at + pii_fpe.BLOCK]
+        before = list(state)
+        for turn in range(pii_fpe.TURNS)[:: -1 if back else 1]:
+            message = "|".join([key, tweak, str(turn), ",".join(str(x) for i, x in enumerate(state) if i % 2 != turn % 2)])
+            words = "".join(hashlib.sha512(f"{message}|{c}".encode()).hexdigest() for c in "ab")
+            state = [x if i % 2 != turn % 2 else (x + (-1 if back else 1) * int(words[i // 2 * 8 : i // 2 * 8 + 8], 16)) % radix[i] for i, x in enumerate(state)]
+        done += state
+        tweak = hashlib.sha256(",".join([tweak, *map(str, state if back else before)]).encode()).hexdigest()
+    return done
+
+
+def test_the_network_value_by_value(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(60):
+        n = rnd.choice([1, 2, 3, 9, 16, 63, 64, 65, 130, 200])
+        radixes = [rnd.choice([2, 6, 8, 10, 26, 256, 9999]) for _ in range(n)]
+        rows.append((i, [rnd.randrange(r) for r in radixes], radixes))
+    df = spark.createDataFrame(rows, "id int, n array<long>, r array<long>")
+    there = df.withColumn("p", pii_fpe.feistel(F.col("n"), F.col("r"), "key", F.lit("t")))
+    for r in there.withColumn("q", pii_fpe.feistel(F.col("p"), F.col("r"), "key", F.lit("t"), back=True)).collect():
+        assert r.p == plain_feistel(r.n, r.r, "key", "t") and r.q == r.n == plain_feistel(r.p, r.r, "key", "t", True)
+
+
+def plain_text(v, kind, key):
+    """Local part or credential, letters and digits in their classes."""
+    body, tail = (v.partition("@")[0], v[v.index("@") :]) if kind == "email" else (v, "")
+    core = [c for c in body if c.isalnum()]
+    hexadecimal = kind == "credential" and re.fullmatch("[0-9a-f]+", "".join(core))
+    low = [48 if c.isdigit() else 65 if c.isupper() else 97 for c in core]
+    radixes = [10 if c.isdigit() else 26 if c.isupper() else 6 if hexadecimal else 26 for c in core]
+    made = iter(plain_feistel([ord(c) - x for c, x in zip(core, low)], radixes, key, kind))
+    lows = iter(low)
+    return "".join(chr(next(made) + next(lows)) if c.isalnum() else c for c in body) + tail
+
+
+def test_values_of_any_length(spark):
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcXYZ019") for _ in range(n))
+    values = [("email", f"{word(n)}.{word(3)}@example.org") for n in (5, 60, 70, 300)] + [("credential", word(n)) for n in (6, 64, 65, 112, 5000)]
+    rows = [(i, f"mail {v} now" if k == "email" else f"password={v} end") for i, (k, v) in enumerate(values)]
+    got = {r.doc_id: r for r in pii_fpe.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
+    for i, (kind, v) in enumerate(values):
+        assert got[i].n_pseudonyms == 1 and got[i].text == rows[i][1].replace(v, plain_text(v, kind, "k")), (i, got[i])
+
+
+def test_no_rows_and_clashing_names(spark):
+    shape = "doc_id int, text string, _found string, _made string, n_pseudonyms string"
+    assert pii_fpe.pseudonymise(spark.createDataFrame([], shape), "k").collect() == []
+    got = pii_fpe.pseudonymise(spark.createDataFrame([(1, "at 10.0.0.1", "a", "b", "c")], shape), "k").collect()[0]
+    assert got._found == "a" and got._made == "b" and got.n_pseudonyms == 1 and got.text != "at 10.0.0.1"
