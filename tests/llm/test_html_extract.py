@@ -45,6 +45,45 @@ def test_pages_table(spark):
 
 def test_heading_and_lead_outside_the_body_stay():
     page = "<html><body><div class=menu><a href=a>one</a></div><div class=wrap><h1>Title</h1><p>Lead</p><div class=body>" + "<p>A long paragraph of the article.</p>" * 20 + "</div></div><div class=footer>foot</div></body></html>"
-    own = H.occurrences(page)
-    main = H.main_paths([(t, (c,), 1.0, place, int(letters), bool(b)) for t, (c, place, letters, b) in own.items()], 5)
-    assert H.main_text(page, main).split("\n\n") == ["Title", "Lead"] + ["A long paragraph of the article."] * 20
+    assert H.main_text(page, H.own_template(page)).split("\n\n") == ["Title", "Lead"] + ["A long paragraph of the article."] * 20
+
+
+def judged(spark, pages):
+    df = spark.createDataFrame([(i, f"http://x.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    return [r.text for r in sorted(H.extract(df).collect(), key=lambda r: r.page_id)]
+
+
+def story(i, k=6):
+    return "".join(f"<p>Paragraph {j} of story {i} tells something that no other page tells, {i * 31 + j} times.</p>" for j in range(k))
+
+
+def plain(i, k=6):
+    return [f"Paragraph {j} of story {i} tells something that no other page tells, {i * 31 + j} times." for j in range(k)]
+
+
+def test_names_of_the_template_go_and_names_of_few_pages_stay(spark):
+    few = '<section id="search-algorithms"><p>On search.</p></section><div class="alert note"><p>Take care.</p></div><math><mi>x</mi></math><noscript><p>Kept</p></noscript>'
+    page = lambda i: f"<body><article><h1>T{i}</h1>{story(i)}{few if i == 3 else ''}<div class='related-links'><p>See {i * 7}</p></div><div class=comment-list><p>Reader {i}</p></div></article></body>"
+    got = judged(spark, [page(i) for i in range(12)])
+    for i, text in enumerate(got):
+        assert text.split("\n\n") == [f"T{i}", *plain(i), *(["On search.", "Take care.", "x", "Kept"] if i == 3 else [])]
+
+
+def test_constant_text_is_template_and_varying_text_is_not(spark):
+    page = lambda i: f"<body><div class=top><p>Welcome to the site</p></div><div class=text><h2>T{i}</h2><p>Subscribe to our letter today</p>{story(i)}<p>All rights reserved</p></div></body>"
+    assert [t.split("\n\n") for t in judged(spark, [page(i) for i in range(12)])] == [[f"T{i}", *plain(i)] for i in range(12)]
+    # copies of one page: all of it is constant, so nothing but the page itself can tell
+    copies = judged(spark, [f"<body><div class=text><h2>T</h2>{story(1)}</div></body>"] * 12)
+    assert all(t.split("\n\n") == ["T", *plain(1)] for t in copies)
+
+
+def test_an_article_that_is_a_teaser_is_not_the_root(spark):
+    page = lambda i: f"<body><div class=page><article><p>Teaser {i}</p></article><div class=body><h1>T{i}</h1>{story(i)}</div></div></body>"
+    assert [t.split("\n\n") for t in judged(spark, [page(i) for i in range(5)])] == [[f"Teaser {i}", f"T{i}", *plain(i)] for i in range(5)]
+
+
+def test_a_very_long_page_and_other_columns(spark):
+    html_page = "<body><article>" + story(1, 20_000) + "</article></body>"
+    df = spark.createDataFrame([(1, "http://x.org/", html_page, "a", "b"), (1, "http://x.org/", html_page, "a", "b")], "page_id long, url string, html string, _host string, _template string")
+    for r in H.extract(df).collect():
+        assert r.text.split("\n\n") == plain(1, 20_000) and r._host == "a" and r._template == "b"
