@@ -2,12 +2,13 @@
 
 Association rules: the distinct tokens of each labelled URL and its label are one transaction. Spark's FP-growth finds
 the frequent sets; rules tokens -> label with enough support and confidence stay, without those that a rule of fewer
-tokens, the same label and no less confidence already covers. Matching is by inverted index: a rule is posted under its
+tokens, the same label and no less confidence already covers. Confidence is balanced: what it would be if both labels, or
+all others together, were equally frequent; so a rule must tell something about a label, however rare that label is. Matching is by inverted index: a rule is posted under its
 rarest token only, and a URL looks at the postings of its own tokens. Of several matches the most confident wins, then
 the one of most support, then the first by its text. Where none matches, the verdict is ``allow``.
 
 Before mining, tokens of too little support go, tokens that occur in the same labelled URLs are one (the longest name
-stands for all in a rule's text, and a URL with any of them has it), and tokens of all labelled URLs go: they could only repeat rules. The support of a rule is a share of the
+stands for all in a rule's text, and a and a URL with any of them has it), and tokens of all labelled URLs go: they could only repeat rules. of all labelled URLs go: they could only repeat rules. The support of a rule is a share of the
 labelled URLs and at least ``LEAST_ROWS`` of them, so few labels give few rules. The tokens sent to the tasks number at
 most the tokens of a URL / ``SUPPORT``. Rules are pruned as they
 come from the tasks, the shortest first; none is dropped for their number.
@@ -107,14 +108,27 @@ def _representatives(items: DataFrame, rows: int, least: float) -> dict[str, tup
     return {r[0]: tuple(r[1]) for r in one.select("longest.token", "members").collect()}
 
 
-def _pruned_rules(baskets: DataFrame, support: float, confidence: float, classes: dict[str, tuple[str, ...]]) -> list[Mined]:
+def _pruned_rules(baskets: DataFrame, rows: int, support: float, confidence: float, classes: dict[str, tuple[str, ...]]) -> list[Mined]:
     """Rules tokens -> label that no rule of fewer tokens covers. They come by size, so only those that stay are held."""
-    model = FPGrowth(minSupport=support, minConfidence=confidence, itemsCol="items").fit(baskets)
+    shares = {r[0][1:]: r[1] for r in baskets.select(F.element_at("items", -1).alias("l")).groupBy("l").agg(F.count("*") / F.lit(float(rows))).collect()}
+    if len(shares) < 2:
+        least = {label: confidence for label in shares}  # nothing to tell apart
+    else:
+        # the plain confidence at which the balanced one reaches the bound
+        least = {label: confidence * p / (confidence * p + (1 - confidence) * (1 - p)) for label, p in shares.items()}
+    if not least:
+        return []
+    model = FPGrowth(minSupport=support, minConfidence=min(least.values()), itemsCol="items").fit(baskets)
     found = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL) & ~F.exists("antecedent", lambda t: t.startswith(LABEL)))
-    rows = found.select("antecedent", F.substring(F.element_at("consequent", 1), 2, 1 << 20).alias("label"), "confidence", "support").orderBy(F.size("antecedent"))
+    label = F.substring(F.element_at("consequent", 1), 2, 1 << 20)
+    bound, plain = (F.create_map(*[F.lit(x) for pair in d.items() for x in pair])[F.col("label")] for d in (least, shares))
+    odds = F.col("confidence") * (1 - plain) / ((1 - F.col("confidence")) * plain)
+    balanced = F.when(F.col("confidence") >= 1, 1.0).otherwise(odds / (1 + odds)) if len(shares) > 1 else F.col("confidence")
+    rows_of = found.select("antecedent", label.alias("label"), "confidence", "support").where(F.col("confidence") >= bound - 1e-9)
+    rows_of = rows_of.withColumn("confidence", F.round(balanced, 9)).orderBy(F.size("antecedent"))
     kept: list[Mined] = []
     by_token: dict[str, list[Mined]] = {}
-    for r in rows.toLocalIterator():
+    for r in rows_of.toLocalIterator():
         rule = Mined(frozenset(r["antecedent"]), r["label"], r["confidence"], r["support"], tuple(classes[t] for t in sorted(r["antecedent"])))
         if not any(k.label == rule.label and k.confidence >= rule.confidence and k.tokens <= rule.tokens for t in rule.tokens for k in by_token.get(t, ())):
             kept.append(rule)
@@ -135,7 +149,7 @@ def mine(urls: DataFrame, url: str = "url", label: str = "label", support: float
         made_of = with_arrow(made, ["items"], [T.StructField("items", T.ArrayType(T.StringType()))], lambda: lambda c: [[[t for t in x if t in names] for x in c.to_pylist()]], keep=["_l"])
         baskets = made_of.select(F.array_append("items", F.concat(F.lit(LABEL), "_l")).alias("items")).persist()
         try:
-            return _pruned_rules(baskets, support, confidence, names)
+            return _pruned_rules(baskets, rows, support, confidence, names)
         finally:
             baskets.unpersist()
     finally:
