@@ -1,22 +1,24 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 The lexicon is a short fixed list and beginnings of words learned from labels: those of 4 to 8 letters, or whole words,
-that occur in at least ``LEAST`` toxic texts of the sample and hardly in others. Features count hits of both (plain, and
+that occur in at least ``LEAST`` toxic texts of the sample and hardly in others; all of them are kept, as the sample is
+bounded. Features count hits of both (plain, and
 again after undoing obfuscation: digits and signs for letters, stretched and spelled-out words), their density, their
 distance to second-person words, capitals, punctuation, signs inside words and length. Nothing but the text is an input.
 
 Fitting uses at most ``TRAIN_ROWS`` labelled rows, those with the least hash of their id, among rows with
-crc32(id) mod 3 <> 1; scoring reads every whole text. The trees are grown on histograms in numpy; the calibration is
-fitted on out-of-fold margins of the same rows.
+crc32(id) mod 3 <> 1; scoring reads every whole text. The trees are grown on histograms in numpy. The calibration is
+fitted on out-of-fold margins: for each fold both the lexicon and the trees come from the other folds.
 
 Edge cases: null and empty texts have all-zero features and a score like others; without labelled rows of both classes
-the score is the share of toxic rows (0.5 without any); several labels of a document: the highest; equal rows score alike.
+the score is the share of toxic rows (0.5 without any); several labels of a document: the highest; equal texts score
+alike, so ties stay ties; texts of any length are read whole; an empty table gives no rows; a column named like the output
+is replaced, others pass through.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +31,7 @@ from .common import texts, with_arrow
 
 TRAIN_ROWS = 12_000
 LEAST = 8
-MOST_TERMS = 2_000
+FOLDS = 4
 THRESHOLD = 0.7
 
 #: Insults, and words of the second person, of four languages.
@@ -50,8 +52,11 @@ class Lexicon:
     words: frozenset = frozenset()
     starts: tuple[frozenset, ...] = tuple(frozenset() for _ in range(5))
 
+    def __post_init__(self):
+        self.used = [(n, s) for n, s in zip(range(4, 9), self.starts) if s]
+
     def has(self, word: str) -> bool:
-        return word in self.words or any(word[:n] in s for n, s in zip(range(4, 9), self.starts) if s)
+        return word in self.words or any(word[:n] in s for n, s in self.used)
 
 
 def undone(text: str) -> list[str]:
@@ -68,34 +73,38 @@ def undone(text: str) -> list[str]:
     return found
 
 
-def features(text: str, lexicon: Lexicon) -> list[float]:
+def features(text: str, *lexicons: Lexicon) -> list[float]:
+    """The features of a text for one lexicon, or for several one after another."""
     if not text:
-        return [0.0] * len(NAMES)
+        return [0.0] * len(NAMES) * len(lexicons)
     low = text.lower()
     words = WORD.findall(low)
-    n = max(1, len(words))
+    n, kinds = max(1, len(words)), set(words)
     fixed = [i for i, w in enumerate(words) if w in INSULTS]
-    whole, starts = lexicon.words, [(k, s) for k, s in zip(range(4, 9), lexicon.starts) if s]
-    learned = [i for i, w in enumerate(words) if w in whole or any(w[:k] in s for k, s in starts)]
-    hidden = sum(w in INSULTS or lexicon.has(w) for w in undone(low))
-    you = [i for i, w in enumerate(words) if w in SECOND]
-    near = 0
-    if you and (fixed or learned):
-        at = np.array(you)
-        hits = np.array(sorted({*fixed, *learned}))
-        spot = np.searchsorted(at, hits)
-        gap = np.minimum(np.abs(at[np.minimum(spot, len(at) - 1)] - hits), np.abs(at[np.maximum(spot - 1, 0)] - hits))
-        near = int((gap <= 5).sum())
+    maybe = undone(low)
+    you = np.array([i for i, w in enumerate(words) if w in SECOND])
     data = np.bincount(np.frombuffer(text.encode(), dtype=np.uint8), minlength=256)
     capital, small = int(data[65:91].sum()), int(data[97:123].sum())
     marks = int(data[33:48].sum() + data[58:65].sum() + data[91:97].sum() + data[123:127].sum())
     size = len(text)
     shouted = sum(1 for w in text.split() if len(w) > 2 and w.isupper()) if capital * 4 > small else 0
     mixed = sum(1 for _ in MIXED.finditer(low)) if data[48:58].any() or data[[33, 36, 42, 64]].any() else 0
-    return [
-        float(np.log1p(len(words))), len(fixed), len(fixed) / n, len({words[i] for i in fixed}), len(learned), len(learned) / n,
-        len({words[i] for i in learned}), hidden, near, len(you) / n, capital / max(1, capital + small), shouted / n, marks / size, data[33] / size, mixed / n,
-    ]
+    out: list[float] = []
+    for lexicon in lexicons:
+        own = {w for w in kinds if lexicon.has(w)}
+        learned = [i for i, w in enumerate(words) if w in own] if own else []
+        hidden = sum(w in INSULTS or lexicon.has(w) for w in maybe)
+        near = 0
+        if len(you) and (fixed or learned):
+            hits = np.array(sorted({*fixed, *learned}))
+            spot = np.searchsorted(you, hits)
+            gap = np.minimum(np.abs(you[np.minimum(spot, len(you) - 1)] - hits), np.abs(you[np.maximum(spot - 1, 0)] - hits))
+            near = int((gap <= 5).sum())
+        out += [
+            float(np.log1p(len(words))), len(fixed), len(fixed) / n, len({words[i] for i in fixed}), len(learned), len(learned) / n,
+            len(own), hidden, near, len(you) / n, capital / max(1, capital + small), shouted / n, marks / size, data[33] / size, mixed / n,
+        ]
+    return out
 
 
 @dataclass
@@ -174,8 +183,8 @@ class Model:
             return np.zeros(0)
         margin = self.trees.margin(np.array([features(t, self.lexicon) for t in batch], dtype=float))
         shown = np.interp(margin, *self.knots) if len(self.knots[0]) else np.full(len(batch), 0.5)
-        # between equal knots the margin still orders the rows
-        return np.clip(shown * 0.98 + 0.02 / (1 + np.exp(-margin)), 0.0, 1.0)
+        # rows of one block differ by so little that only their order shows
+        return np.clip(shown + 1e-6 * (1 / (1 + np.exp(-margin)) - 0.5), 0.0, 1.0)
 
 
 def _units(text: str) -> set[str]:
@@ -184,55 +193,66 @@ def _units(text: str) -> set[str]:
     return {w + "." for w in words if len(w) > 2} | {w[:n] for w in words for n in range(4, 9) if len(w) > n}
 
 
-def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """From (text, toxic): terms by how many toxic and other texts have them, counted in each task before the shuffle."""
+def _lexicon(units: list[str]) -> Lexicon:
+    starts = tuple(frozenset(u for u in units if len(u) == n and not u.endswith(".")) for n in range(4, 9))
+    return Lexicon(frozenset(u[:-1] for u in units if u.endswith(".")), starts)
+
+
+def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
+    """From (text, toxic, fold): the lexicon of all rows, then for each fold that of the others.
+
+    Terms count by how many toxic and other texts of each fold have them, summed in each task before the shuffle.
+    """
+    names = [f"{kind}{k}" for k in range(FOLDS) for kind in ("other", "toxic")]
 
     def count(batches):
         found: dict[str, list[int]] = {}
         for batch in batches:
-            for text, toxic in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
+            for text, toxic, fold in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 for unit in _units(text):
-                    found.setdefault(unit, [0, 0])[toxic] += 1
-            if len(found) > 400_000:
-                yield made(found)
-                found = {}
+                    found.setdefault(unit, [0] * (2 * FOLDS))[2 * fold + toxic] += 1
+                if len(found) > 200_000:
+                    yield made(found)
+                    found = {}
         yield made(found)
 
     def made(found):
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(found), type=pa.string()), *(pa.array([v[k] for v in found.values()], type=pa.int64()) for k in (0, 1))], names=["unit", "other", "toxic"])
+            [pa.array(list(found), type=pa.string()), *(pa.array([v[k] for v in found.values()], type=pa.int64()) for k in range(2 * FOLDS))], names=["unit", *names])
 
-    units = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "unit string, other long, toxic long")
-    sums = units.groupBy("unit").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).where(f"toxic >= {LEAST} and toxic >= 12 * other")
-    top = sums.orderBy(F.desc("toxic"), "unit").limit(MOST_TERMS).collect()
-    support = Counter({r["unit"]: r["toxic"] for r in top})
-    words = frozenset(u[:-1] for u in support if u.endswith("."))
-    starts = tuple(frozenset(u for u in support if len(u) == n and not u.endswith(".")) for n in range(4, 9))
-    return Lexicon(words, starts)
+    units = rows.select("text", F.col("toxic").cast("int").alias("toxic"), "fold").mapInArrow(count, ", ".join(["unit string", *(f"{n} long" for n in names)]))
+    total = {kind: sum((F.col(f"{kind}{k}") for k in range(1, FOLDS)), F.col(f"{kind}0")) for kind in ("other", "toxic")}
+    told = [(total["toxic"] >= LEAST) & (total["toxic"] >= 12 * total["other"])]
+    for k in range(FOLDS):
+        other, toxic = (total[kind] - F.col(f"{kind}{k}") for kind in ("other", "toxic"))
+        told.append((toxic >= LEAST) & (toxic >= 12 * other))
+    found = units.groupBy("unit").agg(*[F.sum(n).alias(n) for n in names]).select("unit", F.array(*told).alias("told")).where(F.exists("told", lambda t: t)).collect()
+    return [_lexicon(sorted(r["unit"] for r in found if r["told"][i])) for i in range(FOLDS + 1)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("toxic"))
     sample = marked.orderBy(F.xxhash64(F.lit(11), "_key"), "_key").limit(TRAIN_ROWS)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
-    train = rows.join(sample, "_key").select("_key", "text", "toxic").persist()
+    train = rows.join(sample, "_key").select("_key", "text", "toxic", F.pmod(F.xxhash64(F.lit(5), "_key"), F.lit(FOLDS)).cast("int").alias("fold")).persist()
     try:
-        lexicon = learn_lexicon(train)
-        made = with_arrow(train, ["text"], [T.StructField("x", T.ArrayType(T.DoubleType()))], lambda: lambda c: [[features(t, lexicon) for t in texts(c)]], keep=["_key", "toxic"])
-        got = made.toArrow()
+        lexicons = learn_lexicons(train)
+        start = lambda: lambda c: [[features(t, *lexicons) for t in texts(c)]]
+        got = with_arrow(train, ["text"], [T.StructField("x", T.ArrayType(T.DoubleType()))], start, keep=["_key", "toxic", "fold"]).toArrow()
     finally:
         train.unpersist()
     order = np.argsort(np.array(got.column("_key").to_pylist(), dtype=object).astype(str), kind="stable") if got.num_rows else np.array([], dtype=int)
     y = np.array(got.column("toxic").to_pylist(), dtype=float)[order]
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
-        return Model(lexicon, Trees(), (np.array([0.0]), np.array([share])))
-    x = np.array(got.column("x").to_pylist(), dtype=float)[order]
-    fold = np.arange(len(y)) % 4
+        return Model(lexicons[0], Trees(), (np.array([0.0]), np.array([share])))
+    x = np.array(got.column("x").to_pylist(), dtype=float)[order].reshape(len(y), FOLDS + 1, len(NAMES))
+    fold = np.array(got.column("fold").to_pylist())[order]
     margin = np.zeros(len(y))
-    for k in range(4):
-        margin[fold == k] = grow(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return Model(lexicon, grow(x, y), isotonic(margin, y))
+    for k in range(FOLDS):
+        if (fold == k).any():
+            margin[fold == k] = grow(x[fold != k, k + 1], y[fold != k]).margin(x[fold == k, k + 1])
+    return Model(lexicons[0], grow(x[:, 0], y), isotonic(margin, y))
 
 
 def held_out(key):
