@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 K = 128
 WORDS = 5
 #: Rows in a range of ids that one task orders, about, and the most ranges.
-ROWS_IN_RANGE = 2000
+ROWS_IN_RANGE = 10_000
 MOST_RANGES = 20_000
 SPACE = 2.0**64
 
@@ -96,8 +96,10 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     placed = docs.withColumn("_range", _spot(ids, bounds, len(starts)))
     firsts = {r[0]: r[1] for r in placed.groupBy("_range").agg(F.min(F.coalesce(key, F.lit(-(1 << 63))))).collect()}
     order = sorted(firsts)
-    before = [(firsts[r], order[i - 1]) for i, r in enumerate(order)]
-    guest = F.element_at(F.create_map(*[F.lit(x) for pair in before for x in pair]), ids) if before else F.lit(None).cast("int")
+    # a range's number tells its place in this list, and its first key the range before (the last one before the first)
+    number = F.col("_range") - 1
+    begins, before = (F.array(*[F.lit(v.get(r)).cast("long") for r in range(1, max(order, default=0) + 1)]) for v in (firsts, {r: order[i - 1] for i, r in enumerate(order)}))
+    guest = F.when(F.get(begins, number) == ids, F.get(before, number).cast("int"))
     homes = F.array_compact(F.array(
         F.struct("_range", F.lit(0).alias("guest")),
         F.when(guest.isNotNull(), F.struct(guest.alias("_range"), F.lit(1).alias("guest"))),
