@@ -32,13 +32,13 @@ def durable(df: DataFrame) -> DataFrame:
 LEAST_HOT, SHARES = 1000, 64
 
 
-def join_uneven(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+def join_uneven(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined to ``table``, which has one row for each key, where some keys may hold very many rows.
 
     ``counts`` has each key's number of rows as ``n``. The rows of hot keys are dealt out in turn and the table's row goes
-    to each share; at most a thousand keys are hot, so their list is small for any input.
+    to each share; at most a thousand keys are hot, so their list is small for any input. ``total``: the number of rows, if known.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total = (counts.agg(F.sum("n")).first()[0] or 0) if total is None else total
     hot = F.broadcast(counts.where(F.col("n") > max(LEAST_HOT, total // 1000)).select(key, F.lit(True).alias("_hot")))
     dealt = rows.join(hot, key, "left").withColumn("_share", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SHARES))).otherwise(F.lit(0)).cast("int")).drop("_hot")
     sent = table.join(hot, key, "left").withColumn("_share", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")

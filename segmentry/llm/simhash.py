@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, texts, with_arrow
+from .common import durable, join_uneven, texts, with_arrow
 from .components import components
 
 RADIUS = 2
@@ -232,10 +232,10 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: key, fp (long), component_id (the least key that it reaches over links)."""
     fps = durable(with_fingerprint(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text", "fp", ["doc_id"]))
-    nodes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    nodes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     joined = durable(components(links(nodes.select("fp"))))
-    least = joined.join(nodes, joined.node == nodes.fp).select("node", "root", "rep")
-    ids = least.groupBy("root").agg(F.min("rep").alias("component"))
-    of_node = least.select("node", "root").join(ids, "root").select(F.col("node").alias("fp"), "component")
+    least = durable(joined.join(nodes, joined.node == nodes.fp).select("node", "root", "rep"))
+    ids = least.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("n"))
+    of_node = join_uneven(least.select("node", "root"), ids.drop("n"), "root", ids.select("root", "n")).select(F.col("node").alias("fp"), "component")
     ids_of_fps = nodes.join(of_node, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(ids_of_fps, "fp").select(F.col("doc_id").alias(key), "fp", "component_id")
+    return join_uneven(fps, ids_of_fps, "fp", nodes.select("fp", "n")).select(F.col("doc_id").alias(key), "fp", "component_id")
