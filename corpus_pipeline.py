@@ -25,10 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts linked by resemblance (five words, 0.8 or more) one row stays: the least id, then the least text hash."""
-    found = near_copies.with_group(docs, out="_group")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    stay = found.groupBy("_group").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("_row"))
-    return stay.select("_row.*")
+    return near_copies.keep_one(docs)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

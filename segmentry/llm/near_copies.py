@@ -1,16 +1,22 @@
-"""Groups of texts that are near copies: shingle resemblance (Jaccard) of ``LEAST`` or more, exactly, without all pairs.
+"""SimHash near-dedup at a resemblance: groups of texts whose shingle sets have a Jaccard index of ``LEAST`` or more.
 
 Words are those of ``simhash``, shingles are ``WORDS`` words (fewer: the whole sequence) as XXH64 values. Texts of equal
-words are one node. Of two texts at the least resemblance one must hold, among its first n - ceil(LEAST * n) + 1 shingles
-in any order common to all texts, a shingle that the other has among its own; so each node posts its prefix, rare
+words are one node. Fingerprints of such texts differ in some 10 of 64 bits, too many for buckets of equal bits, so
+candidates meet by shingles: of two texts at the least resemblance one must hold, among its first n - ceil(LEAST * n) + 1
+shingles in any order common to all texts, a shingle that the other has among its own; so each node posts its prefix, rare
 shingles first. The order comes from a table of fixed size of how often shingles occur; what is wrong in it (two shingles
 in one place) costs time and no pair.
 
-Nodes with a common posting and lengths that allow the resemblance are chained, the chains' components are gathered, and
-inside each of them whole shingle sets are compared from node to node until no unreached one is linked. A large group of
-near copies is reached from its first node, so its pairs are never listed. One task holds the texts of one such component.
+Nodes with a common posting and lengths that allow the resemblance are chained, and the chains' components are gathered.
+Inside each of them a node's fingerprint is held against all others' bit planes (``simhash.near_one``), the shingle sets of
+those within ``RADIUS`` bits are compared exactly, and what is reached goes on to the next. A large group of near copies is
+reached from its first node, so its pairs are never listed. Two texts at the least resemblance differ in 64 * acos(8 / 9)
+/ pi = 9.7 bits with a deviation of 2.9, so ``RADIUS`` is more than six deviations away: the filter costs no link in
+practice, and the tests hold it against all pairs. One task holds the texts of one component.
 
-Edge cases: null and empty texts, and texts of white space only, are copies of each other; equal rows and ids are kept.
+Edge cases: null and empty texts, and texts of white space only, are copies of each other; equal rows and ids are kept as
+rows of one group; very long texts are one node like any other; of ties in the order of shingles the lesser hash comes
+first; an empty table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, texts, with_arrow
+from . import simhash
+from .common import durable, join_uneven, spare, texts, with_arrow
 from .components import components
 
 LEAST = 0.8
 WORDS = 5
+#: Differing bits beyond which shingle sets are not compared.
+RADIUS = 28
 #: The table of how often shingles occur: so many ranges, and so many places in each.
 RANGES, PLACES = 1 << 10, 1 << 14
 
@@ -150,8 +159,15 @@ def _chains(batches):
         yield pa.RecordBatch.from_arrays([pa.array(own[:-1][hit]), pa.array(own[1:][hit])], names=["u", "v"])
 
 
+def bits(found: np.ndarray) -> int:
+    """The fingerprint of a shingle set: a bit is 1 if it is set in over half of the hashes."""
+    ones = np.unpackbits(found.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view("<u8")[0])
+
+
 def groups(nodes: list[int], sets: list[np.ndarray]) -> list[int]:
     """The least node that each node reaches over links."""
+    fps = [bits(s) for s in sets]
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     size = np.array([len(s) for s in sets])
     begin = np.r_[0, np.cumsum(size)]
@@ -160,18 +176,22 @@ def groups(nodes: list[int], sets: list[np.ndarray]) -> list[int]:
     left = np.arange(len(nodes))
     while len(left):
         todo, reached, left = [left[0]], [left[0]], left[1:]
-        flat, starts, rows = None, None, left
+        planes = rows = None
         while todo and len(left):
             x = todo.pop()
-            if flat is None or 2 * len(left) < len(rows):
+            if rows is None or 2 * len(left) < len(rows):
                 rows = left
-                flat = np.concatenate([ids[begin[i] : begin[i + 1]] for i in rows])
-                starts = np.r_[0, np.cumsum(size[rows])[:-1]]
+                planes = simhash.planes_of(np.array([fps[i] for i in rows], dtype="<u8"))
+            lanes = simhash.near_one(planes, fps[x], RADIUS)
+            close = np.intersect1d(rows[lanes[lanes < len(rows)]], left)
+            if not len(close):
+                continue
             mine = ids[begin[x] : begin[x + 1]]
             mark[mine] = True
-            common = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            flat = np.concatenate([ids[begin[i] : begin[i + 1]] for i in close])
+            common = np.add.reduceat(mark[flat], np.r_[0, np.cumsum(size[close])[:-1]], dtype=np.int64)
             mark[mine] = False
-            near = np.intersect1d(rows[enough(common, size[rows], size[x])], left)
+            near = close[enough(common, size[close], size[x])]
             todo += near.tolist()
             reached += near.tolist()
             left = np.setdiff1d(left, near)
@@ -188,7 +208,7 @@ def _compare(batches):
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(groups(nodes, sets), pa.int64())], names=["node", "least"])
 
     for batch in batches:
-        for root, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
+        for root, own, text in zip(batch.column("root").to_pylist(), batch.column("node").to_pylist(), texts(batch.column("text"))):
             if root != now and nodes:
                 yield done()
                 nodes, sets = [], []
@@ -199,14 +219,40 @@ def _compare(batches):
         yield done()
 
 
-def with_group(docs: DataFrame, text: str = "text", out: str = "group") -> DataFrame:
-    """Add a number that rows share if links lead from one's text to the other's."""
-    spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(table(docs, text))
+def _named(docs: DataFrame, text: str, own: str) -> DataFrame:
+    return with_arrow(docs, [text], [T.StructField(own, T.LongType())], lambda: lambda c: [[node(t) for t in texts(c)]])
+
+
+def reached(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(node, least): the least node that a text's node reaches over links, for nodes that share postings with others."""
+    levels = docs.sparkSession.sparkContext.broadcast(table(docs, text))
     dealt = docs.select(text).mapInArrow(_postings(levels), "key long, node long, n int").repartition("key").sortWithinPartitions("key", "n", "node")
     chained = durable(components(dealt.mapInArrow(_chains, "u long, v long")))
-    named = with_arrow(docs, [text], [T.StructField("_node", T.LongType())], lambda: lambda c: [[node(t) for t in texts(c)]])
-    held = named.select("_node", F.col(text).alias("_text")).join(chained, F.col("_node") == F.col("node"))
-    one = held.groupBy("root", "node").agg(F.min("_text").alias("text"))
-    found = durable(one.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_compare, "node long, least long"))
-    return named.join(found, F.col("_node") == F.col("node"), "left").withColumn(out, F.coalesce("least", "_node")).drop("_node", "node", "least")
+    # one text of each node, chosen before the shuffle
+    one = _named(docs.select(F.col(text).alias("text")), "text", "node").groupBy("node").agg(F.min("text").alias("text"))
+    return durable(one.join(chained, "node").repartition("root").sortWithinPartitions("root", "node").mapInArrow(_compare, "node long, least long"))
+
+
+def with_group(docs: DataFrame, text: str = "text", out: str = "group") -> DataFrame:
+    """Add a number that rows share if links lead from one's text to the other's."""
+    own, least = spare(docs, "_node", "_least")
+    named = _named(docs, text, own)
+    counts = durable(named.groupBy(own).agg(F.count("*").alias("n")))
+    group = counts.join(reached(docs, text).withColumnsRenamed({"node": own}), own, "left").select(own, F.coalesce("least", own).alias(least))
+    return join_uneven(named, group, own, counts).withColumn(out, F.col(least)).select(*[c for c in docs.columns if c != out], out)
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group: that of the least key (null last), then of the least hash of text and row; of equal rows one.
+
+    A group's rows never meet: the first row of each text is found by a minimum, then the first of each group, and only
+    rows that could be it are joined, those of frequent texts dealt out.
+    """
+    own, order, best = spare(docs, "_node", "_order", "_best")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = _named(docs, text, own).withColumn(order, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("of_text"), F.xxhash64(*columns).alias("of_row")))
+    first = durable(named.groupBy(own).agg(F.min(order).alias(best), F.count("*").alias("n")))
+    group = first.join(reached(docs, text).withColumnsRenamed({"node": own}), own, "left").withColumn("least", F.coalesce("least", own))
+    stay = group.groupBy("least").agg(F.min_by(F.struct(own, best), best).alias("row")).select(f"row.{own}", f"row.{best}")
+    found = join_uneven(named, stay, own, first.select(own, "n")).where(F.col(order).eqNullSafe(F.col(best)))
+    return found.groupBy(own).agg(F.first(F.struct(*columns)).alias("row")).select("row.*")

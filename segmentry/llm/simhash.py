@@ -149,6 +149,38 @@ def near_lanes(planes: np.ndarray, shift: int, wanted: np.ndarray, radius: int =
     return np.flatnonzero(np.unpackbits((~over).reshape(-1).view(np.uint8), bitorder="little"))
 
 
+def near_one(planes: np.ndarray, fp: int, radius: int) -> np.ndarray:
+    """The lanes whose distance to ``fp`` is at most ``radius``: one fingerprint against all, any radius below 64.
+
+    Each plane is added to all lanes' counters at once, which are bit planes too; blocks of lanes that all exceed the
+    radius are abandoned after every 16 planes.
+    """
+    size = LANES // 64
+    alive = np.arange(planes.shape[1] // size)
+    counters = [np.zeros((len(alive), size), dtype="<u8") for _ in range(7)]
+    for at in range(0, 64, 16):
+        for bit in range(at, at + 16):
+            plane = planes[bit].reshape(-1, size)[alive]
+            carry = ~plane if fp >> bit & 1 else plane
+            for k, counter in enumerate(counters):
+                counters[k], carry = counter ^ carry, counter & carry
+                if k > 3 and not carry.any():
+                    break
+        over, equal = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])
+        for k in range(6, -1, -1):
+            if radius >> k & 1:
+                equal &= counters[k]
+            else:
+                over |= equal & counters[k]
+                equal &= ~counters[k]
+        left = (~over).any(axis=1)
+        alive, counters, over = alive[left], [c[left] for c in counters], over[left]
+        if not len(alive):
+            return np.zeros(0, dtype=np.int64)
+    hits = np.flatnonzero(np.unpackbits((~over).reshape(-1).view(np.uint8), bitorder="little"))
+    return alive[hits // LANES] * LANES + hits % LANES
+
+
 def forest(group: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect what links connect, for rows sorted by group."""
     sizes = np.diff(np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])) if len(group) else np.array([], dtype=int)

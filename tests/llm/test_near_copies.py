@@ -70,3 +70,34 @@ def test_stage_keeps_distinct_texts_of_equal_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, long[1]), (3, long[2]), (3, long[3]), (5, long[0])])
+
+
+def test_hot_group_of_near_copies_and_names(spark):
+    rnd = random.Random(2)
+    base = [f"w{rnd.randrange(900)}" for _ in range(80)]
+    texts = [" ".join(f"v{rnd.randrange(900)}" for _ in range(60)) for _ in range(60)] + [" ".join(base)] * 50
+    for _ in range(150):
+        w = list(base)
+        w[rnd.randrange(80)] = f"x{rnd.randrange(9)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)], "doc_id long, text string, _node string, group string").repartition(5)
+    got = near_copies.with_group(df, out="g").collect()
+    assert classes([r.g for r in sorted(got)]) == classes(brute(texts)) and {r.group for r in got} == {"b"}
+    kept = near_copies.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [*range(60), 60]
+    assert near_copies.keep_one(df.limit(0)).collect() == [] == near_copies.with_group(df.limit(0)).collect()
+
+
+def test_one_against_all_bit_planes():
+    import numpy as np
+
+    from segmentry.llm import simhash
+
+    rnd = np.random.default_rng(6)
+    fps = rnd.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2) + rnd.integers(0, 2, 3000, dtype=np.uint64)
+    fps[:500] = fps[0] ^ (np.uint64(1) << rnd.integers(0, 64, 500).astype(np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 64, 500).astype(np.uint64))
+    planes = simhash.planes_of(fps)
+    for radius in (0, 1, 2, 20, 28, 40, 63):
+        got = simhash.near_one(planes, int(fps[7]), radius)
+        want = [i for i, f in enumerate(fps) if (int(f) ^ int(fps[7])).bit_count() <= radius]
+        assert got[got < len(fps)].tolist() == want
