@@ -32,11 +32,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import texts, with_arrow
+from .common import kept, texts, with_arrow
 
-MAX_STATES = 150_000
+MAX_STATES = 120_000
 MAX_KNOWN = 330_000
-MAX_PAIRS = 600_000
+MAX_PAIRS = 60_000
 #: Above all ranks; and the guard of a border that no token is left of.
 NEVER = 1 << 40
 OPEN: tuple = ((), ())
@@ -275,15 +275,14 @@ class Encoder:
         return ids
 
 
-_CODERS: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
-
-
 def coders(path: str, pattern: str) -> tuple[Encoder, Decoder]:
     """This process's coders; Python workers serve many tasks."""
-    if (path, pattern) not in _CODERS:
+
+    def make():
         encoder = Encoder(load_ranks(path), pattern)
-        _CODERS[path, pattern] = encoder, Decoder(encoder.machine.spelled)
-    return _CODERS[path, pattern]
+        return encoder, Decoder(encoder.machine.spelled)
+
+    return kept((path, pattern), make)
 
 
 class Decoder:
@@ -347,7 +346,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         encoder, _ = coders(path, pattern)
         return lambda column: [[encoder.encode(t) for t in texts(column)]]
 
-    return with_arrow(docs, [text], [T.StructField(out, T.ArrayType(T.IntegerType(), False))], start)
+    return with_arrow(docs, [text], [T.StructField(out, T.ArrayType(T.IntegerType(), False))], start, keeps=True)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "token_ids", out: str = "text") -> DataFrame:
@@ -390,4 +389,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
         return run
 
     made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return with_arrow(docs, [text], made, start, keep=[key])
+    return with_arrow(docs, [text], made, start, keep=[key], keeps=True)

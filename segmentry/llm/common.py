@@ -16,6 +16,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A local session (tests) may use a folder of its own; on a cluster that would be the driver's disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return found or tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder all executors share.
 
@@ -24,7 +32,7 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(_folder(spark))
     return df.checkpoint()
 
 
@@ -45,17 +53,33 @@ def join_uneven(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame,
     return dealt.join(sent, [key, "_share"], how).drop("_share")
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What this Python process keeps for later tasks of one operator. Tasks of others drop it: ``release``."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    _KEPT.clear()
+
+
 def with_arrow(
     df: DataFrame,
     inputs: Sequence[str],
     outputs: Sequence[T.StructField],
     start: Callable[[], Callable[..., list]],
     keep: Sequence[str] | None = None,
+    keeps: bool = False,
 ) -> DataFrame:
     """Add columns computed from Arrow arrays of ``inputs``, batch by batch.
 
     ``start()`` is called once in each task and returns the function of the input arrays. Columns named in ``keep`` (all
-    by default) pass through; an existing column with the name of an output is replaced.
+    by default) pass through; an existing column with the name of an output is replaced. ``keeps``: the function uses ``kept``.
     """
     new = {f.name for f in outputs}
     kept = [f for f in df.schema.fields if f.name not in new and (keep is None or f.name in keep)]
@@ -66,6 +90,8 @@ def with_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = None
+        if not keeps:
+            release()
         for batch in batches:
             if not batch.num_rows:
                 continue

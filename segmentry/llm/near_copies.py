@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import durable, join_uneven, spare, texts, with_arrow
+from .common import durable, join_uneven, release, spare, texts, with_arrow
 from .components import components
 
 LEAST = 0.8
@@ -73,6 +73,7 @@ def prefix(n: int) -> int:
 
 def _slots(batches):
     """The 32 first bits of the shingles of each batch of texts, by range."""
+    release()
     for batch in batches:
         held, seen = [], set()
         for text in texts(batch.column(0)):
@@ -125,6 +126,7 @@ def table(docs: DataFrame, text: str) -> np.ndarray:
 
 def _postings(levels):
     def run(batches):
+        release()
         seen: set[int] = set()
         for batch in batches:
             keys, nodes, sizes = [], [], []

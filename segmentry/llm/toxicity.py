@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts, with_arrow
+from .common import release, texts, with_arrow
 
 TRAIN_ROWS = 12_000
 LEAST = 8
@@ -206,12 +206,13 @@ def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
     names = [f"{kind}{k}" for k in range(FOLDS) for kind in ("other", "toxic")]
 
     def count(batches):
+        release()
         found: dict[str, list[int]] = {}
         for batch in batches:
             for text, toxic, fold in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 for unit in _units(text):
                     found.setdefault(unit, [0] * (2 * FOLDS))[2 * fold + toxic] += 1
-                if len(found) > 200_000:
+                if len(found) > 100_000:
                     yield made(found)
                     found = {}
         yield made(found)
