@@ -31,10 +31,11 @@ def digits(*groups: int, sign: str = "[\\s.-]?") -> str:
     return sign.join(f"\\d{{{n}}}" for n in groups)
 
 
-#: Fixed formats: study registries, prefix and digits.
+# The formats that are redacted, as issuers write them. Results depend on them, so they stand here as text.
+#: Study registries, prefix and digits.
 REGISTRIES = {"NCT": "\\d{8}", "ISRCTN": "\\d{8}", "jRCT[A-Za-z]?": "\\d{7,10}", "CTRI[/-]": "\\d{4}[/-]\\d{2,3}[/-]\\d{5,6}", "ACTRN": "\\d{14}", "ChiCTR-?(?:[A-Z]{2,4}-?)?": "\\d{7,10}",
               "DRKS": "\\d{8}", "IRCT": "\\d{14,}", "UMIN": "\\d{9}", "KCT": "\\d{7}", "EU[-\\s]?CT\\s*": "\\d{4}[-\\s]?\\d{4,6}[-\\s]?\\d{2}[-\\s]?\\d{2}"}
-#: Fixed formats: national numbers that a label introduces.
+#: National numbers that a label introduces.
 LABELLED = {
     "NIF|CIF|DNI|NIE": "[A-Z]?\\d{7,8}-?[A-Z]?", "SSN|Social\\s+Security": digits(3, 2, 4), "EIN|Tax\\s+ID": "\\d{2}-?\\d{7}", "NINO|National\\s+Insurance": "[A-Z]{2}\\s?" + digits(2, 2, 2, sign="\\s?") + "\\s?[A-D]",
     "NHS": digits(3, 3, 4, sign="\\s?"), "Sécurité\\s+Sociale|INSEE|Numéro\\s+SS|N°?\\s*SS": "[12]\\s?" + digits(2, 2, 2, 3, 3, 2, sign="\\s?"), "Codice\\s+Fiscale|CF": "[A-Z]{6}\\d{2}[A-Z]\\d{2}[A-Z]\\d{3}[A-Z]",
@@ -42,7 +43,7 @@ LABELLED = {
     "NISS|Rijksregisternummer|Registre\\s+National": digits(2, 2, 2, 3, 2), "AHV|AVS|OASI": "756[.\\s]?" + digits(4, 4, 2), "CPF": digits(3, 3, 3, 2), "CNPJ": "\\d{2}[.\\s]?\\d{3}[.\\s]?\\d{3}[/\\s]?\\d{4}[-\\s]?\\d{2}",
     "CURP": "[A-Z]{4}\\d{6}[HM][A-Z]{5}[A-Z\\d]{2}", "PPSN?": "\\d{7}[A-Z]{1,2}", "身份证号?码?|居民身份证": "[1-9]\\d{16}[\\dXx]", "マイナンバー|個人番号": digits(4, 4, 4, sign="\\s?"),
 }
-#: Fixed formats: numbers and codes that stand alone.
+#: Numbers and codes that stand alone.
 ALONE = {
     "dni": "\\d{8}-?[A-Z]", "nif": "[A-Z]\\d{7,8}-?[A-Z]?", "ssn": digits(3, 2, 4, sign="-"), "nino": "[A-CEGHJ-PR-TW-Z]{2}\\s?" + digits(2, 2, 2, sign="\\s?") + "\\s?[A-D]",
     "secu": "[12]\\s?\\d{2}\\s?(?:0[1-9]|1[0-2]|[2-9]\\d)\\s?" + digits(2, 3, 3, 2, sign="\\s?"), "codice": "[A-Z]{6}\\d{2}[A-Z]\\d{2}[A-Z]\\d{3}[A-Z]", "resident": "[1-9]\\d{5}(?:19|20)\\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\\d|3[01])\\d{3}[\\dXx]",

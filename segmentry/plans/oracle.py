@@ -12,11 +12,12 @@ LINES = """lines as (
     select doc_id, lang, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents)
   where trim(line) <> '')"""
 MUT = LINES + """, mut as (
-  select doc_id, id, line as s, case id % 16
-    when 0 then line when 1 then '' when 2 then replace(line, ' ', '  ') when 3 then line || '  ' when 4 then upper(line) when 5 then regexp_replace(line, '[0-9]', '', 'g')
+  select doc_id, id, case id % 20 when 18 then line || ' someCamelCase' else line end as s, case id % 20
+    when 0 then line when 1 then '' when 2 then replace(line, ' ', '  ') when 3 then line || '  ' when 4 then translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') when 5 then regexp_replace(line, '[0-9]', '', 'g')
     when 6 then replace(line, '.', ',') when 7 then replace(line, 'e', '€') when 8 then replace(line, '.', '') when 9 then line || ' same same'
     when 10 then line || ' mail ann@x.org http://a.example.com/x.' when 11 then line || ' {name} %s AB-1234' when 12 then line || ' (open [x)' when 13 then line || ' NASA!! ?? ..'
-    when 14 then substr(line, 1, (length(line) // 4)::int) else lower(line) end as d from lines)"""
+    when 14 then substr(line, 1, (length(line) // 4)::int) when 15 then lower(line) when 16 then line || ' zero' || chr(8203) || 'width' when 17 then line || ' p' || chr(1072) || 'ypal'
+    when 18 then line else line || ' in 10-20 of 3:4 cases' end as d from lines)"""
 PAIR = LINES + ", pair as (select * from (select doc_id, id, line as s, lead(line) over (partition by doc_id order by id) as d from lines) where d is not null)"
 
 

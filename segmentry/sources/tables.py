@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -21,18 +24,19 @@ def monolingual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as sources; targets are deterministic edits chosen by id % 16."""
-    line, k = F.col("line"), F.col("id") % 16
+    """Lines as sources; targets are deterministic edits chosen by id % 20; one source gets a word in camel case."""
+    line, k = F.col("line"), F.col("id") % 20
     edits = {
-        0: line, 1: F.lit(""), 2: F.replace(line, F.lit(" "), F.lit("  ")), 3: F.concat(line, F.lit("  ")), 4: F.upper(line), 5: F.regexp_replace(line, "[0-9]", ""),
+        0: line, 1: F.lit(""), 2: F.replace(line, F.lit(" "), F.lit("  ")), 3: F.concat(line, F.lit("  ")), 4: F.translate(line, LOWER, UPPER), 5: F.regexp_replace(line, "[0-9]", ""),
         6: F.replace(line, F.lit("."), F.lit(",")), 7: F.replace(line, F.lit("e"), F.lit("€")), 8: F.replace(line, F.lit("."), F.lit("")), 9: F.concat(line, F.lit(" same same")),
         10: F.concat(line, F.lit(" mail ann@x.org http://a.example.com/x.")), 11: F.concat(line, F.lit(" {name} %s AB-1234")), 12: F.concat(line, F.lit(" (open [x)")),
         13: F.concat(line, F.lit(" NASA!! ?? ..")), 14: F.substring(line, F.lit(1), F.floor(F.length(line) / 4).cast("int")), 15: F.lower(line),
+        16: F.concat(line, F.lit(" zero\u200bwidth")), 17: F.concat(line, F.lit(" p\u0430ypal")), 18: line, 19: F.concat(line, F.lit(" in 10-20 of 3:4 cases")),
     }
     target = F.lit(None).cast("string")
     for i, e in edits.items():
         target = F.when(k == i, e).otherwise(target)
-    return lines(spark, sf_dir).select("file", "id", line.alias("source_text"), target.alias("target_text"), "lang")
+    return lines(spark, sf_dir).select("file", "id", F.when(k == 18, F.concat(line, F.lit(" someCamelCase"))).otherwise(line).alias("source_text"), target.alias("target_text"), "lang")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

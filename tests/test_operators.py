@@ -157,3 +157,47 @@ def test_variants_are_registered_at_the_reference_threshold(monkeypatch):
     monkeypatch.setattr(queries.dedup, "source_variants", recorded)
     queries.QUERIES["dd_variants"](None, "")
     assert asked == {"threshold": 0.85}
+
+
+def test_similar_pairs_against_all_pairs(spark, monkeypatch):
+    import difflib
+    import random
+
+    from segmentry.operators import similarity
+
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghé") for _ in range(rnd.randint(1, 7)))
+    texts = [" ".join(word() for _ in range(rnd.choice([1, 2, 4, 9, 30]))) for _ in range(60)] + ["a", "b", "ab", "😀b"]
+    for _ in range(90):
+        t = list(rnd.choice(texts))
+        for _ in range(rnd.randint(1, 4)):
+            t[rnd.randrange(len(t))] = rnd.choice(["", "x", "ab"])
+        texts.append("".join(t) or "z")
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for threshold, block in ((0.85, 200), (0.6, 1 << 16), (0.95, 150)):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        want = {}
+        for b in range(len(texts)):
+            for a in range(b):
+                r = difflib.SequenceMatcher(None, texts[a], texts[b], autojunk=False).ratio()
+                if r >= threshold:
+                    want[a, b] = round(r, 9)
+        got = similarity.similar_pairs(df, threshold).collect()
+        assert {(r.a, r.b): round(r.ratio, 9) for r in got} == want and len(got) == len(want)
+    assert similarity.similar_pairs(df.limit(0), 0.85).collect() == []
+
+
+def test_numbers_dates_and_structures_by_their_rules():
+    from segmentry.operators import numbers as N
+
+    same = lambda a, la, b, lb: N.number_value(a, la) == N.number_value(b, lb)
+    assert same("1,000", "en", "1.000", "es") and same("1,5", "es", "1.5", "en") and not same("1,000", "es", "1,000", "en")
+    assert same("1.234,50", "de", "1,234.5", "en") and same("2e3", "en", "2000", "de") and same("10²", "en", "100", "en") and same("10^-1", "en", "0.1", "en")
+    assert same("−5", "en", "-5", "en") and not same("+5", "en", "5", "en") and not same("1.5", "en", "1.50001", "en")
+    assert N.number_value("9^9999", "en") == N.number_value("9^9999", "de") != N.number_value("9^9998", "en")
+    date_of = lambda t, lang: N.date_value(N.DATE_RE.search(t), lang)
+    assert str(date_of("2024-02-29", "en")) == "2024-02-29" and date_of("31/02/2024", "es") == "invalid" and date_of("03/04/2025", "en") is None
+    assert str(date_of("03/04/2025", "en-US")) == "2025-03-04" and str(date_of("03/04/25", "fr")) == "2025-04-03" and str(date_of("12/25/2020", "de")) == "2020-12-25" and date_of("15/20/2020", "") == "invalid"
+    assert N.structures("3-5 and 1:30, at 12:30; 2 out of 10, 4 to 6; 1.5-2; v1-2; 03/04/2025") == ["3-5", "4-6", "1:30", "2:10"]
+    assert N.structures("1 to 2 to 3") == ["1-2"] and N.structures("12345-6") == []
