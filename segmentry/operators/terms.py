@@ -1,8 +1,8 @@
 """Checks against tables of terms: joins on a term's first word, then an exact whole-word match.
 
-Each segment's distinct lower-case words are exploded and joined with the terms by the term's first word, so the work
-follows the hits and not segments x terms; a broadcast is left to the optimizer, which checks the size. Terms that begin
-with no letter or digit are rare and are tried on every segment.
+Each segment's distinct lower-case words are exploded and joined with the terms by the term's first word (or, if a term
+begins with no letter or digit, its first sign), so the work follows the hits and not segments x terms; a broadcast is
+left to the optimizer, which checks the size. A segment is known by its file and id.
 """
 
 from __future__ import annotations
@@ -16,15 +16,19 @@ from ..schema import category_column
 
 def _hits(segments: DataFrame, terms: DataFrame, text: Column, sensitive: Column | None = None) -> DataFrame:
     """(file, id, _no, _text) of the terms (_no, term) that are whole words of the text."""
-    first = F.regexp_extract(F.lower("term"), f"^{WORD}+", 0)
+    first = F.regexp_extract(F.lower("term"), f"^(?:{WORD}+|(?s:.))", 0)
     keyed = terms.withColumn("_w", first)
     base = segments.select("file", "id", text.alias("_text"))
-    words = base.select("*", F.explode(F.array_append(F.array_distinct(find_all(F.lower("_text"), f"{WORD}+")), F.lit(""))).alias("_w"))
-    joined = words.join(keyed, "_w")
+    # ids and words travel, texts only to the hits
+    low = F.lower("_text")
+    words = base.select("file", "id", F.explode(F.array_distinct(find_all(low, f"{WORD}+"))).alias("_w"))
+    signs = base.select("file", "id", F.explode(F.array_distinct(find_all(low, f"(?!{WORD})(?s:.)"))).alias("_w"))
+    met = words.union(signs).join(keyed, "_w").drop("_w")
+    joined = met.join(base, ["file", "id"])
     near = joined.where(F.lower("_text").contains(F.lower("term")))
     pattern = F.concat(F.lit(f"(?<!{WORD})"), quoted(F.col("term")), F.lit(f"(?!{WORD})"))
     exact = near.where(F.when(sensitive if sensitive is not None else F.lit(False), F.rlike("_text", pattern)).otherwise(F.rlike("_text", F.concat(F.lit("(?iu)"), pattern))))
-    return exact.drop("_w")
+    return exact
 
 
 def term_list(terms: DataFrame, column: str = "term") -> DataFrame:

@@ -129,6 +129,13 @@ def consistency(same: str, other: str, size: str) -> str:
     select d.id, g.first as reference_id, g.n as group_size from d join g on d.{same} = g.k where d.id > g.first and d.{other} <> g.first_other"""
 
 
+#: Kinds of the audit as patterns without lookaround: a word character before or after is taken along.
+AUDITED = {
+    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "url": "https?://\\S+",
+    "phone": "\\+\\d{1,3}[-.\\s]?\\(?\\d{1,4}\\)?[-.\\s]?\\d{2,4}[-.\\s]?\\d{2,4}(?:[-.\\s]?\\d{1,4})?(?:[^\\p{L}\\p{N}_]|$)",
+    "clinical_id": "(?:^|[^\\p{L}\\p{N}_])NCT\\d{8}(?:[^\\p{L}\\p{N}_]|$)", "eudract_id": "(?:^|[^\\p{L}\\p{N}_])\\d{4}-\\d{6}-\\d{2}(?:[^\\p{L}\\p{N}_]|$)",
+}
+
 ORACLE_SQL: dict[str, str] = {
     **{f"qa_{c}": f"with {MUT} select id, span_source, span_target from ({rule(c)})" for c in SQL_RULES},
     "qa_turns_length_ratio": "with seg as (select * from (select conv_id as doc_id, conv_id * 1000 + turn as id, role, text as s, lead(role) over w as r2, lead(text) over w as d from conversations window w as (partition by conv_id order by turn)) where role = 'user' and r2 = 'assistant') "
@@ -154,7 +161,8 @@ ORACLE_SQL: dict[str, str] = {
       count(*) filter (reason = 'empty') as empty, count(*) filter (reason = 'heavy') as heavy, count(*) filter (reason = 'dedup') as dedup, count(*) filter (changed) as changed_rows,
       round(count(*) filter (reason = 'kept') * 100.0 / count(*), 2) as retention_percent from funnel group by grouping sets ((doc_id), ())""",
     "rd_email": f"select doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}', '{TOKEN}', 'g') as text, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) as n from documents",
-    "rd_audit": "select doc_id::varchar as file, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) as n from documents where regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')",
+    "rd_audit": " union all ".join(
+        f"select doc_id::varchar as file, '{kind}' as kind, len(regexp_extract_all(text, '{pattern}')) as n from documents where regexp_matches(text, '{pattern}')" for kind, pattern in AUDITED.items()),
     "rp_by_category": f"with {ISSUES} select category_id, count(*) as n, count(distinct id) as n_segments from issues group by 1",
     "rp_by_group": f"""with {ISSUES}, g as (select case when category_id in ('symbol_mismatch', 'alphanum_id_mismatch') then 'Numeric Elements' when category_id = 'placeholders' then 'Tags' else 'Content' end as grp, 'high' as severity from issues)
       select coalesce(grp, 'all') as grp, coalesce(severity, 'all') as severity, count(*) as n from g group by rollup (grp, severity)""",
