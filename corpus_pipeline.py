@@ -16,6 +16,10 @@ from segmentry.llm.common import durable, read, spare
 from segmentry.llm.queries import VOCABULARY
 
 
+#: The encoder shares its executors' memory with what the earlier stages left there, so its tables are smaller than by itself.
+ENCODER_STATES, ENCODER_KNOWN = 40_000, 60_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity reaches the threshold go."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -42,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts, and digests of the ids and of what they decode to."""
-    return bpe_fst.round_trip(docs, VOCABULARY, public_tokenizers.PATTERN)
+    return bpe_fst.round_trip(docs, VOCABULARY, public_tokenizers.PATTERN, most_states=ENCODER_STATES, most_known=ENCODER_KNOWN)
 
 
 STAGES = [

@@ -64,8 +64,8 @@ class Transducer:
     restricted to what the bytes read since then allow, is the guard of a state and stands for the token.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most_states: int | None = None):
+        self.ranks, self.most_states = ranks, most_states or MAX_STATES
         self.spelled = {i: b for b, i in ranks.items()}
         # what a begun token may become: its id (or -1), and whether a longer token begins with it
         begun = {t[:n] for t in ranks for n in range(1, len(t))}
@@ -192,7 +192,7 @@ class Transducer:
             move = known(number << 8 | byte)
             if move is None:
                 at, tokens = self._move(self.states[number], data[n : n + 1])
-                if len(self.states) >= MAX_STATES:
+                if len(self.states) >= self.most_states:
                     self._forget()
                     known = self.moves.get
                     number = self._number(at)
@@ -216,15 +216,16 @@ class Transducer:
 
 
 class Remembered:
-    """What was used lately: two generations of at most ``MAX_KNOWN`` entries; the older goes when the newer is full."""
+    """What was used lately: two generations of at most ``most`` entries; the older goes when the newer is full."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.new: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
 
     def add(self, key: str, ids: list[int]) -> list[int]:
         if len(key) <= LONGEST_PIECE:
-            if len(self.new) >= MAX_KNOWN:
+            if len(self.new) >= self.most:
                 self.old = self.new.copy()
                 self.new.clear()  # the same object: users hold its ``get``
             self.new[key] = ids
@@ -232,12 +233,15 @@ class Remembered:
 
 
 class Encoder:
-    """Texts to ids: each match of the pattern goes through the transducer."""
+    """Texts to ids: each match of the pattern goes through the transducer.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine = Transducer(ranks)
+    ``most_states`` and ``most_known`` bound its tables; smaller ones take less memory and more time, for the same ids.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int | None = None, most_known: int | None = None):
+        self.machine = Transducer(ranks, most_states)
         self.matches = regex.compile(pattern)
-        self.pieces, self.words = Remembered(), Remembered()
+        self.pieces, self.words = (Remembered(most_known or MAX_KNOWN) for _ in range(2))
         self.cut_at_spaces = pattern == public_tokenizers.PATTERN
 
     def _stretch(self, stretch: str) -> list[int]:
@@ -275,14 +279,14 @@ class Encoder:
         return ids
 
 
-def coders(path: str, pattern: str) -> tuple[Encoder, Decoder]:
+def coders(path: str, pattern: str, most_states: int | None = None, most_known: int | None = None) -> tuple[Encoder, Decoder]:
     """This process's coders; Python workers serve many tasks."""
 
     def make():
-        encoder = Encoder(load_ranks(path), pattern)
+        encoder = Encoder(load_ranks(path), pattern, most_states, most_known)
         return encoder, Decoder(encoder.machine.spelled)
 
-    return kept((path, pattern), make)
+    return kept((path, pattern, most_states, most_known), make)
 
 
 class Decoder:
@@ -367,14 +371,14 @@ def decimal_digest(ids: list[int], written: dict[int, bytes]) -> str:
     return digest.hexdigest()
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", most_states: int | None = None, most_known: int | None = None) -> DataFrame:
     """Encode each whole text, decode its ids again, and give count and digests of both.
 
     Returns ``key``, n_tokens, ids_sha256 and decoded_sha256. The ids stay in the Python worker: only the digests travel.
     """
 
     def start():
-        encoder, decoder = coders(path, pattern)
+        encoder, decoder = coders(path, pattern, most_states, most_known)
         written = {i: b"%d" % i for i in encoder.machine.spelled}
 
         def run(column):
