@@ -13,9 +13,10 @@ from collections.abc import Iterator
 from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import durable
 from ..schema import SEGMENT
 
 #: Limits at the boundary.
@@ -248,32 +249,52 @@ def rows_of(name: str, data: bytes) -> Iterator[dict]:
         raise Rejected("no units")
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            name = path.rsplit("/", 1)[-1]
-            made = []
-            for r in rows_of(name, bytes(content)):
-                s, t = r["source"], r["target"]
-                made.append((name, r["local_id"], r["local_id"], r["original_id"], s[0], t[0], s[0], t[0], s[1], t[1], s[2], t[2], t[3], s[4], t[4], bool(s[4] or t[4]), r["document_id"]))
-                if len(made) >= 2000:
+def file_name(path: str, root: str) -> str:
+    """A file's name in the results: its path below ``root``, as equal base names may lie in several folders."""
+    below = root.rstrip("/") + "/"
+    at = path.find(below)
+    if at >= 0:
+        return path[at + len(below) :]
+    return path.rsplit("/", 1)[-1] if path.endswith(root) else path
+
+
+def _parser(root: str):
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                name = file_name(path, root)
+                made = []
+                for r in rows_of(name, bytes(content)):
+                    s, t = r["source"], r["target"]
+                    made.append((name, r["local_id"], r["local_id"], r["original_id"], s[0], t[0], s[0], t[0], s[1], t[1], s[2], t[2], t[3], s[4], t[4], bool(s[4] or t[4]), r["document_id"]))
+                    if len(made) >= 2000:
+                        yield pd.DataFrame(made, columns=SEGMENT.names)
+                        made = []
+                if made:
                     yield pd.DataFrame(made, columns=SEGMENT.names)
-                    made = []
-            if made:
-                yield pd.DataFrame(made, columns=SEGMENT.names)
+
+    return parse
+
+
+def offsets(rows: DataFrame) -> DataFrame:
+    """(file, _offset): how many rows the files before it have, in order of names.
+
+    Running sums within ranges of names, then over the ranges' totals: one task sees a range's files or one row a range.
+    """
+    counts = durable(rows.groupBy("file").agg(F.count("*").alias("_n")).repartitionByRange("file").withColumn("_range", F.spark_partition_id()))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy("_range").agg(F.sum("_n").alias("_total"))
+    starts = totals.select("_range", F.coalesce(F.sum("_total").over(before.orderBy("_range")), F.lit(0)).alias("_start"))
+    inside = F.coalesce(F.sum("_n").over(before.partitionBy("_range").orderBy("file")), F.lit(0))
+    return counts.withColumn("_inside", inside).join(starts, "_range").select("file", (F.col("_start") + F.col("_inside")).alias("_offset"))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Segments of all files below a path. ``id`` is the file's offset (in order of names) plus the local number."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(_parse, SEGMENT)
-    counts = {r["file"]: r["n"] for r in rows.groupBy("file").agg(F.count("*").alias("n")).collect()}
-    offsets, at = {}, 0
-    for name in sorted(counts):
-        offsets[name] = at
-        at += counts[name]
-    shift = F.create_map(*[F.lit(x) for k, v in offsets.items() for x in (k, v)])[F.col("file")] if offsets else F.lit(0)
-    return rows.withColumn("id", F.col("local_id") + shift)
+    root = re.split(r"[*?\[{]", path, maxsplit=1)[0].rsplit("/", 1)[0] if re.search(r"[*?\[{]", path) else path
+    rows = files.mapInPandas(_parser(root), SEGMENT)
+    return rows.join(offsets(rows), "file").withColumn("id", F.col("local_id") + F.col("_offset")).select(*SEGMENT.names)
 
 
 def write_tmx(segments: list[tuple[str, str, str | None]], source: str, target: str) -> bytes:

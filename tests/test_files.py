@@ -26,6 +26,15 @@ def test_formats(spark, tmp_path):
     assert [r.target_text for r in rows[4:]] == ["First", "cell", "Box", "Out"]
 
 
+def test_equal_base_names(spark, tmp_path):
+    for folder in ("a", "b", "c"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.tmx").write_text(TMX)
+    rows = bilingual.read_files(spark, f"{tmp_path}/*/").orderBy("id").collect()
+    assert [(r.file, r.id, r.local_id) for r in rows] == [(f"{f}/x.tmx", 2 * k + i, i) for k, f in enumerate("abc") for i in (1, 2)]
+    assert {r.file for r in bilingual.read_files(spark, f"{tmp_path}/a/x.tmx").collect()} == {"x.tmx"}
+
+
 @pytest.mark.parametrize("bad", [
     TMX.replace(' srclang="en"', ""), TMX.replace('xml:lang="es"><seg></seg>', 'xml:lang="de"><seg></seg>').replace('xml:lang="es"', 'xml:lang="fr"'), TMX.replace('xml:lang="es"', 'xml:lang="en"'), '<!DOCTYPE x [<!ENTITY y "z">]>' + TMX.split("?>", 1)[1], "<tmx><header srclang='en'/></tmx>", "<tmx>", "<html/>"])
 def test_rejected(bad):
