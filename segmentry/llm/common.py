@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -46,7 +48,18 @@ def kept(key, make: Callable):
 
 
 def release() -> None:
+    """Drop what is kept, and give the memory that this process has freed back to the machine: workers live through many stages."""
     _KEPT.clear()
+    gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Arrow's pool and the C library hold on to freed memory unless asked."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def with_arrow(
@@ -71,7 +84,9 @@ def with_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = None
-        if not keeps:
+        if keeps:
+            give_back()
+        else:
             release()
         for batch in batches:
             if not batch.num_rows:
