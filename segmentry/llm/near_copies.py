@@ -40,6 +40,8 @@ WORDS = 5
 RADIUS = 28
 #: The table of how often shingles occur: so many ranges, and so many places in each.
 RANGES, PLACES = 1 << 10, 1 << 14
+#: Marks of the nodes that have candidates, for any number of nodes; two nodes with one mark cost time only.
+MARKS = 1 << 27
 
 
 def _words(text: str) -> list[bytes]:
@@ -85,13 +87,17 @@ def _slots(batches):
             continue
         slots = np.sort(np.concatenate(held))
         cuts = np.searchsorted(slots, np.arange(1, RANGES, dtype=np.uint64) << np.uint64(22))
-        parts = [(i, p.tobytes()) for i, p in enumerate(np.split(slots, cuts)) if len(p)]
+        # a range's number says the first 10 bits, so 3 bytes hold the rest
+        parts = [(i, p.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()) for i, p in enumerate(np.split(slots, cuts)) if len(p)]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["range", "slots"])
 
 
 def _levels(slots: list[bytes]) -> bytes:
     """For each place of a range the logarithm of the most occurrences of a slot there."""
-    found, often = np.unique(np.concatenate([np.frombuffer(s, dtype="<u4") for s in slots]), return_counts=True)
+    held = np.frombuffer(b"".join(slots), dtype=np.uint8).reshape(-1, 3)
+    wide = np.zeros((len(held), 4), dtype=np.uint8)
+    wide[:, :3] = held
+    found, often = np.unique(wide.view("<u4").reshape(-1) & 0x3FFFFF, return_counts=True)
     levels = np.zeros(PLACES, dtype=np.uint8)
     np.maximum.at(levels, found >> 8 & (PLACES - 1), np.log2(often).astype(np.uint8))
     return levels.tobytes()
@@ -221,6 +227,35 @@ def _compare(batches):
         yield done()
 
 
+def _marks(nodes: DataFrame) -> np.ndarray:
+    """``MARKS`` bits: those of the nodes' values."""
+    at = F.pmod("node", F.lit(MARKS))
+    words = nodes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(node, {MARKS}) & 63))")).alias("bits")).toArrow()
+    out = np.zeros(MARKS // 64, dtype="<i8")
+    if words.num_rows:
+        out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _marked(marks):
+    def run(batches):
+        release()
+        seen: set[int] = set()
+        for batch in batches:
+            nodes, held = [], []
+            for text in texts(batch.column(0)):
+                own = node(text)
+                at = own % MARKS
+                if marks.value[at >> 3] >> (at & 7) & 1 and own not in seen:
+                    seen.add(own)
+                    nodes.append(own)
+                    held.append(text)
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(held, pa.string())], names=["node", "text"])
+
+    return run
+
+
 def _named(docs: DataFrame, text: str, own: str) -> DataFrame:
     return with_arrow(docs, [text], [T.StructField(own, T.LongType())], lambda: lambda c: [[node(t) for t in texts(c)]])
 
@@ -230,8 +265,9 @@ def reached(docs: DataFrame, text: str = "text") -> DataFrame:
     levels = docs.sparkSession.sparkContext.broadcast(table(docs, text))
     dealt = docs.select(text).mapInArrow(_postings(levels), "key long, node long, n int").repartition("key").sortWithinPartitions("key", "n", "node")
     chained = durable(components(dealt.mapInArrow(_chains, "u long, v long")))
-    # one text of each node, chosen before the shuffle
-    one = _named(docs.select(F.col(text).alias("text")), "text", "node").groupBy("node").agg(F.min("text").alias("text"))
+    # only texts with candidates are shuffled, one of each node
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(chained))
+    one = docs.select(text).mapInArrow(_marked(marks), "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
     return durable(one.join(chained, "node").repartition("root").sortWithinPartitions("root", "node").mapInArrow(_compare, "node long, least long"))
 
 
@@ -247,14 +283,14 @@ def with_group(docs: DataFrame, text: str = "text", out: str = "group") -> DataF
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group: that of the least key (null last), then of the least hash of text and row; of equal rows one.
 
-    A group's rows never meet: the first row of each text is found by a minimum, then the first of each group, and only
-    rows that could be it are joined, those of frequent texts dealt out.
+    A group's rows never meet: the first row of each text is found by a minimum, then the first of each group. Whole rows
+    are shuffled once, by text and place in the order, so copies of one text spread; equal rows become one on the way.
     """
     own, order, best = spare(docs, "_node", "_order", "_best")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     named = _named(docs, text, own).withColumn(order, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("of_text"), F.xxhash64(*columns).alias("of_row")))
-    first = durable(named.groupBy(own).agg(F.min(order).alias(best), F.count("*").alias("n")))
+    first = durable(named.groupBy(own).agg(F.min(order).alias(best)))
     group = first.join(reached(docs, text).withColumnsRenamed({"node": own}), own, "left").withColumn("least", F.coalesce("least", own))
-    stay = group.groupBy("least").agg(F.min_by(F.struct(own, best), best).alias("row")).select(f"row.{own}", f"row.{best}")
-    found = join_uneven(named, stay, own, first.select(own, "n")).where(F.col(order).eqNullSafe(F.col(best)))
-    return found.groupBy(own).agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
+    stay = group.groupBy("least").agg(F.min_by(F.struct(own, best), best).alias("row")).select(f"row.{own}", F.col(f"row.{best}").alias(order))
+    rows = named.groupBy(own, order).agg(F.first(F.struct(*columns)).alias("row"))
+    return rows.join(stay, [own, order]).select("row.*")
