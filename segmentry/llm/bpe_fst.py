@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 
 from .common import kept, texts, with_arrow
 
-MAX_STATES = 120_000
-MAX_KNOWN = 330_000
+MAX_STATES = 250_000
+MAX_KNOWN = 500_000
 MAX_PAIRS = 60_000
 #: Above all ranks; and the guard of a border that no token is left of.
 NEVER = 1 << 40
