@@ -1,7 +1,7 @@
 """SimHash near-dedup at a resemblance: groups of texts whose shingle sets have a Jaccard index of ``LEAST`` or more.
 
-Words are those of ``simhash``, shingles are ``WORDS`` words (fewer: the whole sequence) as XXH64 values. Texts of equal
-words are one node. Fingerprints of such texts differ in some 10 of 64 bits, too many for buckets of equal bits, so
+Words are those of ``simhash``, shingles are ``WORDS`` words (fewer: the whole sequence) as hashes of 64 bits, made from
+the words' hashes for a whole text at once (``shingles``). Texts of equal words are one node. Fingerprints of such texts differ in some 10 of 64 bits, too many for buckets of equal bits, so
 candidates meet by shingles: of two texts at the least resemblance one must hold, among its first n - ceil(LEAST * n) + 1
 shingles in any order common to all texts, a shingle that the other has among its own; so each node posts its prefix, rare
 shingles first. The order comes from a table of fixed size of how often shingles occur; what is wrong in it (two shingles
@@ -9,8 +9,9 @@ in one place) costs time and no pair.
 
 Nodes with a common posting and lengths that allow the resemblance are chained, and the chains' components are gathered.
 Inside each of them a node's fingerprint is held against all others' bit planes (``simhash.near_one``), the shingle sets of
-those within ``RADIUS`` bits are compared exactly, and what is reached goes on to the next. A large group of near copies is
-reached from its first node, so its pairs are never listed. Two texts at the least resemblance differ in 64 * acos(8 / 9)
+those within ``RADIUS`` bits are compared exactly, and what is reached goes on to the next. Sets are compared by what they
+lack of, and hold besides, the shingles that most of the component hold, so a node costs what it differs by, not what it
+holds. A large group of near copies is reached from its first node, so its pairs are never listed. Two texts at the least resemblance differ in 64 * acos(8 / 9)
 / pi = 9.7 bits with a deviation of 2.9, so ``RADIUS`` is more than six deviations away: the filter costs no link in
 practice, and the tests hold it against all pairs. One task holds the texts of one component.
 
@@ -21,8 +22,6 @@ first; an empty table gives no rows; other columns pass through, whatever their
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -42,26 +41,78 @@ RADIUS = 28
 RANGES, PLACES = 1 << 10, 1 << 14
 #: Marks of the nodes that have candidates, for any number of nodes; two nodes with one mark cost time only.
 MARKS = 1 << 27
+#: Bytes that are hashed at once; a longer word is hashed by itself.
+BLOCK = 1 << 15
+#: Odd factors, 3 modulo 8: few low bits are lost where two powers are subtracted.
+OF_BYTES, OF_WORDS = 0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB4B
+#: A number for each byte, and the powers of ``OF_BYTES`` and of its inverse modulo 2 ** 64.
+LETTERS = np.array([xxhash.xxh64_intdigest(bytes([b]), 42) for b in range(256)], dtype=np.uint64)
+POWERS, INVERSES = (np.cumprod(np.r_[np.uint64(1), np.full(BLOCK, f, dtype=np.uint64)]) for f in (OF_BYTES, pow(OF_BYTES, -1, 1 << 64)))
+
+
+def _joined(text: str) -> bytes:
+    """The words with a space between."""
+    return b" ".join(text.encode("utf-8", "replace").lower().split())
 
 
-def _words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split()
+def _node(joined: bytes) -> int:
+    return xxhash.xxh3_128_intdigest(joined) % (1 << 64) - (1 << 63)
 
 
 def node(text: str) -> int:
-    return xxhash.xxh3_128_intdigest(b" ".join(_words(text))) % (1 << 64) - (1 << 63)
+    return _node(_joined(text))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Bijective; every bit of the outcome depends on all bits."""
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
+
+
+def _hashes(joined: bytes) -> np.ndarray:
+    """A hash of each word, by its bytes alone: a polynomial in them, as a difference of running sums."""
+    held = np.frombuffer(joined, dtype=np.uint8)
+    ends = np.append(np.flatnonzero(held == 32), len(held))
+    starts = np.r_[0, ends[:-1] + 1]
+    out = np.empty(len(ends), dtype=np.uint64)
+    at = 0
+    while at < len(ends):
+        begin = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, begin + BLOCK, side="right")))
+        end = int(ends[to - 1])
+        if end - begin > BLOCK:
+            out[at] = xxhash.xxh64_intdigest(joined[begin:end], 42)
+        else:
+            sums = np.zeros(end - begin + 1, dtype=np.uint64)
+            np.cumsum(LETTERS[held[begin:end]] * POWERS[: end - begin], out=sums[1:])
+            first = starts[at:to] - begin
+            out[at:to] = (sums[ends[at:to] - begin] - sums[first]) * INVERSES[first]
+        at = to
+    return _mixed(out)
+
+
+def _shingles(joined: bytes) -> np.ndarray:
+    if not joined:
+        return np.zeros(0, dtype=np.uint64)
+    words = _hashes(joined)
+    width = min(WORDS, len(words))
+    n = len(words) - width + 1
+    out = np.full(n, width, dtype=np.uint64)
+    for k in range(width):
+        out *= np.uint64(OF_WORDS)
+        out += words[k : k + n]
+    out = _mixed(out)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def shingles(text: str) -> np.ndarray:
     """Ascending distinct hashes."""
-    words = _words(text)
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    joined = b" ".join(words)
-    ends = [e + i for i, e in enumerate(accumulate(map(len, words)))]
-    starts = [0, *(e + 1 for e in ends)][: max(1, len(words) - WORDS + 1)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[WORDS - 1 :] or ends[-1:])], dtype=np.uint64))
+    return _shingles(_joined(text))
 
 
 def enough(common, a, b):
@@ -79,10 +130,11 @@ def _slots(batches):
     for batch in batches:
         held, seen = [], set()
         for text in texts(batch.column(0)):
-            own = node(text)
+            joined = _joined(text)
+            own = _node(joined)
             if own not in seen:
                 seen.add(own)
-                held.append((shingles(text) >> np.uint64(32)).astype("<u4"))
+                held.append((_shingles(joined) >> np.uint64(32)).astype("<u4"))
         if not held:
             continue
         slots = np.sort(np.concatenate(held))
@@ -137,11 +189,12 @@ def _postings(levels):
         for batch in batches:
             keys, nodes, sizes = [], [], []
             for text in texts(batch.column(0)):
-                own = node(text)
+                joined = _joined(text)
+                own = _node(joined)
                 if own in seen:
                     continue
                 seen.add(own)
-                found = shingles(text)
+                found = _shingles(joined)
                 if len(found):
                     first = found[np.argsort(levels.value[found >> np.uint64(40)], kind="stable")[: prefix(len(found))]]
                     keys.append(first.view(np.int64))
@@ -173,36 +226,68 @@ def bits(found: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(found), bitorder="little").view("<u8")[0])
 
 
+class Differences:
+    """Shingle sets by how each differs from the core, the shingles that over half of the sets hold."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        n = len(sets)
+        _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(n), self.size)
+        is_core = 2 * often > n
+        self.core = int(is_core.sum())
+        # at most twice as many cells as all sets have shingles
+        in_core, place = is_core[ids], np.cumsum(is_core) - 1
+        lacks = np.ones((n, self.core), dtype=bool)
+        lacks[owner[in_core], place[ids[in_core]]] = False
+        self.lacking = lacks.sum(axis=1)
+        lacker, lacked = np.nonzero(lacks)
+        # what a single set holds besides is common to no two
+        besides = ~in_core & (often[ids] > 1)
+        what, who = np.r_[ids[besides], len(often) + lacked], np.r_[owner[besides], lacker]
+        _, what = np.unique(what, return_inverse=True)
+        self.holders = who[np.argsort(what, kind="stable")]
+        self.of_what = np.r_[0, np.cumsum(np.bincount(what))]
+        self.what = what[np.argsort(who, kind="stable")]
+        self.of_who = np.r_[0, np.cumsum(np.bincount(who, minlength=n))]
+
+    def common(self, x: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles x has in common with each of the others."""
+        lists = [self.holders[self.of_what[w] : self.of_what[w + 1]] for w in self.what[self.of_who[x] : self.of_who[x + 1]].tolist()]
+        shared = np.bincount(np.concatenate(lists), minlength=len(self.size))[others] if lists else 0
+        return self.core - self.lacking[x] - self.lacking[others] + shared
+
+
 def groups(nodes: list[int], sets: list[np.ndarray]) -> list[int]:
     """The least node that each node reaches over links."""
-    fps = [bits(s) for s in sets]
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    size = np.array([len(s) for s in sets])
-    begin = np.r_[0, np.cumsum(size)]
-    mark = np.zeros(int(ids.max()) + 1, dtype=bool)
+    fps = np.array([bits(s) for s in sets], dtype="<u8")
+    by = Differences(sets)
+    size = by.size
     out = [0] * len(nodes)
-    left = np.arange(len(nodes))
-    while len(left):
-        todo, reached, left = [left[0]], [left[0]], left[1:]
-        planes = rows = None
-        while todo and len(left):
+    alive, left = np.ones(len(nodes), dtype=bool), len(nodes)
+    rows = np.arange(len(nodes))
+    planes = simhash.planes_of(fps)
+    for begin in range(len(nodes)):
+        if not alive[begin]:
+            continue
+        alive[begin] = False
+        left -= 1
+        todo, reached = [begin], [begin]
+        while todo and left:
             x = todo.pop()
-            if rows is None or 2 * len(left) < len(rows):
-                rows = left
-                planes = simhash.planes_of(np.array([fps[i] for i in rows], dtype="<u8"))
-            lanes = simhash.near_one(planes, fps[x], RADIUS)
-            close = np.intersect1d(rows[lanes[lanes < len(rows)]], left)
+            if 2 * left < len(rows):
+                rows = np.flatnonzero(alive)
+                planes = simhash.planes_of(fps[rows])
+            lanes = simhash.near_one(planes, int(fps[x]), RADIUS)
+            close = rows[lanes[lanes < len(rows)]]
+            close = close[alive[close]]
             if not len(close):
                 continue
-            mine = ids[begin[x] : begin[x + 1]]
-            mark[mine] = True
-            flat = np.concatenate([ids[begin[i] : begin[i + 1]] for i in close])
-            common = np.add.reduceat(mark[flat], np.r_[0, np.cumsum(size[close])[:-1]], dtype=np.int64)
-            mark[mine] = False
-            near = close[enough(common, size[close], size[x])]
+            near = close[enough(by.common(x, close), size[close], size[x])]
+            alive[near] = False
+            left -= len(near)
             todo += near.tolist()
             reached += near.tolist()
-            left = np.setdiff1d(left, near)
         least = min(nodes[i] for i in reached)
         for i in reached:
             out[i] = least

@@ -101,3 +101,50 @@ def test_one_against_all_bit_planes():
         got = simhash.near_one(planes, int(fps[7]), radius)
         want = [i for i, f in enumerate(fps) if (int(f) ^ int(fps[7])).bit_count() <= radius]
         assert got[got < len(fps)].tolist() == want
+
+
+def test_hashes_of_words_and_blocks():
+    import numpy as np
+
+    rnd = random.Random(4)
+    words = [b"a", b"b", b"ab", b"ba", b"\xc3\xa9", b"x" * near_copies.BLOCK, b"x" * (near_copies.BLOCK + 1), b"y" * (2 * near_copies.BLOCK)] + [b"%d" % rnd.randrange(10**9) for _ in range(500)]
+    apart = {w: int(near_copies._hashes(w)[0]) for w in words}
+    assert len(set(apart.values())) == len(set(words))
+    for _ in range(5):
+        own = [rnd.choice(words[8:] if rnd.random() < 0.999 else words) for _ in range(20000)]
+        assert near_copies._hashes(b" ".join(own)).tolist() == [apart[w] for w in own]
+    texts = ["", "a", "a a", "a b", "b a", "a b c d", "a b c d e", "A  b\tc\nd e ", "a b c d e a b c d e a b c d e f", " "]
+    for t in texts:
+        w = t.lower().split()
+        want = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        got = near_copies.shingles(t)
+        assert len(got) == len(want) and (np.diff(got) > 0).all() if len(got) > 1 else len(got) == len(want)
+    assert near_copies.shingles(texts[6]).tolist() == near_copies.shingles(texts[7]).tolist()
+    assert len({near_copies.shingles(t)[0] for t in ("a", "a a", "a b", "b a", "ab", "b  c", "a b c d")}) == 7
+
+
+def test_work_of_a_large_group(monkeypatch):
+    """Bit planes are made anew only as the group halves, and a text is compared by what it differs by."""
+    from segmentry.llm import simhash
+
+    made, make = [], simhash.planes_of
+    monkeypatch.setattr(simhash, "planes_of", lambda fps: made.append(len(fps)) or make(fps))
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(900)}" for _ in range(150)]
+    texts = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rnd.randrange(2, 9)):
+            w[rnd.randrange(150)] = f"x{rnd.randrange(900)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:60]), " ".join(base[::-1]), "one two"]
+    sets = [near_copies.shingles(t) for t in texts]
+    got = near_copies.groups(list(range(len(texts))), sets)
+    assert classes(got) == classes(brute(texts)) and len(set(got)) > 20
+    assert sum(made) <= 2 * len(texts)
+    by = near_copies.Differences(sets)
+    for x in range(0, len(sets), 7):
+        others = [i for i in range(len(sets)) if i != x]
+        assert by.common(x, others).tolist() == [len(set(sets[x].tolist()) & set(sets[i].tolist())) for i in others]
+    met = sum(len(by.holders[by.of_what[w] : by.of_what[w + 1]]) for w in by.what)
+    assert met < 0.2 * len(sets) * sum(map(len, sets))
