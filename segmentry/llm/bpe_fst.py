@@ -72,6 +72,7 @@ class Transducer:
         self.grows = {t: (ranks.get(t, -1), t in begun) for t in begun | ranks.keys()}
         self.halves: dict[int, tuple[int, int]] = {}
         self.spines: tuple[dict, dict] = ({}, {})
+        self.lefts: dict[int, dict[int, int]] = {}  # of a token's left spine: length of the piece -> rank of the merge that ends it
         self.guards: dict[tuple[int, bytes], tuple] = {}
         # a state: (guard of the token emitted last, threads); a thread: (tokens not yet emitted, guard of the last of
         # them, bytes of the next token). The guard in front belongs to the thread without waiting tokens.
@@ -145,7 +146,7 @@ class Transducer:
         known = self.guards.get((last, begun))
         if known is None:
             known = self._grown(self.guard(last, begun[:-1]), begun) if begun else ((), self.spine(last, 1))
-            if len(self.guards) >= MAX_PAIRS:
+            if len(self.guards) >= max(MAX_PAIRS, self.most_states):
                 self.guards.clear()
             self.guards[last, begun] = known
         return known
@@ -156,9 +157,11 @@ class Transducer:
             return False
         bounds = guard[0]
         if bounds:
-            least = dict(bounds)
-            for piece, _, ends in self.spine(token, 0):
-                if least.get(len(piece), NEVER + 1) <= ends:
+            lefts = self.lefts.get(token)
+            if lefts is None:
+                lefts = self.lefts[token] = {len(piece): ends for piece, _, ends in self.spine(token, 0)}
+            for length, bound in bounds:
+                if bound <= lefts.get(length, -1):
                     return False
         return True
 
@@ -216,14 +219,18 @@ class Transducer:
 
 
 class Remembered:
-    """What was used lately: two generations of at most ``most`` entries; the older goes when the newer is full."""
+    """What was used lately: two generations of at most ``most`` entries; the older goes when the newer is full.
+
+    The ids are held as tuples: the garbage collector walks over every list that lives, and over a tuple of numbers once.
+    """
 
     def __init__(self, most: int):
         self.most = most
-        self.new: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
-    def add(self, key: str, ids: list[int]) -> list[int]:
+    def add(self, key: str, ids: Sequence[int]) -> tuple[int, ...]:
+        ids = tuple(ids)
         if len(key) <= LONGEST_PIECE:
             if len(self.new) >= self.most:
                 self.old = self.new.copy()
@@ -255,7 +262,7 @@ class Encoder:
             ids += found
         return ids
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> tuple[int, ...]:
         """The ids of a space and then ``word``."""
         words = self.words
         ids = words.old.get(word)
@@ -263,7 +270,7 @@ class Encoder:
             if word.isalpha():  # one match
                 ids = self.machine.run(b" " + word.encode())
             elif word[-1] in MARKS and word[:-1].isalpha():  # two matches
-                ids = (words.new.get(word[:-1]) or self._word(word[:-1])) + self._stretch(word[-1])
+                ids = (*(words.new.get(word[:-1]) or self._word(word[:-1])), *self._stretch(word[-1]))
             else:
                 ids = self._stretch(" " + word)
         return words.add(word, ids)

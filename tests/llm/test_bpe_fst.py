@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import random
 
@@ -84,3 +85,14 @@ def test_operators(spark):
     back = bpe_fst.decode(bpe_fst.encode(df, path, P.PATTERN), path).collect()
     assert sorted((r.doc_id, r.text) for r in back) == [(1, "Hello world 漢字"), (1, "Hello world 漢字"), (2, ""), (3, "")]
     assert bpe_fst.round_trip(df.limit(0), path, P.PATTERN).collect() == []
+
+
+def test_tables_are_no_work_for_the_garbage_collector(ranks):
+    encoder = bpe_fst.Encoder(ranks, P.PATTERN)
+    for t in sample(300, 4) + ["the cat, sat. on 12 mats"]:
+        encoder.encode(t)
+    for _ in range(4):  # nested tuples, from the innermost
+        gc.collect()
+    held = [ids for known in (encoder.pieces, encoder.words) for ids in known.new.values()]
+    assert len(held) > 100 and not any(map(gc.is_tracked, held))
+    assert len(encoder.machine.moves) > 100 and not any(map(gc.is_tracked, encoder.machine.moves.values()))
