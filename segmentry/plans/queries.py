@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import checks, cross, dedup, redact, reports, similarity, terms
 from ..schema import MONOLINGUAL_CHECKS, segments
 from ..sources import tables
+from . import file_queries
 
 LANGS = checks.Config(source_lang="en", target_lang="es")
 #: Small term tables for the catalogue's queries.
@@ -221,4 +222,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dd_same_source": dd_same_source, "dd_variants": dd_variants, "fn_funnel": fn_funnel, "fn_metrics": fn_metrics,
     "rd_email": _redacted(["email"]), "rd_url_ip": _redacted(["url"]), "rd_default_layers": rd_default_layers, "rd_dictionary": rd_dictionary, "rd_clinical_and_names": rd_clinical_and_names, "rd_propagate": rd_propagate, "rd_audit": rd_audit,
     "rp_by_category": rp_by_category, "rp_by_group": rp_by_group, "rp_page": rp_page, "rp_context_window": rp_context_window, "rp_signature_groups": rp_signature_groups, "rp_flatten_sorted": rp_flatten_sorted, "rp_search": rp_search,
+    **file_queries.QUERIES,
 }

@@ -6,6 +6,7 @@ is done. Entities and document types are refused; ZIP members are counted and me
 
 from __future__ import annotations
 
+import contextlib
 import io
 import re
 import zipfile
@@ -173,16 +174,23 @@ def units(data: bytes, kind: str) -> Iterator[dict]:
     yield from done
 
 
-def paragraphs(data: bytes) -> Iterator[str]:
-    """Paragraphs of all Word parts, cut at tabs and breaks; deleted text is no text, text boxes stand alone."""
+@contextlib.contextmanager
+def open_word(data: bytes) -> Iterator[tuple[zipfile.ZipFile, list[str]]]:
+    """A Word file whose members are few, small and named once, and its text parts in order."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         members = z.infolist()
         if len(members) > MOST_MEMBERS or sum(m.file_size for m in members) > MOST_EXPANDED or len({m.filename for m in members}) < len(members):
             raise Rejected("too many, too large or repeated members")
         if any(m.file_size > MOST_RATIO * max(1, m.compress_size) for m in members):
             raise Rejected("compressed too well")
-        for member in sorted(m.filename for m in members if re.fullmatch(r"word/[^/]*\.xml", m.filename)):
-            yield from _paragraphs(z.read(member))
+        yield z, sorted(m.filename for m in members if re.fullmatch(r"word/[^/]*\.xml", m.filename))
+
+
+def paragraphs(data: bytes) -> Iterator[str]:
+    """Paragraphs of all Word parts, cut at tabs and breaks; deleted text is no text, text boxes stand alone."""
+    with open_word(data) as (z, parts):
+        for name in parts:
+            yield from _paragraphs(z.read(name))
 
 
 def _paragraphs(data: bytes) -> Iterator[str]:
@@ -258,6 +266,11 @@ def file_name(path: str, root: str) -> str:
     return path.rsplit("/", 1)[-1] if path.endswith(root) else path
 
 
+def root_of(path: str) -> str:
+    """The folder below which files are named: a pattern's last folder without signs."""
+    return re.split(r"[*?\[{]", path, maxsplit=1)[0].rsplit("/", 1)[0] if re.search(r"[*?\[{]", path) else path
+
+
 def _parser(root: str):
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -292,8 +305,7 @@ def offsets(rows: DataFrame) -> DataFrame:
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Segments of all files below a path. ``id`` is the file's offset (in order of names) plus the local number."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    root = re.split(r"[*?\[{]", path, maxsplit=1)[0].rsplit("/", 1)[0] if re.search(r"[*?\[{]", path) else path
-    rows = files.mapInPandas(_parser(root), SEGMENT)
+    rows = files.mapInPandas(_parser(root_of(path)), SEGMENT)
     return rows.join(offsets(rows), "file").withColumn("id", F.col("local_id") + F.col("_offset")).select(*SEGMENT.names)
 
 
