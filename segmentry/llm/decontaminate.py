@@ -3,7 +3,7 @@
 A-Z are lower-cased; words are runs of 0-9, a-z and non-ASCII characters. The benchmark's windows (10 consecutive words of
 an item; all words of a shorter one) are a hash set that is broadcast, in blocks of at most ``MOST_SENT`` bytes, so a
 benchmark of any size is covered. Training texts are cut into stretches of words, each stretch into its windows of every
-length that the benchmark has; a window meets the set by its hash, and a hit is verified by the window itself. All hits of
+length that the benchmark has; a window meets the set by its words' hashes, and a hit is verified word by word. All hits of
 one text are gathered (sums in the map tasks first: copies of a text send one row a task), which is bounded by the text.
 
 ``hits`` has one row for each distinct text with a hit; ``judge`` joins them to the documents, texts with very many copies
@@ -20,21 +20,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, join_uneven, spare
+from .common import LEAST_HOT, durable, join_uneven, spare
 
 WINDOW = 10
 #: Bytes of windows that a task holds at a time.
 MOST_SENT = 32 << 20
 #: Words that are cut into windows at a time.
-STRETCH = 256
+STRETCH = 128
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same classes for texts that keep their capitals: a word with what stands before it, and what follows the last one.
+#: What lies between words, capitals counting as letters; a word's signs; and what may stand before it.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD, NO_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
+def split_of(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
+
+
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
+    """Words with A-Z in small letters; for a text of ASCII only, ``lower`` says the same and is faster."""
+    return split_of(F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)))
+
+
+def hash_of(each: str, first: str, k: int) -> str:
+    """The hash of k words from one on, by their hashes; what is beyond the array does not count."""
+    return f"xxhash64({', '.join(f'get({each}, {first} + {j})' for j in range(k))})"
 
 
 def key_of(text: Column) -> Column:
@@ -46,20 +56,29 @@ def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "t
     """hash, window (its words joined by blanks), k (words), items (sorted ids as strings) for each distinct window."""
     rows = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("words")).where("size(words) > 0")
     cut = rows.select("item", F.least(F.size("words"), F.lit(window)).alias("k"), "words").select(
-        "item", "k", F.explode(F.expr("transform(sequence(1, size(words) - k + 1), i -> array_join(slice(words, i, k), ' '))")).alias("window"))
-    return cut.groupBy("k", "window").agg(F.array_sort(F.collect_set("item")).alias("items")).select(F.xxhash64("window").alias("hash"), "window", "k", "items")
+        "item", "k", F.explode(F.expr("transform(sequence(1, size(words) - k + 1), i -> slice(words, i, k))")).alias("window"))
+    return cut.groupBy("k", "window").agg(F.array_sort(F.collect_set("item")).alias("items")).select(
+        F.expr(hash_of("transform(window, w -> xxhash64(w))", "0", window)).alias("hash"), F.array_join("window", " ").alias("window"), "k", "items")
 
 
 def _windows(docs: DataFrame, text: str, lengths: list[int]) -> DataFrame:
-    """key, at (number of the first word), k, window of all of the texts' windows of these lengths."""
+    """key, at (number of the first word), k, hash, words (of the stretch), i (the window's place there) of all of the texts' windows of these lengths.
+
+    What is exploded is a plain column of word hashes, so that the explosion, the windows' hashes and the join behind them
+    are one compiled loop in which nothing is copied; ``inline`` keeps the words' hashes from being worked out anew.
+    """
     longest = max(lengths)
-    stretches = docs.select(key_of(F.col(text)).alias("key"), words_of(F.col(text)).alias("words")).where(f"size(words) >= {min(lengths)}").select("key", F.posexplode(
-        F.expr(f"transform(sequence(1, size(words), {STRETCH}), b -> slice(words, b, {STRETCH + longest - 1}))")).alias("number", "words"))
-    of_length = [f"transform(sequence(1, least({STRETCH}, size(words) - {k - 1})), i -> struct(i, {k} as k, array_join(slice(words, i, {k}), ' ') as window))" for k in lengths]
-    guarded = [f"if(size(words) < {k}, cast(array() as array<struct<i:int,k:int,window:string>>), {made})" for k, made in zip(lengths, of_length)]
-    made = guarded[0] if len(guarded) == 1 else f"concat({', '.join(guarded)})"
-    return stretches.select("key", "number", F.explode(F.expr(made)).alias("w")).select(
-        "key", (F.col("number") * STRETCH + F.col("w.i") - 1).alias("at"), F.col("w.k").alias("k"), F.col("w.window").alias("window"))
+    words = docs.select(key_of(F.col(text)).alias("key"), words_of(F.col(text)).alias("words"))
+    # outer explosions, as the others would look into each array twice
+    stretches = words.select("key", F.posexplode_outer(F.expr(f"transform(sequence(1, greatest(1, size(words)), {STRETCH}), b -> slice(words, b, {STRETCH + longest - 1}))")).alias("number", "words"))
+    hashed = stretches.select("key", "number", F.inline_outer(F.array(F.struct("words", F.transform("words", lambda w: F.xxhash64(w)).alias("each")))))
+    placed = hashed.select("key", "number", "words", "each", F.posexplode_outer("each").alias("place", "first")).where(f"place < {STRETCH}")
+    one = lambda k: F.when(F.col("place") + k <= F.size("each"), F.expr(hash_of("each", "place", k)))
+    if len(lengths) == 1:
+        made = placed.withColumn("k", F.lit(lengths[0])).withColumn("hash", one(lengths[0]))
+    else:
+        made = placed.select("key", "number", "words", "place", F.inline_outer(F.array(*[F.struct(F.lit(k).alias("k"), one(k).alias("hash")) for k in lengths])))
+    return made.select("key", (F.col("number") * STRETCH + F.col("place")).alias("at"), "k", "hash", "words", (F.col("place") + 1).alias("i"))
 
 
 def hits(docs: DataFrame, windows: DataFrame, text: str = "text") -> DataFrame:
@@ -71,8 +90,10 @@ def hits(docs: DataFrame, windows: DataFrame, text: str = "text") -> DataFrame:
     found = None
     for i in range(blocks):
         block = windows if blocks == 1 else windows.where(F.pmod("hash", F.lit(blocks)) == i)
-        sent = F.broadcast(block.select("hash", F.col("window").alias("benchmark_window"), "items"))
-        met = _windows(docs, text, lengths).withColumn("hash", F.xxhash64("window")).join(sent, "hash").where("window = benchmark_window")
+        sent = F.broadcast(block.select("hash", "window", F.col("k").alias("size"), "items"))
+        # said so that it is looked at for equal hashes only, and not a key of the join
+        same = "k = size and instr(array_join(slice(words, i, k), ' '), window) = 1 and length(array_join(slice(words, i, k), ' ')) - length(window) = 0"
+        met = _windows(docs, text, lengths).join(sent, "hash").where(same)
         own = met.groupBy("key").agg(F.collect_set(F.struct("at", (F.col("at") + F.col("k")).alias("end"))).alias("spans"), F.collect_set("items").alias("items"))
         if blocks > 1:
             own = durable(own)
@@ -98,9 +119,8 @@ def runs(found: DataFrame) -> DataFrame:
 
 def _joined(keyed: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Rows with a ``key`` and the columns of ``found``; texts with very many copies are dealt out."""
-    found = durable(found.withColumnRenamed("key", key))
-    counts = keyed.select(key).join(found.select(key), key, "left_semi").groupBy(key).agg(F.count("*").alias("n"))
-    return join_uneven(keyed, found, key, durable(counts), "left")
+    counts = keyed.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > LEAST_HOT)
+    return join_uneven(keyed, durable(found.withColumnRenamed("key", key)), key, durable(counts), "left")
 
 
 def judge(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -109,7 +129,7 @@ def judge(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     found = hits(docs, benchmark_windows(items, item_id, item_text, window), text)
     others = [c for c in docs.columns if c.lower() not in results | {text.lower()}]
     (key,) = spare(docs, "key")
-    light = docs.select(*(f"`{c}`" for c in others), F.size(words_of(F.col(text))).cast("long").alias("n_words"), key_of(F.col(text)).alias(key))
+    light = docs.select(*(f"`{c}`" for c in others), F.size(split_of(F.col(text))).cast("long").alias("n_words"), key_of(F.col(text)).alias(key))
     return _joined(light, found, key).select(
         *(f"`{c}`" for c in others), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<at:bigint,end:bigint>>")).alias("spans"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))

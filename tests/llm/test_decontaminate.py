@@ -70,6 +70,7 @@ def test_copies_are_dealt_out(spark, monkeypatch):
     from segmentry.llm import common
 
     monkeypatch.setattr(common, "LEAST_HOT", 3)
+    monkeypatch.setattr(dc, "LEAST_HOT", 3)
     docs, items = made()
     docs += [(500 + i, docs[12][1]) for i in range(200)]
     d, b = frames(spark, docs, items)
