@@ -53,26 +53,40 @@ def forbidden_terms(segments: DataFrame, terms: DataFrame) -> DataFrame:
     return _issues(found, "forbidden_terms", None, F.array("term"))
 
 
-def glossary_violation(segments: DataFrame, glossary: DataFrame, case_sensitive: bool = False, stems: DataFrame | None = None) -> DataFrame:
+def _forms(terms: DataFrame, stems: DataFrame) -> DataFrame:
+    """(_no, term) of the inflected forms of single-word terms that are no acronyms."""
+    single = terms.select("_no", F.col("term").alias("_t")).where(F.col("_t").rlike("^\\p{L}+(?:['’-]\\p{L}+)*$") & ~F.col("_t").rlike("^(?=(?:.*\\p{L}){2})[^\\p{Ll}]+$"))
+    own = stems.select(F.lower("form").alias("form"), F.lower("stem").alias("stem")).distinct()
+    met = single.join(own, F.lower("_t") == own.stem).where("form <> stem")
+    return met.join(own.where("form = stem").select("form"), "form", "left_anti").select("_no", F.col("form").alias("term"))
+
+
+def glossary_violation(segments: DataFrame, glossary: DataFrame, case_sensitive: bool = False, stems: DataFrame | None = None, source_stems: DataFrame | None = None) -> DataFrame:
     """One finding for each segment and source term whose targets are all missing.
 
     Alternatives are all targets of source terms that are equal without case. Terms in capitals are always matched with
-    case. ``stems`` (form, stem) lets single-word terms match inflected forms whose stems contain the term and that are
-    not a stem themselves.
+    case. ``stems`` and ``source_stems`` (form, stem), of the target's and of the source's language, let single-word terms
+    match inflected forms whose stems contain the term and that are not a stem of themselves (``sources.affixes``).
     """
     entries = glossary.where((F.trim("source") != "") & (F.trim("target") != "")).select(F.trim("source").alias("source"), F.trim("target").alias("target"), F.col("note") if "note" in glossary.columns else F.lit(None).cast("string").alias("note"))
     sources = entries.groupBy(F.lower("source").alias("_no")).agg(F.min_by("source", F.struct("source", "target")).alias("term"), F.concat_ws(" | ", F.array_sort(F.collect_set("target"))).alias("_targets"), F.max("note").alias("note"))
     exact = lambda c: F.lit(case_sensitive) | c.rlike("^(?=(?:.*\\p{L}){2})[^\\p{Ll}]+$")
+    if source_stems is not None:
+        shown = sources.select("_no", "term", "_targets", "note")
+        sources = sources.select("_no", "term", F.col("term").alias("_shown"), "_targets", "note").union(
+            _forms(shown.select("_no", "term"), source_stems).join(shown.withColumnRenamed("term", "_shown"), "_no").select("_no", "term", "_shown", "_targets", "note"))
+    else:
+        sources = sources.withColumn("_shown", F.col("term"))
     in_source = _hits(segments, sources, whole(F.col("source_text")), exact(F.col("term")))
+    if source_stems is not None:
+        # the term and its forms are one finding
+        in_source = in_source.dropDuplicates(["file", "id", "_no"])
     targets = entries.select(F.lower("source").alias("_no"), F.col("target").alias("term"))
     if stems is not None:
-        more = entries.select(F.lower("source").alias("_no"), F.col("target").alias("_t")).where(F.col("_t").rlike("^\\p{L}+$"))
-        own = stems.select(F.lower("form").alias("form"), F.lower("stem").alias("stem"))
-        forms = more.join(own, F.lower("_t") == own.stem).join(own.select(F.col("stem").alias("form")).distinct(), "form", "left_anti").select("_no", F.col("form").alias("term"))
-        targets = targets.union(forms)
+        targets = targets.union(_forms(targets, stems))
     in_target = _hits(segments, targets, whole(F.col("target_text")), exact(F.col("term"))).select("file", "id", "_no").distinct()
     missing = in_source.join(in_target, ["file", "id", "_no"], "left_anti")
-    return _issues(missing, "glossary_violation", F.array("term"), F.array("_targets"), F.col("note"))
+    return _issues(missing, "glossary_violation", F.array("_shown"), F.array("_targets"), F.col("note"))
 
 
 def confusable_pairs(segments: DataFrame, groups: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import file_queries
-from .queries import CONFUSABLE, FORBIDDEN, GLOSSARY, LEXICON, SQL_RULES
+from .queries import AFFIX_WORDS, CONFUSABLE, FORBIDDEN, GLOSSARY, LEXICON, SQL_RULES
 
 BLANK = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TOKEN = "███"
@@ -150,6 +150,13 @@ ORACLE_SQL: dict[str, str] = {
     "qa_spelling_lexicon": f"""with {LINES}, w as (select id, regexp_extract_all(line, '\\p{{L}}+(?:[''’\\-]\\p{{L}}+)*') as all_words from lines),
       f as (select id, list_filter(all_words, lambda x, i: list_position(all_words, x) = i and length(x) >= 2 and not list_contains([{', '.join(quoted(w) for w in LEXICON)}], lower(replace(x, '’', '''')))) as bad from w)
       select id, '' as span_source, array_to_string(bad[1:20], '|') as span_target from f where len(bad) > 0""",
+    "qa_affix_spelling": f"""with {LINES}, e(word, flags) as {values(AFFIX_WORDS)}, s as (select word as form, flags from e
+        union select regexp_replace(word, 'y$', 'ies'), flags from e where contains(flags, 'S') and regexp_matches(word, '[^aeiou]y$') union select word || 's', flags from e where contains(flags, 'S') and regexp_matches(word, '[^sxzy]$')
+        union select word || 'ed', flags from e where contains(flags, 'D') and regexp_matches(word, '[^e]$') union select word || 'd', flags from e where contains(flags, 'D') and regexp_matches(word, 'e$')),
+      forms as (select list(form) as known from (select form from s union select 'un' || form from s where contains(flags, 'U'))),
+      w as (select id, regexp_extract_all(line, '\\p{{L}}+(?:[''’\\-]\\p{{L}}+)*') as all_words from lines),
+      f as (select id, list_filter(all_words, lambda x, i: list_position(all_words, x) = i and length(x) >= 2 and not list_contains(known, lower(replace(x, '’', '''')))) as bad from w, forms)
+      select id, '' as span_source, array_to_string(bad[1:20], '|') as span_target from f where len(bad) > 0""",
     "xs_consistency_target": consistency("sn", "tn", "sl"),
     "xs_consistency_source": consistency("tn", "sn", "tl"),
     "xs_date_majority": """with o as (select o_orderkey as id, case when o_orderkey % 9 = 0 then strftime(o_orderdate, '%d.%m.%Y') else strftime(o_orderdate, '%d/%m/%Y') end as raw, case when o_orderkey % 9 = 0 then '.' else '/' end as sign from orders),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks, cross, dedup, redact, reports, similarity, terms
 from ..schema import MONOLINGUAL_CHECKS, segments
-from ..sources import tables
+from ..sources import affixes, tables
 from . import file_queries
 
 LANGS = checks.Config(source_lang="en", target_lang="es")
@@ -55,6 +55,20 @@ def qa_spelling_lexicon(spark, sf):
     return _shown(terms.spellcheck(segments(tables.monolingual(spark, sf)), lexicon))
 
 
+#: A small affix dictionary: plurals, past forms and a prefix over words that the tables hold.
+AFFIX_RULES = "SET UTF-8\nSFX S Y 2\nSFX S y ies [^aeiou]y\nSFX S 0 s [^sxzy]\nSFX D Y 2\nSFX D 0 ed [^e]\nSFX D 0 d e\nPFX U Y 1\nPFX U 0 un .\n"
+AFFIX_WORDS = (("the", "S"), ("on", "SDU"), ("in", "SU"), ("an", "SD"), ("er", "SDU"), ("re", "SDU"), ("at", "SU"), ("en", "SDU"), ("ion", "S"), ("it", "S"), ("that", "S"), ("le", "SD"), ("ent", "SDU"), ("der", ""), ("die", "SD"), ("las", ""), ("que", "S"))
+
+
+def qa_affix_spelling(spark, sf):
+    """Spelling by an affix dictionary: the words that the lines hold are taken apart, none is generated."""
+    rules = affixes.parse_affixes(AFFIX_RULES.encode())
+    entries = spark.createDataFrame([(w, list(f)) for w, f in AFFIX_WORDS], affixes.ENTRY)
+    rows = segments(tables.monolingual(spark, sf))
+    words = rows.select(F.explode(F.regexp_extract_all("target_text", F.lit("\\p{L}+(?:['’\\-]\\p{L}+)*"), F.lit(0))).alias("word"))
+    return _shown(terms.spellcheck(rows, affixes.known_forms(words, entries, rules)))
+
+
 def qa_custom_regex(spark, sf):
     cfg = checks.Config(custom_forbidden=[(None, r"same\s+same"), ("the", r"[A-Z]{4,}!!")], custom_required=[(r"\d{4}", r"\d{4}")])
     found = checks.check_segments(segments(tables.mutated(spark, sf)), cfg, ["custom_forbidden_regex", "custom_required_regex"])
@@ -215,7 +229,7 @@ def rd_audit(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"qa_{c}": _rule(c) for c in (*SQL_RULES, "bracket_balance", "repeated_words", "alluppercase_mismatch", "polarity_mismatch", "tag_malformed", "tag_count", "tag_order", "number_mismatch", "range_ratio_mismatch", "number_format_mismatch", "date_format_mismatch")},
     "qa_turns_length_ratio": _rule("length_ratio", tables.turns),
-    "qa_forbidden_terms": qa_forbidden_terms, "qa_glossary": qa_glossary, "qa_confusables": qa_confusables, "qa_spelling_lexicon": qa_spelling_lexicon, "qa_custom_regex": qa_custom_regex,
+    "qa_forbidden_terms": qa_forbidden_terms, "qa_glossary": qa_glossary, "qa_confusables": qa_confusables, "qa_spelling_lexicon": qa_spelling_lexicon, "qa_affix_spelling": qa_affix_spelling, "qa_custom_regex": qa_custom_regex,
     "qa_monolingual": qa_monolingual, "qa_units": qa_units,
     "xs_consistency_target": xs_consistency("target"), "xs_consistency_source": xs_consistency("source"), "xs_hyphenation": xs_hyphenation, "xs_date_majority": xs_majority("date"), "xs_number_majority": xs_majority("number"),
     "xs_fuzzy_pairs": xs_fuzzy_pairs,
