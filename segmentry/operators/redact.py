@@ -9,13 +9,17 @@ to all its rows in a second pass; unlike a sequential run, a row does not depend
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.term_positions import WESTERN, Terms, replaced
 from ..functions.text import SPACE, whole
 from .dedup import TOKEN, consolidated
 
@@ -135,10 +139,33 @@ def staged(df: DataFrame, text: str, count: str, patterns: Sequence[str], token:
     return df
 
 
-def dictionary_pattern(terms: Sequence[str]) -> str | None:
-    """Longest first, as whole words, without case."""
-    kept = sorted({t.strip() for t in terms if t.strip()}, key=lambda t: (-len(t), t))
-    return "(?iu)" + word("|".join(re.escape(t) for t in kept)) if kept else None
+#: Addresses that are replaced whole if a dictionary term stands in them, though addresses as such stay.
+ADDRESS_SHAPES = tuple(re.compile(p) for p in (r"(?<!\w)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?!\w)", r"https?://\S+", r"(?<!\w)www\.[^\s,.)]+(?:\.[^\s,.)]+)+"))
+
+
+def without_terms(text: str, terms: Terms, token: str, addresses: bool) -> tuple[str, int]:
+    """(text, replacements): dictionary terms as whole words; ``addresses``: first, addresses that hold one, as a whole."""
+    n = 0
+    for shape in ADDRESS_SHAPES if addresses else ():
+        places = [m.span() for m in shape.finditer(text) if terms.everywhere(m[0])]
+        text, n = replaced(text, places, token), n + len(places)
+    places = terms.taken(text)
+    return replaced(text, places, token), n + len(places)
+
+
+def _with_dictionary(rows: DataFrame, text: str, count: str, layers: Layers) -> DataFrame:
+    """The automaton goes to the tasks once, whatever its size: a dictionary is what a user keeps in a file."""
+    sent = rows.sparkSession.sparkContext.broadcast(sorted({t.strip() for t in layers.dictionary if t.strip()}))
+    token, addresses = layers.token, not layers.safe
+
+    @F.pandas_udf("struct<text:string,n:int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        terms = Terms(sent.value)
+        for texts in batches:
+            yield pd.DataFrame([without_terms(t, terms, token, addresses) for t in texts], columns=["text", "n"])
+
+    made = rows.withColumn("_m", run(F.col(text)))
+    return made.withColumns({count: F.col(count) + F.col("_m.n"), text: F.col("_m.text")}).drop("_m")
 
 
 def _held(index: int) -> str:
@@ -146,9 +173,9 @@ def _held(index: int) -> str:
 
 
 def redact(rows: DataFrame, layers: Layers | None = None, columns: Sequence[str] = ("text",)) -> DataFrame:
-    """Add <column>_after and counts <column>_n_safe, _n_clinical, _n_names, _n_dictionary.
+    """Add <column>_after and counts <column>_n_safe, _n_clinical, _n_names, _n_dictionary; with names, <column>_names too.
 
-    Order: whitelist held; e-mails and URLs whole; dictionary; safe layers; clinical codes and capitals; names; whitelist
+    Order: whitelist held; e-mails and URLs whole, or without the safe layers those that hold a dictionary term; dictionary; safe layers; clinical codes and capitals; names; whitelist
     restored; runs of tokens joined.
     """
     layers = layers or Layers()
@@ -160,8 +187,8 @@ def redact(rows: DataFrame, layers: Layers | None = None, columns: Sequence[str]
             rows = rows.withColumn(out, F.regexp_replace(out, "(?iu)" + word("(" + re.escape(term) + ")"), mark))
         if layers.safe:
             rows = staged(rows, out, n["safe"], [EMAIL, URL], layers.token)
-        if (p := dictionary_pattern(layers.dictionary)) is not None:
-            rows = staged(rows, out, n["dictionary"], [p], layers.token)
+        if any(t.strip() for t in layers.dictionary):
+            rows = _with_dictionary(rows, out, n["dictionary"], layers)
         if layers.safe:
             rows = staged(rows, out, n["safe"], [p for ps in LAYERS.values() for p in ps], layers.token)
         if layers.clinical:
@@ -169,7 +196,7 @@ def redact(rows: DataFrame, layers: Layers | None = None, columns: Sequence[str]
             capitals = f"{B0}(?!(?:{safe}){B1})[A-ZÀ-Þ]{{3,}}{B1}" if safe else f"{B0}[A-ZÀ-Þ]{{3,}}{B1}"
             rows = staged(rows, out, n["clinical"], [*CLINICAL, capitals], layers.token)
         if layers.names:
-            rows = _with_names(rows, out, n["names"], layers)
+            rows = _with_names(rows, out, n["names"], f"{c}_names", layers)
             rows = staged(rows, out, n["names"], HOSPITALS, layers.token)
         for term, mark in held.items():
             rows = rows.withColumn(out, F.replace(out, F.lit(mark), F.lit(term)))
@@ -200,8 +227,9 @@ def name_score(tokens: Sequence[str], before: str, at_start: bool, first: frozen
     return score
 
 
-def without_names(text: str, token: str, first: frozenset, last: frozenset) -> tuple[str, int]:
-    out, at, n = [], 0, 0
+def without_names(text: str, token: str, first: frozenset, last: frozenset) -> tuple[str, list[str]]:
+    """(text, names that were replaced, in order)."""
+    out, at, found = [], 0, []
     for m in CANDIDATE.finditer(text):
         before, after = text[: m.start()], text[m.end() :]
         if EPONYM_BEFORE.search(before[-60:]) or EPONYM_AFTER.match(after[:40]):
@@ -212,20 +240,20 @@ def without_names(text: str, token: str, first: frozenset, last: frozenset) -> t
         shown = before.rstrip()
         if name_score(tokens, before, not shown or shown[-1] in ".!?", first, last) >= 6:
             out += [text[at : m.start()], token]
-            at, n = m.end(), n + 1
-    return "".join(out) + text[at:], n
+            at = m.end()
+            found.append(m[0])
+    return "".join(out) + text[at:], found
 
 
-def _with_names(rows: DataFrame, text: str, count: str, layers: Layers) -> DataFrame:
+def _with_names(rows: DataFrame, text: str, count: str, names: str, layers: Layers) -> DataFrame:
     first, last, token = frozenset(layers.first_names), frozenset(layers.surnames), layers.token
 
-    @F.pandas_udf("struct<text:string,n:int>")
+    @F.pandas_udf("struct<text:string,names:array<string>>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        made = [without_names(t, token, first, last) for t in texts]
-        return pd.DataFrame(made, columns=["text", "n"])
+        return pd.DataFrame([without_names(t, token, first, last) for t in texts], columns=["text", "names"])
 
     made = rows.withColumn("_m", run(F.col(text)))
-    return made.withColumns({count: F.col(count) + F.col("_m.n"), text: F.col("_m.text")}).drop("_m")
+    return made.withColumns({count: F.col(count) + F.size("_m.names"), names: F.col("_m.names"), text: F.col("_m.text")}).drop("_m")
 
 
 def admitted(term: Column) -> Column:
@@ -236,9 +264,9 @@ def admitted(term: Column) -> Column:
     return (F.length(F.trim(term)) >= 4) & F.when(F.size(words) >= 2, (titled >= 2) | strong).otherwise(strong)
 
 
-def document_terms(rows: DataFrame, patterns: Sequence[str], text: str = "text", document: str = "file") -> DataFrame:
-    """(document, term): distinct lower-case terms that the patterns find in a document and that are admitted."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(whole(F.col(text)), F.lit(p), F.lit(0)) for p in patterns]))
+def document_terms(rows: DataFrame, patterns: Sequence[str], text: str = "text", document: str = "file", names: str | None = None) -> DataFrame:
+    """(document, term): distinct lower-case terms that the patterns find in a document, or that the column ``names`` holds, and that are admitted."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(whole(F.col(text)), F.lit(p), F.lit(0)) for p in patterns], *([F.coalesce(F.col(names), F.array().cast("array<string>"))] if names else [])))
     terms = rows.select(document, F.explode(F.array_distinct(found)).alias("term"))
     return terms.where(admitted(F.col("term"))).select(document, F.lower(F.trim("term")).alias("term")).distinct()
 
@@ -249,40 +277,68 @@ def lowercase_words(rows: DataFrame, text: str = "text", document: str = "file")
     return rows.select(document, F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(f"{B0}\\p{{Ll}}{{3,}}{B1}"), F.lit(0)))).alias("word")).distinct()
 
 
-def propagate(rows: DataFrame, terms: DataFrame, lower: DataFrame | None = None, text: str = "text_after", document: str = "file", token: str = TOKEN) -> DataFrame:
+#: Rows of one document that a task handles together, about, and how many documents may be dealt out to shares.
+ROWS_OF_SHARE, DEALT_DOCUMENTS = 20_000, 100_000
+
+
+def swapped(text: str, terms: Terms, kept: Terms, usual: set[str], token: str) -> str:
+    """The text with its document's terms replaced, but for those in lower case, those of usual words, and what is kept."""
+
+    def swap(found: str) -> str:
+        words = [w for w in re.findall(r"[^\W\d_]+", found.lower()) if len(w) > 2]
+        return found if found.islower() or (words and usual and all(w in usual for w in words)) else token
+
+    return replaced(text, terms.taken(text, kept.taken(text)), swap)
+
+
+def propagate(rows: DataFrame, terms: DataFrame, lower: DataFrame | None = None, text: str = "text_after", document: str = "file", token: str = TOKEN, whitelist: Sequence[str] = ()) -> DataFrame:
     """Second pass: replace each document's terms in all its rows, longest first.
 
-    Matches in lower case stay, and so do those made of words that the document also writes in lower case.
+    Matches in lower case stay, and so do those made of words that the document also writes in lower case; terms of the
+    whitelist are none, and its occurrences are not touched. A document's terms and words go ahead of its rows in one
+    sorted stream, so each is sent once for a share of some ``ROWS_OF_SHARE`` rows and no row carries them; a document of
+    very many rows is dealt out to shares. Null texts stay null, and rows without a document have no terms.
     """
-    own = terms.groupBy(document).agg(F.sort_array(F.collect_set(F.struct((-F.length("term")).alias("n"), "term"))).alias("_t"))
-    joined = rows.join(own, document, "left")
+    spark = rows.sparkSession
+    gone = frozenset(w.strip().lower() for w in whitelist if w.strip())
+    counts = rows.groupBy(F.col(document).alias("_d")).agg(F.count("*").alias("_n"))
+    # so that at most ``DEALT_DOCUMENTS`` are in the list that goes to all tasks
+    most = max(ROWS_OF_SHARE, (counts.agg(F.sum("_n")).first()[0] or 0) // DEALT_DOCUMENTS)
+    shares = counts.select("_d", F.ceil(F.col("_n") / most).cast("int").alias("_shares"))
+    fields = [f"`{c}`" for c in rows.columns]
+    head = terms.select(F.col(document).cast("string").alias("_d"), F.lit(0).alias("_kind"), F.col("term").alias("_word"))
     if lower is not None:
-        joined = joined.join(lower.groupBy(document).agg(F.collect_set("word").alias("_low")), document, "left")
-    else:
-        joined = joined.withColumn("_low", F.lit(None).cast("array<string>"))
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, terms: pd.Series, low: pd.Series) -> pd.Series:
-        known: dict[tuple, re.Pattern] = {}
-        out = []
-        for t, own, common in zip(texts, terms, low):
-            if own is None or not len(own):
-                out.append(t)
-                continue
-            key = tuple(own)
-            if key not in known:
-                known.clear()
-                known[key] = re.compile("|".join(rf"(?<![A-Za-z0-9À-ÿ]){re.escape(x)}(?![A-Za-z0-9À-ÿ])" for x in own), re.I)
-            usual = set() if common is None else set(common)
-
-            def swap(m: re.Match) -> str:
-                words = [w for w in re.findall(r"[^\W\d_]+", m[0].lower()) if len(w) > 2]
-                return m[0] if m[0].islower() or (words and usual and all(w in usual for w in words)) else token
-
-            out.append(known[key].sub(swap, t))
-        return pd.Series(out)
-
-    return joined.withColumn(text, run(F.col(text), F.transform("_t", lambda x: x["term"]), F.col("_low"))).drop("_t", "_low")
+        head = head.union(lower.select(F.col(document).cast("string"), F.lit(1), F.col("word")))
+    named = shares.where("_d is not null").select(F.col("_d").cast("string").alias("_d"), "_shares")
+    sent = head.join(named, "_d").select("_d", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"), "_kind", "_word", *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+    own = rows.join(F.broadcast(shares.where("_shares > 1")), F.col(document) == F.col("_d"), "left")
+    share = F.pmod(F.monotonically_increasing_id(), F.coalesce("_shares", F.lit(1))).cast("int")
+    own = own.select(F.col(document).cast("string").alias("_d"), share.alias("_share"), F.lit(2).alias("_kind"), F.lit(None).cast("string").alias("_word"), *fields)
+    at, kept = rows.columns.index(text) + 4, spark.sparkContext.broadcast(sorted(gone))
+    schema = T.StructType(rows.schema.fields)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        white, now, words, made = Terms(kept.value), None, ([], []), None
+        for batch in batches:
+            names, number, kinds, said, texts = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, at))
+            out = []
+            for d, share, kind, word, t in zip(names, number, kinds, said, texts):
+                if (d, share) != now:
+                    now, words, made = (d, share), ([], []), None
+                if kind < 2:
+                    words[kind].append(word)
+                elif t is None or not words[0]:
+                    out.append(t)
+                else:
+                    made = made or (Terms((w for w in words[0] if w not in gone), WESTERN), set(words[1]))
+                    out.append(swapped(t, made[0], white, made[1], token))
+            left = batch.filter(pa.array([k == 2 for k in kinds]))
+            if left.num_rows:
+                columns = [pa.array(out, arrow.field(i).type) if i + 4 == at else left.column(i + 4) for i in range(len(arrow))]
+                yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, arrow)], names=arrow.names)
+
+    return own.union(sent).repartition("_d", "_share").sortWithinPartitions("_d", "_share", "_kind").mapInArrow(run, schema)
 
 
 def mask(value: Column, kind: str) -> Column:

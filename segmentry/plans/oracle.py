@@ -169,6 +169,8 @@ ORACLE_SQL: dict[str, str] = {
       count(*) filter (reason = 'empty') as empty, count(*) filter (reason = 'heavy') as heavy, count(*) filter (reason = 'dedup') as dedup, count(*) filter (changed) as changed_rows,
       round(count(*) filter (reason = 'kept') * 100.0 / count(*), 2) as retention_percent from funnel group by grouping sets ((doc_id), ())""",
     "rd_email": f"select doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}', '{TOKEN}', 'g') as text, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) as n from documents",
+    "rd_dictionary": f"""with d as (select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), lambda x: case when lower(x) in ({', '.join(quoted(w) for w in FORBIDDEN)}) then '{TOKEN}' else x end) as parts from documents)
+      select doc_id, array_to_string(parts, '') as text_after, len(list_filter(parts, lambda x: x = '{TOKEN}'))::bigint as n_dictionary from d""",
     "rd_audit": " union all ".join(
         f"select doc_id::varchar as file, '{kind}' as kind, len(regexp_extract_all(text, '{pattern}')) as n from documents where regexp_matches(text, '{pattern}')" for kind, pattern in AUDITED.items()),
     "rp_by_category": f"with {ISSUES} select category_id, count(*) as n, count(distinct id) as n_segments from issues group by 1",

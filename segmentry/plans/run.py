@@ -74,6 +74,6 @@ def redact_documents(rows: DataFrame, layers: redact.Layers | None = None, docum
     if not (layers.clinical or layers.names):
         return made
     patterns = (redact.CLINICAL if layers.clinical else []) + (redact.HOSPITALS if layers.names else [])
-    found = redact.document_terms(rows, patterns, text, document)
+    found = redact.document_terms(made, patterns, text, document, f"{text}_names" if layers.names else None)
     lower = redact.lowercase_words(rows, text, document) if layers.clinical else None
-    return redact.propagate(made, found, lower, f"{text}_after", document, layers.token)
+    return redact.propagate(made, found, lower, f"{text}_after", document, layers.token, layers.whitelist)
