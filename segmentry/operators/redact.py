@@ -1,8 +1,7 @@
 """Redaction in ordered layers: each stage rewrites what the stage before left.
 
-Detectors are built from short tables of shapes: registries by prefix and digits, national numbers by label and shape,
-and so on. All of them are Java patterns inside one chain of ``regexp_replace`` and ``regexp_count``, so a row is
-rewritten in one projection. Terms that a document's rows reveal are gathered by document (distinct, summed) and applied
+The formats are fixed values (``formats``). All of them are patterns in one chain of ``regexp_replace``; each text is looked
+through once for a pattern, as its replacements are counted by a private mark that stands in for the token. Terms that a document's rows reveal are gathered by document (distinct, summed) and applied
 to all its rows in a second pass; unlike a sequential run, a row does not depend on the order of the rows.
 """
 
@@ -11,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.term_positions import WESTERN, Terms, replaced
 from ..functions.text import SPACE, whole
+from . import formats
 from .dedup import TOKEN, consolidated
 
 B0, B1 = "(?<![\\p{L}\\p{N}_])", "(?![\\p{L}\\p{N}_])"
@@ -30,77 +31,31 @@ def word(pattern: str) -> str:
     return f"{B0}(?:{pattern}){B1}"
 
 
-def digits(*groups: int, sign: str = "[\\s.-]?") -> str:
-    """Digit groups with an optional sign between."""
-    return sign.join(f"\\d{{{n}}}" for n in groups)
+def java(pattern: str, any_case: bool) -> str:
+    """For Spark's matcher: white space, digits and word signs as in Unicode, said one by one, as the flag for all of them slows every border down."""
+    for short, full in (("\\s", "\\p{IsWhite_Space}"), ("\\d", "\\p{Nd}"), ("\\w", "[\\p{L}\\p{N}_]")):
+        pattern = pattern.replace(short, full)
+    return ("(?iu)" if any_case else "") + pattern
 
 
-# The formats that are redacted, as issuers write them. Results depend on them, so they stand here as text.
-#: Study registries, prefix and digits.
-REGISTRIES = {"NCT": "\\d{8}", "ISRCTN": "\\d{8}", "jRCT[A-Za-z]?": "\\d{7,10}", "CTRI[/-]": "\\d{4}[/-]\\d{2,3}[/-]\\d{5,6}", "ACTRN": "\\d{14}", "ChiCTR-?(?:[A-Z]{2,4}-?)?": "\\d{7,10}",
-              "DRKS": "\\d{8}", "IRCT": "\\d{14,}", "UMIN": "\\d{9}", "KCT": "\\d{7}", "EU[-\\s]?CT\\s*": "\\d{4}[-\\s]?\\d{4,6}[-\\s]?\\d{2}[-\\s]?\\d{2}"}
-#: National numbers that a label introduces.
-LABELLED = {
-    "NIF|CIF|DNI|NIE": "[A-Z]?\\d{7,8}-?[A-Z]?", "SSN|Social\\s+Security": digits(3, 2, 4), "EIN|Tax\\s+ID": "\\d{2}-?\\d{7}", "NINO|National\\s+Insurance": "[A-Z]{2}\\s?" + digits(2, 2, 2, sign="\\s?") + "\\s?[A-D]",
-    "NHS": digits(3, 3, 4, sign="\\s?"), "Sécurité\\s+Sociale|INSEE|Numéro\\s+SS|N°?\\s*SS": "[12]\\s?" + digits(2, 2, 2, 3, 3, 2, sign="\\s?"), "Codice\\s+Fiscale|CF": "[A-Z]{6}\\d{2}[A-Z]\\d{2}[A-Z]\\d{3}[A-Z]",
-    "P\\.?\\s*IVA|Partita\\s+IVA": "(?:IT)?\\d{11}", "NIPC|Contribuinte": "[123568]\\d{8}", "Cartão\\s+de\\s+Cidadão|CC": "\\d{8}\\s?\\d\\s?[A-Z]{2}\\d", "BSN|Burgerservicenummer": "\\d{9}",
-    "NISS|Rijksregisternummer|Registre\\s+National": digits(2, 2, 2, 3, 2), "AHV|AVS|OASI": "756[.\\s]?" + digits(4, 4, 2), "CPF": digits(3, 3, 3, 2), "CNPJ": "\\d{2}[.\\s]?\\d{3}[.\\s]?\\d{3}[/\\s]?\\d{4}[-\\s]?\\d{2}",
-    "CURP": "[A-Z]{4}\\d{6}[HM][A-Z]{5}[A-Z\\d]{2}", "PPSN?": "\\d{7}[A-Z]{1,2}", "身份证号?码?|居民身份证": "[1-9]\\d{16}[\\dXx]", "マイナンバー|個人番号": digits(4, 4, 4, sign="\\s?"),
-}
-#: Numbers and codes that stand alone.
-ALONE = {
-    "dni": "\\d{8}-?[A-Z]", "nif": "[A-Z]\\d{7,8}-?[A-Z]?", "ssn": digits(3, 2, 4, sign="-"), "nino": "[A-CEGHJ-PR-TW-Z]{2}\\s?" + digits(2, 2, 2, sign="\\s?") + "\\s?[A-D]",
-    "secu": "[12]\\s?\\d{2}\\s?(?:0[1-9]|1[0-2]|[2-9]\\d)\\s?" + digits(2, 3, 3, 2, sign="\\s?"), "codice": "[A-Z]{6}\\d{2}[A-Z]\\d{2}[A-Z]\\d{3}[A-Z]", "resident": "[1-9]\\d{5}(?:19|20)\\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\\d|3[01])\\d{3}[\\dXx]",
-    "parts": "[A-Z]{2,5}-[A-Z]{2,5}-[A-Z0-9]{2,8}(?:-[A-Z0-9]{1,5})?", "mixed": "[A-Z]{2,6}-[A-Z0-9]{2,10}-[A-Z0-9]{2,10}(?:-[A-Z0-9]{1,6})?", "structured": "[A-Z]{2,6}[-_/]\\d{2,8}",
-    "card": "(?:\\d{4}[-\\s]?){3}\\d{4}", "iban": "[A-Z]{2}\\d{2}(?:\\s?\\d{4}){4}\\s?\\d{0,4}", "social_es": "\\d{2}[-/]\\d{7,8}[-/]\\d{2}", "ip": "(?:\\d{1,3}\\.){3}\\d{1,3}", "long": "\\d{3,}(?:[-./]\\d{2,})+|\\d{6,}[A-Za-z]*",
-}
-EMAIL = word("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}")
-URL = "https?://\\S+"
-#: Top domains of bare host names.
-DOMAIN = B0 + "[A-Za-z0-9][A-Za-z0-9-]*(?:\\.[A-Za-z0-9][A-Za-z0-9-]*)*\\.(?:" + "|".join("gov edu org com net int eu es uk de fr it pt nl be at ch co info mil ai".split()) + ")" + B1 + "(?:/[^\\s,.)]*)?"
-NAME = "[A-ZÀ-Þ][a-zß-ÿ]+"
-NAMES = f"{NAME}(?:\\s+{NAME}){{0,3}}"
-PHONES = [
-    "\\+\\d{1,3}[-.\\s]?\\(?\\d{1,4}\\)?[-.\\s]?\\d{2,4}[-.\\s]?\\d{2,4}(?:[-.\\s]?\\d{1,4})?" + B1, word("00\\d{1,3}" + "[-.\\s]?\\d{2,4}" * 3), "\\(\\d{2,4}\\)\\s*\\d{3,4}[-.\\s]?\\d{3,4}" + B1,
-    word("(?:Tel|Phone|Fax|Mobile|Cell|Tfno|Teléfono|Telefono|Telefon|Téléphone|Telefoon|Cellulare|Portable|Handy|Mobiel)[-:\\s]*\\+?\\d[\\d\\s().-]{7,18}"), word("[679]\\d{2}[-.\\s]?\\d{3}[-.\\s]?\\d{3}"), word("\\d{2,4}[\\s-]\\d{3,4}(?:[\\s-]\\d{2,4})+"),
-]
-#: Words that mark streets, before or after the name, and labels of postal codes and births.
-STREETS_AFTER = "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Court|Ct|Place|Pl|Square|Sq|Way|Terrace"
-STREETS_BEFORE = "Calle|Avenida|Avda|Paseo|Plaza|Camino|Carretera|Ronda|Rue|Boulevard|Place|Chemin|Impasse|Via|Viale|Piazza|Corso|Largo|Vicolo|Rua|Praça|Travessa"
-ADDRESSES = [
-    word(f"\\d{{1,5}}\\s+{NAMES}\\s+(?:{STREETS_AFTER})\\.?"), word(f"\\d{{1,5}}\\s+[A-ZÀ-Þ][a-zß-ÿ]*(?:straat|weg|laan|plein|gracht|straße|strasse|platz|allee)|[A-ZÀ-Þ][a-zß-ÿ]*(?:straße|strasse|platz|allee|straat|laan|gracht)\\s+\\d{{1,4}}"),
-    word(f"(?:{STREETS_BEFORE})\\s+(?:(?:de|del|della|du|des|da|do|la|los|las|le|les)\\s+){{0,2}}{NAMES}(?:\\s*,)?\\s*(?:(?:nº?|n\\.|#)\\s*)?\\d{{1,5}}"),
-]
-POSTAL = [word("(?:CP|C\\.P\\.|Código\\s+Postal|Postcode|ZIP|PLZ|CAP|Code\\s+Postal|Postbus)[-:\\s]*\\d{4,6}[-\\s]?[A-Z]{0,2}"), word("[A-Z]{1,2}\\d{1,2}[A-Z]?\\s*\\d[A-Z]{2}"), word("[A-Z]\\d[A-Z]\\s*\\d[A-Z]\\d"), word("\\d{4}\\s?[A-Z]{2}"), f",\\s*\\d{{5}}\\s+{NAME}{B1}"]
-#: Titles, and degrees after a name.
-TITLES = "Dr|Dra|Prof|Professor|Doctor|Doctora|Dott|Docteur|Professeur|Mr|Mrs|Ms|Miss|Sir|Lady|Lord|Don|Doña|Sr|Sra|Srta|Lic|Ing|Herr|Frau|Monsieur|Madame|Mme|Mlle|Sig|Dhr|Mevr|Mevrouw|Meneer"
-TITLED = [word(f"(?:{TITLES})\\.?\\s+{NAMES}"), word(f"{NAME}(?:\\s+{NAME}){{0,2}},?\\s*(?:MD|M\\.D\\.|PhD|Ph\\.D\\.|PharmD|RN|MBBS|FRCP|FACP|DDS)"), word(f"(?:PI|Co-?PI|SI|Principal\\s+Investigator|Study\\s+Coordinator|Site\\s+Director|Medical\\s+Monitor)[\\s:]+{NAME}(?:\\s+{NAME}){{0,2}}")]
-BIRTHS = [word("(?:DOB|D\\.O\\.B\\.|Date\\s+of\\s+Birth|Birth\\s*Date|Fecha\\s+de\\s+Nacimiento|Geburtsdatum|Date\\s+de\\s+Naissance|Data\\s+di\\s+Nascita|Geboortedatum|Data\\s+de\\s+Nascimento|Born|Nacid[oa]|Née?|Geboren|Nat[oa]|Nascid[oa])[-:\\s]*(?:(?:on|el|le|il|am|em)\\s+)?(?:\\d{1,2}[-/.]\\d{1,2}[-/.]\\d{2,4}|[A-Z][a-z]{2,8}[-.\\s]*\\d{1,2}[-,.\\s]*\\d{2,4})"), "(?:出生日期|生年月日|生日)[\\s:：]*\\d{4}[年/.-]\\d{1,2}[月/.-]\\d{1,2}日?"]
-CJK = ["[\\u4e00-\\u9fff\\u3040-\\u30ff]{1,5}(?:先生|医生|醫生|教授|博士|女士|小姐|様|氏|さん|医師)", "〒\\d{3}[-ー]\\d{4}", "(?:电话|電話|手机|手機|携帯)[\\s:：]*[+＋]?\\d[\\d\\s().（）ー-]{7,18}"]
-MARKS = [f"{B0}{NAME}(?:\\s+{NAME}){{0,3}}\\s*[®™]", f"©\\s*(?:\\d{{4}}\\s+)?{NAME}(?:\\s+{NAME}){{0,3}}"]
-
+EMAIL, URL = java(formats.SAFE["identifiers"]["email"], True), java(formats.SAFE["identifiers"]["url"], True)
 LAYERS: dict[str, list[str]] = {
-    "email": [EMAIL],
-    "registry": ["(?i)" + word("|".join(f"{p}{d}" for p, d in REGISTRIES.items()))],
-    "labelled": [f"(?i){B0}(?:{label})[\\s:：.-]*(?:{shape}){B1}" for label, shape in LABELLED.items()],
-    "alone": [word(p) for p in ALONE.values()],
-    "url": [URL, DOMAIN],
-    "marks": MARKS,
-    "phone": PHONES,
-    "address": ADDRESSES,
-    "postal": POSTAL,
-    "titled": TITLED,
-    "birth": BIRTHS,
-    "cjk": CJK,
+    group: [java(p, group in formats.ANY_CASE) for p in own.values()] for group, own in formats.SAFE.items()
+} | {"email": [EMAIL], "url": [URL, java(formats.SAFE["identifiers"]["domain"], True), java(formats.SAFE["identifiers"]["ip"], True)]}
+CLINICAL = [java(p, True) for p in formats.CLINICAL.values()] + [java(p, False) for p in formats.CODES.values()]
+WITH_VALUE = [java(p, True) for p in formats.WITH_VALUE.values()]
+HOSPITALS = [java(p, False) for p in formats.HOSPITALS.values()]
+#: What a text must hold for a pattern to match at all; looked for first, as most texts do not hold it.
+DIGIT, CJK_SIGN = "[0-9\\p{Nd}]", "[\u3012\u3040-\u30ff\u4e00-\u9fff]"
+NEEDS = {
+    "identifiers": dict.fromkeys(formats.SAFE["identifiers"], DIGIT) | {"email": "@", "url": "://", "domain": "\\.[A-Za-z]", "trademark": "[®™]", "copyright": "©", "parts": "[A-Za-z]-[A-Za-z]", "mixed": "[A-Za-z]-[A-Za-z0-9]"},
+    "phone": dict.fromkeys(formats.SAFE["phone"], DIGIT), "postal": dict.fromkeys(formats.SAFE["postal"], DIGIT), "birth": dict.fromkeys(formats.SAFE["birth"], DIGIT), "cjk": dict.fromkeys(formats.SAFE["cjk"], CJK_SIGN),
+    "address": dict.fromkeys(("street_en", "street_de_nl", "building", "labelled"), DIGIT),
+    "titled": {"degree": "[A-Z]{2}|[A-Z]\\.|[hm]D"},
 }
-#: Fixed formats: codes of clinical documents.
-CLINICAL = [
-    word("\\d{4}-\\d{6}-\\d{2}"), "(?i)" + word("(?:Protocol(?:\\s+ID)?|Study)[\\s:]*[A-Z]{2,5}[-\\s]?\\d{3,5}"), "(?i)" + word("(?:Subject|Patient|SUBJ)[\\s#:-]*\\d{3,}(?:-\\d{3})?"), "(?i)" + word("(?:Site|Center)[\\s#:-]*\\d{2,4}"),
-    "(?i)" + word("(?:Lot|Batch|Kit|Sample\\s+ID)[\\s:]*[A-Z0-9]{2,}-?[A-Z0-9]{2,}"), word("\\d{2,6}[-_/][A-Z]{2,6}"), word("\\d{4}[\\s-]?[A-Z]{2,3}|[A-Z]{1,2}[\\s-]?\\d{4}[\\s-]?[A-Z]{2,3}"), word("\\d{2,}(?:\\s\\d{2,}){2,}"), word("[A-Z]+\\d{6,}[A-Za-z0-9]*|[A-Z]{3,}\\d{5,}"),
-]
-HOSPITALS = [word(f"(?:Hospital|Clínica|Clinica|Clinic|Klinik|Medical\\s+Center|Centro\\s+Médico)\\s+(?:(?:de|del|la|of|Universitario|University|General|Regional|Central)\\s+){{0,2}}{NAME}(?:\\s+{NAME}){{0,2}}"),
-             word(f"{NAME}(?:\\s+{NAME}){{0,2}}\\s+(?:Hospital|Medical\\s+Center|Clinic|Clínica|Krankenhaus|Klinik|Hôpital|Ospedale|Ziekenhuis)")]
-AUDIT = {"email": EMAIL, "phone": PHONES[0], "url": URL, "clinical_id": word("NCT\\d{8}"), "eudract_id": word("\\d{4}-\\d{6}-\\d{2}")}
+GUARDS = {java(formats.SAFE[g][name], g in formats.ANY_CASE): need for g, own in NEEDS.items() for name, need in own.items()}
+GUARDS |= {java(p, True): DIGIT for name, p in (formats.CLINICAL | formats.WITH_VALUE).items() if name != "lot"} | {java(p, False): DIGIT for p in formats.CODES.values()}
+AUDIT = {kind: java(p, True) for kind, p in formats.CRITICAL.items()}
 
 
 @dataclass
@@ -130,13 +85,20 @@ def applied(text: Column, patterns: Iterable[str], token: str) -> tuple[Column,
     return text, count
 
 
-def staged(df: DataFrame, text: str, count: str, patterns: Sequence[str], token: str, at_once: int = 6) -> DataFrame:
-    """Apply patterns in a few projections, so that each intermediate text is computed once."""
-    for i in range(0, len(patterns), at_once):
-        for p in patterns[i : i + at_once]:
-            df = df.withColumns({count: F.col(count) + F.regexp_count(F.col(text), F.lit(p)), "_next": F.regexp_replace(F.col(text), p, token.replace("\\", "\\\\").replace("$", "\\$"))})
-            df = df.withColumn(text, F.col("_next")).drop("_next")
-    return df
+#: Stands for a replacement while it is counted; a text's own such signs are written otherwise meanwhile.
+MARK, OTHER = "\ue0ff", "\ue0fe"
+
+
+def staged(df: DataFrame, text: str, count: str, patterns: Sequence[str], token: str) -> DataFrame:
+    """Apply patterns one after the other, each intermediate text computed once."""
+    swap = lambda pairs: reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), pairs, F.col(text))
+    df = df.withColumn(text, swap([(OTHER, OTHER + "0"), (MARK, OTHER + "1")]))
+    marks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(MARK), F.lit("")))
+    for p in patterns:
+        made = F.regexp_replace(F.col(text), p, MARK)
+        df = df.withColumn("_next", F.when(F.rlike(text, F.lit(GUARDS[p])), made).otherwise(F.col(text)) if p in GUARDS else made)
+        df = df.withColumns({count: F.col(count) + marks(F.col("_next")), text: F.replace("_next", F.lit(MARK), F.lit(token))}).drop("_next")
+    return df.withColumn(text, swap([(OTHER + "1", MARK), (OTHER + "0", OTHER)]))
 
 
 #: Addresses that are replaced whole if a dictionary term stands in them, though addresses as such stay.
@@ -190,11 +152,11 @@ def redact(rows: DataFrame, layers: Layers | None = None, columns: Sequence[str]
         if any(t.strip() for t in layers.dictionary):
             rows = _with_dictionary(rows, out, n["dictionary"], layers)
         if layers.safe:
-            rows = staged(rows, out, n["safe"], [p for ps in LAYERS.values() for p in ps], layers.token)
+            rows = staged(rows, out, n["safe"], [p for group in formats.SAFE for p in LAYERS[group]], layers.token)
         if layers.clinical:
             safe = "|".join(re.escape(a) for a in layers.acronyms)
             capitals = f"{B0}(?!(?:{safe}){B1})[A-ZÀ-Þ]{{3,}}{B1}" if safe else f"{B0}[A-ZÀ-Þ]{{3,}}{B1}"
-            rows = staged(rows, out, n["clinical"], [*CLINICAL, capitals], layers.token)
+            rows = staged(rows, out, n["clinical"], [*CLINICAL, capitals, *WITH_VALUE], layers.token)
         if layers.names:
             rows = _with_names(rows, out, n["names"], f"{c}_names", layers)
             rows = staged(rows, out, n["names"], HOSPITALS, layers.token)

@@ -133,7 +133,7 @@ def consistency(same: str, other: str, size: str) -> str:
 #: Kinds of the audit as patterns without lookaround: a word character before or after is taken along.
 AUDITED = {
     "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "url": "https?://\\S+",
-    "phone": "\\+\\d{1,3}[-.\\s]?\\(?\\d{1,4}\\)?[-.\\s]?\\d{2,4}[-.\\s]?\\d{2,4}(?:[-.\\s]?\\d{1,4})?(?:[^\\p{L}\\p{N}_]|$)",
+    "phone": "\\+\\d{1,3}[-.\\s]?\\(?\\d{1,4}\\)?[-.\\s]?\\d{2,4}[-.\\s]?\\d{2,4}",
     "clinical_id": "(?:^|[^\\p{L}\\p{N}_])NCT\\d{8}(?:[^\\p{L}\\p{N}_]|$)", "eudract_id": "(?:^|[^\\p{L}\\p{N}_])\\d{4}-\\d{6}-\\d{2}(?:[^\\p{L}\\p{N}_]|$)",
 }
 
