@@ -15,7 +15,7 @@ different ones of the same format have different ones.
     IBAN          letters and digits after the check digits (made anew)
     SSN           88,902 valid area-group pairs x 9,999 serials
     date          189 x 773 days = the 400 years of the calendar's cycle; d/m/y is tried before m/d/y
-    credential    letters and digits, each within its class (a-f in hexadecimal ones)
+    credential    what a name such as password= introduces; letters and digits, each within its class (a-f in hexadecimal ones)
 
 Values may have any length. Edge cases: a null text stays null with 0 pseudonyms, an empty one stays empty; texts of any
 length are read once; equal rows stay and change alike; of values that could be of two kinds the first kind of the table
@@ -37,11 +37,14 @@ TURNS = 8
 BLOCK = 64
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"(?:password|passwd|pwd|secret|token|api_?key|access_?key)"
-#: Kind and what it looks like, in the order in which they are tried at a place.
+_NAME = r"(?i:password|passwd|pwd|secret|token|api_?key|access_?key)"
+#: Kind and what it looks like, in the order in which they are tried at a place. A credential is what its name introduces,
+#: quoted or up to white space; after a colon or a blank it has a digit or a sign inside, as prose may follow there too.
+#: The credential's is the first group of ``ANY``, so that a match tells whether it was introduced.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+",
-    "credential": rf"(?:(?<=\b{_NAME}=)|(?<=\b{_NAME} ?[=:] ?[\"']?))[A-Za-z0-9_/+.-]{{6,}}|\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b",
+    "credential": rf"((?<=\b{_NAME} ?[=:] ?[\"'])[^\s\"']{{4,}}(?=[\"'])|(?<=\b{_NAME}=)[^\s\"'<>]{{5,}}[A-Za-z0-9]|(?<=\b{_NAME} ?[=:] ?)(?=[^\s\"'<>]*(?:[0-9]|[^\w\s\"'<>][A-Za-z0-9]))[^\s\"'<>]{{5,}}[A-Za-z0-9])",
+    "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -51,6 +54,7 @@ KINDS = {
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Every kind has a digit, an @ or a credential's name; texts without them are not searched.
+NAMED = rf"{_NAME} ?[=:]"
 HINT = r"[0-9@]|(?i:passw|pwd|secret|token|api_?key|access_?key)"
 
 
@@ -85,14 +89,14 @@ def _date_of(v: Column) -> Column:
     ).otherwise(F.struct(iso(parts[2], parts[0], parts[1]).alias("day"), F.lit("mdy").alias("order")))
 
 
-def _kind(v: Column) -> Column:
-    """The kind of a value that was found, or null if its validation fails."""
+def _kind(v: Column, introduced: Column) -> Column:
+    """The kind of a value that was found, or null if its validation fails; what is introduced is a credential whatever its shape."""
     flat = F.regexp_replace(v, " ", "")
     area, group, serial = F.substring(v, 1, 3).try_cast("int"), F.substring(v, 5, 2), F.substring(v, 8, 4)
     day = _date_of(v)["day"]
     whole = lambda k: v.rlike(rf"^(?:{KINDS[k]})$")
     return (
-        F.when(v.rlike("^[^@]+@[^@]+$"), "email")
+        F.when(introduced, "credential").when(v.rlike("^[^@]+@[^@]+$"), "email")
         .when(whole("ip"), "ip")
         .when(v.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(area.between(1, 899) & (area != 666) & (group != "00") & (serial != "0000"), "ssn"))
         .when(whole("date"), F.when(F.year(day).between(1800, 2199), "date"))
@@ -100,7 +104,6 @@ def _kind(v: Column) -> Column:
         .when(v.rlike(r"^[0-9 -]+$") & whole("card"), F.when(_luhn_sum(_digits(v)) % 10 == 0, "card"))
         .when(v.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{9,}$") & (_mod97(F.concat(F.substring(flat, F.lit(5), F.length(flat)), F.substring(flat, 1, 4))) == 1), "iban")
         .when(v.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"), "key")
-        .when(v.rlike(r"^[A-Za-z0-9_/+.-]{6,}$") & ~v.rlike(r"^[0-9]{13,19}$"), "credential")
     )
 
 
@@ -216,9 +219,12 @@ def pseudonym(v: Column, kind: Column, key: str, back: bool = False) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", out: str = "text", count: str = "n_pseudonyms") -> DataFrame:
     """``out`` is the text with every validated value replaced, ``count`` how many were. ``key`` is to be kept secret."""
     column = F.col(text)
-    seen, done = spare(docs, "_found", "_made")
-    searched = docs.withColumn(seen, F.when(column.rlike(HINT), F.regexp_extract_all(column, F.lit(ANY), F.lit(0))))
-    made = searched.withColumn(done, F.transform(seen, lambda v: F.transform(F.array(_kind(v)), lambda k: F.struct(
+    seen, named, done = spare(docs, "_found", "_named", "_made")
+    find = lambda group: F.when(column.rlike(HINT), F.regexp_extract_all(column, F.lit(ANY), F.lit(group)))
+    # the second array is looked for only where a name can introduce something
+    introduced = F.when(column.rlike(NAMED), find(1))
+    searched = docs.withColumns({seen: find(0), named: introduced})
+    made = searched.withColumn(done, F.transform(seen, lambda v, i: F.transform(F.array(_kind(v, F.coalesce(F.get(named, i) != "", F.lit(False)))), lambda k: F.struct(
         F.when(k.isNull(), v).otherwise(pseudonym(v, k, key)).alias("value"), k.alias("kind")))[0]))
     between = F.split(column, ANY, -1)
     joined = F.array_join(F.flatten(F.transform(between, lambda t, i: F.array(t, F.coalesce(F.get(done, i)["value"], F.lit(""))))), "")
