@@ -30,10 +30,12 @@ def join_uneven(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame,
     to each share; at most a thousand keys are hot, so their list is small for any input. ``total``: the number of rows, if known.
     """
     total = (counts.agg(F.sum("n")).first()[0] or 0) if total is None else total
-    hot = F.broadcast(counts.where(F.col("n") > max(LEAST_HOT, total // 1000)).select(key, F.lit(True).alias("_hot")))
-    dealt = rows.join(hot, key, "left").withColumn("_share", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SHARES))).otherwise(F.lit(0)).cast("int")).drop("_hot")
-    sent = table.join(hot, key, "left").withColumn("_share", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return dealt.join(sent, [key, "_share"], how).drop("_share")
+    taken = {c.lower() for c in rows.columns + table.columns}
+    is_hot, share = ("_hot", "_share") if not taken & {"_hot", "_share"} else (f"_hot_{len(''.join(taken))}", f"_share_{len(''.join(taken))}")
+    hot = F.broadcast(counts.where(F.col("n") > max(LEAST_HOT, total // 1000)).select(key, F.lit(True).alias(is_hot)))
+    dealt = rows.join(hot, key, "left").withColumn(share, F.when(F.col(is_hot), F.pmod(F.monotonically_increasing_id(), F.lit(SHARES))).otherwise(F.lit(0)).cast("int")).drop(is_hot)
+    sent = table.join(hot, key, "left").withColumn(share, F.explode(F.when(F.col(is_hot), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0))))).drop(is_hot)
+    return dealt.join(sent, [key, share], how).drop(share)
 
 
 _KEPT: dict = {}

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, spare
 
 SHARE = 0.5
 TEMPER = 0.7
@@ -124,11 +124,15 @@ def mix(docs: DataFrame, share: float = SHARE, temper: float = TEMPER, seed: int
         lang: str = "lang", sources: dict[str, float] | None = None, langs: dict[str, float] | None = None, topics: dict[str, float] | None = None) -> DataFrame:
     """All rows with topic, n_tokens, weight (sampling weight, 1 / prob), prob and sampled."""
     made = ("topic", "n_tokens", "weight", "prob", "sampled")
-    cells = cells_of(docs.drop(*[c for c in made if c in docs.columns]), text, source, lang)
+    # the caller's columns step aside for those that the work adds
+    clash = [c for c in docs.columns if c.lower() in ("_s", "_l", "a") and c not in made]
+    aside = dict(zip(clash, spare(docs, *[f"_own_{c}" for c in clash])))
+    key, text, source, lang = (aside.get(c, c) for c in (key, text, source, lang))
+    cells = cells_of(docs.drop(*[c for c in made if c in docs.columns]).withColumnsRenamed(aside), text, source, lang)
     table, pairs, n = fit(cells, share, temper, sources, langs, topics)
     factor = F.element_at(F.create_map(*[x for (a, b), v in pairs.items() for x in (F.concat(F.lit(a), F.lit("\u0001"), F.lit(b)), F.lit(v))]), F.concat("_l", F.lit("\u0001"), "topic")) if pairs else F.lit(1.0)
     joined = cells.join(F.broadcast(table) if n <= MOST_BROADCAST else table, "_s", "left")
     prob = F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("a"), F.lit(0.0)) * F.coalesce(factor, F.lit(0.0))))
     place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     drawn = joined.withColumn("prob", prob).withColumn("weight", F.when(F.col("prob") > 0, 1 / F.col("prob"))).withColumn("sampled", place < F.col("prob"))
-    return drawn.select(*[c for c in docs.columns if c not in made], *made)
+    return drawn.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns if c not in made], *made)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts, with_arrow
+from .common import spare, texts, with_arrow
 
 SUPPORT = 0.005
 LEAST_ROWS = 20
@@ -183,10 +183,11 @@ def judge(urls: DataFrame, mined: list[Mined], rules: tuple[tuple[str, str, str]
     made = ("host", "path", "rule", "verdict", "mined_rule", "mined_confidence")
     others = [c for c in urls.columns if c not in made or c == url]
     host, path = parts(F.col(url))
-    placed = urls.select(*[F.col(f"`{c}`") for c in others], host.alias("_host"), path.alias("_path"))
+    of_host, of_path, of_rule, of_verdict, of_mined = spare(urls, "_host", "_path", "_rule", "_verdict", "_mined")
+    placed = urls.select(*[F.col(f"`{c}`") for c in others], host.alias(of_host), path.alias(of_path))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for h, p, v in sorted(rules, key=lambda r: len(r[0] + r[1])):
-        fits = ((F.col("_host") == h) | F.col("_host").endswith("." + h)) & F.col("_path").startswith(p)
+        fits = ((F.col(of_host) == h) | F.col(of_host).endswith("." + h)) & F.col(of_path).startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
 
     def start():
@@ -198,11 +199,11 @@ def judge(urls: DataFrame, mined: list[Mined], rules: tuple[tuple[str, str, str]
 
         return run
 
-    fields = [T.StructField("mined_rule", T.StringType()), T.StructField("mined_confidence", T.DoubleType()), T.StructField("_mined", T.StringType())]
-    judged = with_arrow(placed.withColumn("_rule", rule).withColumn("_verdict", verdict), [url], fields, start)
+    fields = [T.StructField("mined_rule", T.StringType()), T.StructField("mined_confidence", T.DoubleType()), T.StructField(of_mined, T.StringType())]
+    judged = with_arrow(placed.withColumns({of_rule: rule, of_verdict: verdict}), [url], fields, start)
     return judged.select(
-        *[F.col(f"`{c}`") for c in others], F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
-        F.coalesce("_verdict", "_mined", F.lit("allow")).alias("verdict"), "mined_rule", "mined_confidence")
+        *[F.col(f"`{c}`") for c in others], F.col(of_host).alias("host"), F.col(of_path).alias("path"), F.col(of_rule).alias("rule"),
+        F.coalesce(of_verdict, of_mined, F.lit("allow")).alias("verdict"), "mined_rule", "mined_confidence")
 
 
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:

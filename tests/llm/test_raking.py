@@ -45,3 +45,50 @@ def test_given_targets(spark):
 
 def test_no_rows(spark):
     assert raking.mix(table(spark).limit(0)).collect() == []
+
+
+def slow_rake(mass, shares, wanted_langs, sweeps=300):
+    """Plain raking of a table {(source, lang): mass} without the bound of one, by loops."""
+    weight = dict.fromkeys(mass, 1.0)
+    for _ in range(sweeps):
+        for i, want in ((0, shares), (1, wanted_langs)):
+            for k, t in want.items():
+                own = [c for c in mass if c[i] == k]
+                m = sum(mass[c] * weight[c] for c in own)
+                for c in own:
+                    weight[c] *= t / m if m else 1.0
+    return weight
+
+
+def test_probabilities_equal_a_loop_over_cells(spark):
+    from segmentry.llm import raking
+
+    words = {("s1", "en"): 900, ("s1", "de"): 300, ("s2", "en"): 400, ("s2", "de"): 800}
+    rows = [(i, "w " * 20, lang, source) for source, lang in words for i in range(words[source, lang] // 20)]
+    docs = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {(r["source"], r["lang"]): r["prob"] for r in raking.mix(docs, share=0.3, sources={"s1": 0.4, "s2": 0.6}, langs={"en": 0.5, "de": 0.5}).collect()}
+    total = 0.3 * sum(words.values())
+    want = slow_rake(words, {"s1": 0.4 * total, "s2": 0.6 * total}, {"en": total / 2, "de": total / 2})
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 0.02 * want[c] for c in got)
+
+
+def test_columns_that_clash_with_working_names(spark):
+    from pyspark.sql import functions as F
+
+    from segmentry.llm import raking
+
+    docs = spark.createDataFrame([(i, "some words here", "en", f"s{i % 2}") for i in range(20)], "doc_id long, text string, lang string, source string")
+    docs = docs.withColumns({"_s": F.lit("own"), "_l": F.lit(1), "a": F.lit("x")})
+    rows = raking.mix(docs).collect()
+    assert len(rows) == 20 and all((r["_s"], r["_l"], r["a"]) == ("own", 1, "x") for r in rows)
+
+
+def test_uneven_joins_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    from segmentry.llm.common import join_uneven
+
+    rows = spark.createDataFrame([(i % 3, i) for i in range(30)], "k int, _share int").withColumn("_hot", F.lit("own"))
+    table = spark.createDataFrame([(k, f"t{k}") for k in range(3)], "k int, t string")
+    got = join_uneven(rows, table, "k", rows.groupBy("k").agg(F.count("*").alias("n")), total=30).collect()
+    assert sorted((r["_share"], r["t"], r["_hot"]) for r in got) == [(i, f"t{i % 3}", "own") for i in range(30)]

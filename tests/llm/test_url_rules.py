@@ -54,8 +54,16 @@ def test_merged_tokens_each_stand_for_the_rule(spark):
         assert index.match(url).label == "block", url
 
 
-def test_many_rules_keep_the_support(spark, monkeypatch):
-    monkeypatch.setattr(U, "MOST_RULES", 3, raising=False)
+def test_many_rules_are_all_kept(spark):
     rows = [(f"http://s{k}.h{k}.org/p{k}", "block" if k % 2 else "allow") for k in range(12) for _ in range(20 + 20 * k)]
     index = U.Index(U.mine(spark.createDataFrame(rows, "url string, label string")))
     assert all(index.match(u).label == label for u, label in rows)
+
+
+def test_columns_that_clash_with_working_names(spark):
+    from pyspark.sql import functions as F
+
+    names = ("_host", "_path", "_rule", "_verdict", "_mined", "_HOST_")
+    df = spark.createDataFrame([("http://a.com/x",), (None,)], "url string").withColumns({n: F.lit("kept") for n in names})
+    rows = U.judge(df, []).collect()
+    assert all(r[n] == "kept" for r in rows for n in names) and {r["host"] for r in rows} == {"a.com", ""}
