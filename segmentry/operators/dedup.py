@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.matching import similarity
 from ..functions.text import strip, whole, words
-from .similarity import leaders, similar_pairs
+from .similarity import accepted_leaders, leaders, similar_pairs
 
 TOKEN = "███"
 INLINE = "(?i)</?(?:ph|bpt|ept|it|x|bx|ex|g|hi|ut|mrk)(?:\\s+[^<>]*?)?\\s*/?>"
@@ -62,10 +64,24 @@ def same_source_groups(rows: DataFrame) -> DataFrame:
     return joined.select("key", "source", "target", F.when(F.col("least") == F.col("most"), "identical").otherwise("conflict").alias("section"), "n", (F.col("key") == F.col("first")).alias("kept"))
 
 
-def source_variants(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Clusters of similar sources among sources that occur once: (key, leader), leaders in key order."""
-    single = rows.groupBy("source").agg(F.count("*").alias("n"), F.min("key").alias("id")).where("n = 1").select("id", F.col("source").alias("text"))
-    return leaders(similar_pairs(single, threshold)).select(F.col("member").alias("key"), "leader")
+def source_variants(rows: DataFrame, threshold: float = 0.85, most_alike: float = 1.0) -> DataFrame:
+    """Clusters of similar sources among sources that occur once: (key, leader), leaders in key order.
+
+    ``most_alike`` below 1 keeps only clusters in which a member's target is alike its leader's to that degree at most
+    (popular characters of long targets begin no match); the sources of others stay free for later leaders.
+    """
+    single = rows.groupBy("source").agg(F.count("*").alias("n"), F.min("key").alias("id"), F.min("target").alias("target")).where("n = 1").select("id", F.col("source").alias("text"), "target")
+    pairs = similar_pairs(single.select("id", "text"), threshold)
+    if most_alike >= 1:
+        return leaders(pairs).select(F.col("member").alias("key"), "leader")
+
+    @F.pandas_udf("boolean")
+    def differs(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x or "", y or "") <= most_alike for x, y in zip(a, b)])
+
+    target = lambda k: single.select(F.col("id").alias(k), F.col("target").alias(f"target_{k}"))
+    judged = pairs.select("a", "b").join(target("a"), "a").join(target("b"), "b").select("a", "b", differs("target_a", "target_b").alias("differs"))
+    return accepted_leaders(judged).select(F.col("member").alias("key"), "leader")
 
 
 def funnel(previews: DataFrame, discarded: DataFrame | None = None, min_words_junk: int = 2, min_words: int = 5, most_redacted: float = 50.0, token: str = TOKEN) -> DataFrame:

@@ -13,8 +13,8 @@ reach the threshold leave a task. This work grows with the square of a length cl
 
 from __future__ import annotations
 
-import difflib
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.matching import similarity
 from ..plans.durable import durable
 
 GRAM = 3
@@ -37,8 +38,9 @@ def ratio(a: Column, b: Column, threshold: float = 0.0) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
-            m = difflib.SequenceMatcher(None, x, y, autojunk=False)
-            out.append(m.ratio() if m.quick_ratio() >= threshold else None)
+            # what two multisets of characters share bounds what can be matched in order
+            most = 2 * (Counter(x) & Counter(y)).total() / (len(x) + len(y)) if x or y else 1.0
+            out.append(similarity(x, y, popular=False) if most >= threshold else None)
         return pd.Series(out, dtype="float64")
 
     return run(a, b)
@@ -108,7 +110,7 @@ def alike(left: list[tuple], right: list[tuple] | None, threshold: float) -> lis
             continue
         for k in np.flatnonzero(fits & (2 * block.common(text) >= threshold * (block.sizes + len(text)) - 1e-9)).tolist():
             (a, x), (b, y) = sorted([(one, text), block.rows[k][:2]])
-            found = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+            found = similarity(x, y, popular=False)
             if found >= threshold:
                 out.append((a, b, found))
     return out
@@ -207,3 +209,25 @@ def leaders(pairs: DataFrame) -> DataFrame:
     lead = state.where("leads").select(F.col("n").alias("a"))
     follow = pairs.join(lead, "a").groupBy("b").agg(F.min("a").alias("leader")).join(state.where("not leads").select(F.col("n").alias("b")), "b")
     return follow.select(F.col("b").alias("member"), "leader").union(follow.select(F.col("leader").alias("member"), "leader").distinct())
+
+
+def accepted_leaders(pairs: DataFrame) -> DataFrame:
+    """Greedy leader clusters of (a, b, differs), a < b, in id order, of which only those count whose leader differs from a member.
+
+    Node by node: one that a leader took follows it; any other becomes a leader if among its higher neighbours that nobody
+    took is one that differs, and then takes all of these; else they stay free for later leaders. In rounds: a node is
+    settled once its lower neighbours are, and once it is the lowest open neighbour of each of its higher ones, so that
+    what they were taken by before it is known. The lowest open node can always be settled. Result: (member, leader).
+    """
+    pairs = durable(pairs.select("a", "b", "differs").groupBy("a", "b").agg(F.max("differs").alias("differs")))
+    nodes = pairs.select(F.col("a").alias("n")).union(pairs.select(F.col("b").alias("n"))).distinct()
+    state = durable(nodes.select("n", F.lit(None).cast("string").alias("is")))
+    while not state.where("is is null").isEmpty():
+        # of each node: whether a leader took it, and its lowest open neighbour below it
+        below = pairs.join(state.select(F.col("n").alias("a"), "is"), "a").groupBy("b").agg(F.max(F.coalesce(F.col("is") == "leads", F.lit(False))).alias("taken"), F.min(F.when(F.col("is").isNull(), F.col("a"))).alias("waits"))
+        above = pairs.join(below, "b").groupBy(F.col("a").alias("n")).agg(F.max(F.col("waits") < F.col("a")).alias("early"), F.max(~F.col("taken") & F.col("differs")).alias("leads"))
+        seen = state.join(below.select(F.col("b").alias("n"), "taken", "waits"), "n", "left").join(above, "n", "left")
+        now = F.when(F.col("is").isNotNull(), F.col("is")).when(F.col("taken"), "taken").when(F.col("waits").isNotNull() | F.coalesce("early", F.lit(False)), F.lit(None)).when(F.coalesce("leads", F.lit(False)), "leads").otherwise("free")
+        state = durable(seen.select("n", now.alias("is")))
+    follow = pairs.join(state.where("is = 'leads'").select(F.col("n").alias("a")), "a").groupBy("b").agg(F.min("a").alias("leader")).join(state.where("is = 'taken'").select(F.col("n").alias("b")), "b")
+    return follow.select(F.col("b").alias("member"), "leader").union(follow.select(F.col("leader").alias("member"), "leader").distinct())

@@ -175,6 +175,10 @@ def dd_variants(spark, sf):
     return dedup.source_variants(_kept_rows(spark, sf))
 
 
+def dd_differing_variants(spark, sf):
+    return dedup.source_variants(_kept_rows(spark, sf), most_alike=0.9)
+
+
 def _funnel(spark, sf) -> DataFrame:
     rows = tables.previews(spark, sf)
     gone = dedup.same_source_groups(_kept_rows(spark, sf)).where("not kept").select("key")
@@ -233,7 +237,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "qa_monolingual": qa_monolingual, "qa_units": qa_units,
     "xs_consistency_target": xs_consistency("target"), "xs_consistency_source": xs_consistency("source"), "xs_hyphenation": xs_hyphenation, "xs_date_majority": xs_majority("date"), "xs_number_majority": xs_majority("number"),
     "xs_fuzzy_pairs": xs_fuzzy_pairs,
-    "dd_same_source": dd_same_source, "dd_variants": dd_variants, "fn_funnel": fn_funnel, "fn_metrics": fn_metrics,
+    "dd_same_source": dd_same_source, "dd_variants": dd_variants, "dd_differing_variants": dd_differing_variants, "fn_funnel": fn_funnel, "fn_metrics": fn_metrics,
     "rd_email": _redacted(["email"]), "rd_url_ip": _redacted(["url"]), "rd_default_layers": rd_default_layers, "rd_dictionary": rd_dictionary, "rd_clinical_and_names": rd_clinical_and_names, "rd_propagate": rd_propagate, "rd_audit": rd_audit,
     "rp_by_category": rp_by_category, "rp_by_group": rp_by_group, "rp_page": rp_page, "rp_context_window": rp_context_window, "rp_signature_groups": rp_signature_groups, "rp_flatten_sorted": rp_flatten_sorted, "rp_search": rp_search,
     **file_queries.QUERIES,

@@ -51,17 +51,21 @@ def glossary(data: bytes) -> list[tuple[str, str, str | None]]:
 
 
 def confusable_groups(text: str) -> list[list[str]]:
-    """Lines of members between | or /; at least two members of at most 500 characters, 10,000 groups, no set twice."""
+    """Lines of members between | or /; at least two members, no set twice. A member of more than 500 characters and more than 10,000 groups are errors."""
     if len(text) > 2_000_000:
         raise ValueError("too long")
     out, seen = [], set()
     for line in text.splitlines():
-        members = list(dict.fromkeys(m.strip() for m in line.replace("/", "|").split("|") if m.strip() and len(m.strip()) <= 500))
+        members = list({m.casefold(): m for m in reversed([m.strip() for m in line.replace("/", "|").split("|") if m.strip()])}.values())[::-1]
+        if any(len(m) > 500 for m in members):
+            raise ValueError("a member of more than 500 characters")
         key = frozenset(m.casefold() for m in members)
         if len(members) >= 2 and key not in seen:
             seen.add(key)
             out.append(members)
-    return out[:10_000]
+    if len(out) > 10_000:
+        raise ValueError("more than 10,000 groups")
+    return out
 
 
 def patterns(text: str, case_sensitive: bool = False) -> tuple[list[tuple[None, str]], list[str]]:

@@ -55,6 +55,10 @@ def test_inputs():
     assert inputs.patterns("# x\n(\na+")[1] and inputs.pattern_table("Tipo;Origen;Destino;D\nprohibido;;x;\nobligatorio;a;b;".encode()) == ([(None, "x")], [("a", "b")])
     with pytest.raises(ValueError):
         inputs.term_list(b"a\0b")
+    assert inputs.confusable_groups("a|A|b\nB/a") == [["a", "b"]]
+    for bad in ("a|" + "b" * 501, "\n".join(f"a{i}|b{i}" for i in range(10_001))):
+        with pytest.raises(ValueError):
+            inputs.confusable_groups(bad)
 
 
 def test_sinks_and_stream(spark, tmp_path):
