@@ -17,6 +17,40 @@ def derived(segments: DataFrame) -> DataFrame:
     return segments.select("file", "id", collapse(s).alias("sn"), collapse(d).alias("tn"), F.length(strip(s)).alias("sl"), F.length(strip(d)).alias("tl"))
 
 
+#: What consistency findings carry besides the finding itself.
+CONSISTENCY = ("file", "id", "kind", "mismatch_axis", "reference_id", "reference_file", "reference_source", "reference_target", "sibling_ids", "group_size", "note")
+
+
+def consistency_findings(segments: DataFrame, threshold: float = 1.0, min_chars: int = 8) -> DataFrame:
+    """Every segment that disagrees with an earlier one, with its reference: columns ``CONSISTENCY``.
+
+    Exact kinds (equal source or equal target, the other side differs) refer to the least id of their group; below a
+    threshold of 1 fuzzy kinds follow, between the representatives of classes of equal pairs. A pair of segments is found
+    by one kind only: exact kinds share a side, fuzzy ones share none. The reference's texts are stripped, and travel with
+    the group's least id, so no text is looked up again.
+    """
+    base = segments.select("file", "id", strip(whole(F.col("source_text"))).alias("s"), strip(whole(F.col("target_text"))).alias("t"))
+    rows = derived(segments).join(base.drop("file"), "id")
+    parts = []
+    for axis, same, other, size in (("target", "sn", "tn", "sl"), ("source", "tn", "sn", "tl")):
+        groups = rows.where(f"sn <> '' and tn <> '' and {size} >= {min_chars}").groupBy(same).agg(F.min(F.struct("id", other, "file", "s", "t")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        later = rows.join(groups, same).where((F.col("id") > F.col("first.id")) & (F.col(other) != F.col(f"first.{other}")))
+        parts.append(later.select("file", "id", F.lit(f"exact-{axis}").alias("kind"), F.lit(axis).alias("mismatch_axis"), F.col("first.id").alias("reference_id"), F.col("first.file").alias("reference_file"),
+                                  F.col("first.s").alias("reference_source"), F.col("first.t").alias("reference_target"), F.col("n").alias("group_size")))
+    if threshold < 1:
+        from .similarity import fuzzy_consistency
+
+        pairs = fuzzy_consistency(segments, max(0.5, threshold), min_chars)
+        first = base.select(F.col("id").alias("a"), F.col("file").alias("reference_file"), F.col("s").alias("reference_source"), F.col("t").alias("reference_target"))
+        found = pairs.join(first, "a").join(base.select(F.col("id").alias("b"), "file"), "b")
+        parts.append(found.select("file", F.col("b").alias("id"), "kind", F.substring_index("kind", "-", -1).alias("mismatch_axis"), F.col("a").alias("reference_id"), "reference_file", "reference_source", "reference_target", F.lit(2).cast("long").alias("group_size")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    note = F.concat(F.lit("Consistency ("), "kind", F.lit("): compare with segment "), F.col("reference_id").cast("string"), F.lit("; group size "), F.col("group_size").cast("string"), F.lit("."))
+    return out.withColumns({"sibling_ids": F.array("reference_id", "id"), "note": note}).select(*CONSISTENCY)
+
+
 def exact_consistency(segments: DataFrame, axis: str = "target", min_chars: int = 8) -> DataFrame:
     """Rows whose source (axis "target") occurred before with another target; the reference is the least id of the group.
 

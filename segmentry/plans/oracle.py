@@ -159,6 +159,12 @@ ORACLE_SQL: dict[str, str] = {
       select id, '' as span_source, array_to_string(bad[1:20], '|') as span_target from f where len(bad) > 0""",
     "xs_consistency_target": consistency("sn", "tn", "sl"),
     "xs_consistency_source": consistency("tn", "sn", "tl"),
+    "xs_findings": " union all ".join(f"""select x.id, 'exact-{axis}' as kind, g.first as reference_id, g.file as reference_file, md5(g.s || '|' || g.t) as reference_md5, g.first::varchar || '|' || x.id::varchar as siblings,
+      'Consistency (exact-{axis}): compare with segment ' || g.first::varchar || '; group size ' || g.n::varchar || '.' as note
+      from (with {PAIR} select id, {collapse('s')} as sn, {collapse('d')} as tn from pair) x join (
+        with {PAIR}, d as (select doc_id, id, {collapse('s')} as sn, {collapse('d')} as tn, {strip('s')} as s, {strip('d')} as t from pair)
+        select {same} as k, min(id) as first, arg_min({other}, id) as first_other, arg_min(doc_id, id)::varchar as file, arg_min(s, id) as s, arg_min(t, id) as t, count(*) as n from d where sn <> '' and tn <> '' and length({side}) >= 8 group by 1 having count(*) > 1) g
+      on x.{same} = g.k where x.id > g.first and x.{other} <> g.first_other""" for axis, same, other, side in (("target", "sn", "tn", "s"), ("source", "tn", "sn", "t"))),
     "xs_date_majority": """with o as (select o_orderkey as id, case when o_orderkey % 9 = 0 then strftime(o_orderdate, '%d.%m.%Y') else strftime(o_orderdate, '%d/%m/%Y') end as raw, case when o_orderkey % 9 = 0 then '.' else '/' end as sign from orders),
       c as (select sign, count(*) as n from o group by 1 order by n desc limit 1) select id, c.sign as majority, raw as span_target from o, c where o.sign <> c.sign""",
     "xs_number_majority": """with o as (select o_orderkey as id, case when o_orderkey % 11 = 0 then replace(printf('%.2f', o_totalprice), '.', ',') else printf('%.2f', o_totalprice) end as raw, case when o_orderkey % 11 = 0 then ',' else '.' end as sign from orders),

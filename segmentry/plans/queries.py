@@ -136,6 +136,12 @@ def xs_consistency(axis: str):
     return run
 
 
+def xs_findings(spark, sf):
+    """Exact consistency on both axes with the references' texts."""
+    found = cross.consistency_findings(segments(tables.consecutive(spark, sf)))
+    return found.select("id", "kind", "reference_id", "reference_file", F.md5(F.concat("reference_source", F.lit("|"), "reference_target")).alias("reference_md5"), F.array_join(F.transform("sibling_ids", lambda i: i.cast("string")), "|").alias("siblings"), "note")
+
+
 def xs_hyphenation(spark, sf):
     """Lines, some of which write a word with a hyphen that the others write without."""
     return cross.hyphenation(segments(_hyphened(tables.lines(spark, sf))))
@@ -235,7 +241,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "qa_turns_length_ratio": _rule("length_ratio", tables.turns),
     "qa_forbidden_terms": qa_forbidden_terms, "qa_glossary": qa_glossary, "qa_confusables": qa_confusables, "qa_spelling_lexicon": qa_spelling_lexicon, "qa_affix_spelling": qa_affix_spelling, "qa_custom_regex": qa_custom_regex,
     "qa_monolingual": qa_monolingual, "qa_units": qa_units,
-    "xs_consistency_target": xs_consistency("target"), "xs_consistency_source": xs_consistency("source"), "xs_hyphenation": xs_hyphenation, "xs_date_majority": xs_majority("date"), "xs_number_majority": xs_majority("number"),
+    "xs_consistency_target": xs_consistency("target"), "xs_consistency_source": xs_consistency("source"), "xs_findings": xs_findings, "xs_hyphenation": xs_hyphenation, "xs_date_majority": xs_majority("date"), "xs_number_majority": xs_majority("number"),
     "xs_fuzzy_pairs": xs_fuzzy_pairs,
     "dd_same_source": dd_same_source, "dd_variants": dd_variants, "dd_differing_variants": dd_differing_variants, "fn_funnel": fn_funnel, "fn_metrics": fn_metrics,
     "rd_email": _redacted(["email"]), "rd_url_ip": _redacted(["url"]), "rd_default_layers": rd_default_layers, "rd_dictionary": rd_dictionary, "rd_clinical_and_names": rd_clinical_and_names, "rd_propagate": rd_propagate, "rd_audit": rd_audit,

@@ -43,3 +43,17 @@ def test_target_filter_equals_all_pairs(spark):
     want = {ids[k]: ids[v] for k, v in greedy(len(ids), edges).items()}
     df = spark.createDataFrame(rows, "key long, source string, target string")
     assert {r.key: r.leader for r in dedup.source_variants(df, most_alike=0.9).collect()} == want
+
+
+def test_consistency_findings_carry_their_reference(spark):
+    from segmentry.operators import cross
+    from segmentry.schema import segments
+
+    rows = [("f", 1, " same source text ", "one target here"), ("f", 2, "same source text", "another target here"), ("g", 3, "other source text", "one target here"), ("g", 4, "wholly different", "nothing alike"), ("g", 5, "the very long source sentence", "the very long target sentence"), ("g", 6, "the very long source sentences", "the very long target sentencez")]
+    df = segments(spark.createDataFrame(rows, "file string, id long, source_text string, target_text string"))
+    got = {(r.id, r.kind): r for r in cross.consistency_findings(df, 0.9).collect()}
+    assert set(got) == {(2, "exact-target"), (3, "exact-source"), (6, "fuzzy-both")}
+    r = got[2, "exact-target"]
+    assert (r.reference_id, r.reference_file, r.reference_source, r.reference_target, r.sibling_ids, r.group_size, r.mismatch_axis) == (1, "f", "same source text", "one target here", [1, 2], 2, "target")
+    assert got[6, "fuzzy-both"].note == "Consistency (fuzzy-both): compare with segment 5; group size 2." and got[6, "fuzzy-both"].mismatch_axis == "both"
+    assert cross.consistency_findings(df.where("false")).count() == 0
