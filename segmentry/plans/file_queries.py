@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.matching import marked_words
 from ..operators import pairing
 from ..operators.dedup import TOKEN
-from ..sources import spliced, tables
+from ..sources import spliced, tables, xlsx
 from ..sources.bilingual import rows_of
 
 
@@ -74,8 +74,26 @@ def rp_word_diff(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("m", mark("target_before", "target_after")).select(F.col("key").alias("id"), F.col("m.before").alias("marked_before"), F.col("m.after").alias("marked_after"))
 
 
+def fl_workbook(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings written as workbooks and read again; texts as digests, as some lines are longer than a cell may be."""
+    from ..operators import reports
+    from ..schema import segments
+    from .queries import issues
+
+    flat = reports.flattened(issues(spark, sf), segments(tables.mutated(spark, sf)))
+    books = xlsx.workbooks(flat.select(F.col("id").alias("segment"), "category_id", "severity", F.md5("source_text").alias("source_md5"), F.md5("target_text").alias("target_md5")))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                head, *rows = xlsx.read_rows(bytes(content))
+                yield pd.DataFrame(rows, columns=head).astype({"segment": "int64"})
+
+    return books.mapInPandas(parse, "segment long, category_id string, severity string, source_md5 string, target_md5 string").select(F.col("segment").alias("id"), "category_id", "source_md5", "target_md5")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "fl_corrected": fl_corrected, "fl_rewritten": fl_rewritten, "fl_restored": fl_restored, "rp_word_diff": rp_word_diff,
+    "fl_corrected": fl_corrected, "fl_rewritten": fl_rewritten, "fl_restored": fl_restored, "rp_word_diff": rp_word_diff, "fl_workbook": fl_workbook,
 }
 
 _UNITS = r"""units as (

@@ -187,5 +187,6 @@ ORACLE_SQL: dict[str, str] = {
     "rp_signature_groups": f"with {ISSUES} select category_id, span_source as missing, span_target as extra, count(*) as n from issues where category_id in ('tag_count', 'tag_order', 'placeholders') group by 1, 2, 3",
     "rp_flatten_sorted": f"with {ISSUES} select i.id, i.category_id, m.s as source_text, m.d as target_text, false as is_edited from issues i join mut m on i.id = m.id",
     "rp_search": f"with {MUT} select id from mut where (contains(lower(s), 'same same') or contains(lower(d), 'same same')) and id between 1 and 999999999",
+    "fl_workbook": f"with {ISSUES} select i.id, i.category_id, md5(m.s) as source_md5, md5(m.d) as target_md5 from issues i join mut m on i.id = m.id",
     **file_queries.ORACLE_SQL,
 }

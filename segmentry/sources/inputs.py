@@ -5,9 +5,12 @@ from __future__ import annotations
 import csv
 import io
 import unicodedata
+from collections.abc import Iterable
 
 import regex
 
+from .xlsx import read_rows
+
 
 def decoded(data: bytes) -> str:
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
@@ -34,11 +37,17 @@ def forbidden_terms(text: str) -> list[str]:
 
 
 def glossary(data: bytes) -> list[tuple[str, str, str | None]]:
-    """Rows of source, target and note, separated by tab, comma, semicolon or two blanks; a heading line is left out."""
+    """Rows of source, target and note, separated by tab, comma, semicolon or two blanks, or of a workbook's first sheet; a heading line is left out."""
+    if data[:4] == b"PK\x03\x04":
+        return _glossary_rows(read_rows(data))
     text = decoded(data)
-    rows, seen = [], set()
     sign = max("\t;,", key=text.count)
     lines = ([p for p in line.replace("  ", "\t").split("\t") if p.strip()] for line in text.splitlines()) if not text.count(sign) else csv.reader(io.StringIO(text), delimiter=sign)
+    return _glossary_rows(lines)
+
+
+def _glossary_rows(lines: Iterable[list[str]]) -> list[tuple[str, str, str | None]]:
+    rows, seen = [], set()
     for cells in lines:
         cells = [c.strip() for c in cells]
         if len(cells) < 2 or not cells[0] or not cells[1] or (not rows and cells[0].lower() in ("source", "origen", "term")):
@@ -50,13 +59,13 @@ def glossary(data: bytes) -> list[tuple[str, str, str | None]]:
     return rows
 
 
-def confusable_groups(text: str) -> list[list[str]]:
-    """Lines of members between | or /; at least two members, no set twice. A member of more than 500 characters and more than 10,000 groups are errors."""
-    if len(text) > 2_000_000:
+def confusable_groups(text: str | bytes) -> list[list[str]]:
+    """Lines of members between | or /; at least two members, no set twice; or a workbook's rows. A member of more than 500 characters and more than 10,000 groups are errors."""
+    if isinstance(text, str) and len(text) > 2_000_000:
         raise ValueError("too long")
     out, seen = [], set()
-    for line in text.splitlines():
-        members = list({m.casefold(): m for m in reversed([m.strip() for m in line.replace("/", "|").split("|") if m.strip()])}.values())[::-1]
+    for line in [line.replace("/", "|").split("|") for line in text.splitlines()] if isinstance(text, str) else read_rows(text):
+        members = list({m.casefold(): m for m in reversed([m.strip() for m in line if m.strip()])}.values())[::-1]
         if any(len(m) > 500 for m in members):
             raise ValueError("a member of more than 500 characters")
         key = frozenset(m.casefold() for m in members)
