@@ -12,7 +12,7 @@ from ..functions.matching import marked_words
 from ..operators import pairing
 from ..operators.dedup import TOKEN
 from ..sources import spliced, tables, xlsx
-from ..sources.bilingual import rows_of
+from ..sources.bilingual import checked, inspected, rows_of
 
 
 #: E-mail addresses without regard to what is beside them, as the SQL beside says them too.
@@ -31,6 +31,11 @@ def read_contents(files: DataFrame) -> DataFrame:
     return files.select("file", "content").mapInPandas(parse, "file string, local_id long, source_text string, target_text string, target_display string")
 
 
+def fl_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of a run before it: format, languages, units, and where their ids begin."""
+    return checked(inspected(tables.bilingual_files(spark, sf)))
+
+
 def _edits(units: DataFrame) -> DataFrame:
     """Every third unit's target: its line in capitals, with signs that need escaping."""
     capitals = F.translate("line", tables.LOWER, tables.UPPER)
@@ -93,7 +98,7 @@ def fl_workbook(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "fl_corrected": fl_corrected, "fl_rewritten": fl_rewritten, "fl_restored": fl_restored, "rp_word_diff": rp_word_diff, "fl_workbook": fl_workbook,
+    "fl_files": fl_files, "fl_corrected": fl_corrected, "fl_rewritten": fl_rewritten, "fl_restored": fl_restored, "rp_word_diff": rp_word_diff, "fl_workbook": fl_workbook,
 }
 
 _UNITS = r"""units as (
@@ -102,6 +107,9 @@ _UNITS = r"""units as (
 _AFTER = f"regexp_replace(regexp_replace(line, '{ADDRESS}', '{TOKEN}', 'g'), '[0-9]{{2,}}', '{TOKEN}', 'g')"
 
 ORACLE_SQL: dict[str, str] = {
+    "fl_files": f"""with {_UNITS}, counted as (select file, count(*) as units from units group by file)
+select file, case when file like '%.tmx' then 'tmx' else 'xliff' end as format, 'en' as source_lang, 'es' as target_lang, units,
+  cast(coalesce(sum(units) over (order by file rows between unbounded preceding and 1 preceding), 0) as bigint) as offset from counted""",
     "fl_corrected": f"""with {_UNITS}
 select file, local_id, line as source_text, case when local_id % 3 = 0 then '<' || translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' & "é">'
     when local_id > 1 and local_id % 4 in (0, 3) then '' else line end as target_text

@@ -309,6 +309,45 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(offsets(rows), "file").withColumn("id", F.col("local_id") + F.col("_offset")).select(*SEGMENT.names)
 
 
+FILES = "file string, format string, source_lang string, target_lang string, units long, error string"
+
+
+def inspected(contents: DataFrame) -> DataFrame:
+    """Files (file, content) looked through before a run: format, languages, number of units, or why a file is not read."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["file"], batch["content"]):
+                data = bytes(content)
+                kind, pair, n, error = format_of(name, data), (None, None), 0, None
+                try:
+                    for row in rows_of(name, data):
+                        n += 1
+                        pair = tuple(new or old for new, old in zip(row["pair"], pair))
+                except (Rejected, expat.ExpatError, zipfile.BadZipFile, UnicodeDecodeError) as e:
+                    error, n, pair = str(e), 0, (None, None)
+                yield pd.DataFrame([(name, kind, *pair, n, error)], columns=["file", "format", "source_lang", "target_lang", "units", "error"])
+
+    return contents.select("file", "content").mapInPandas(look, FILES)
+
+
+def checked(files: DataFrame) -> DataFrame:
+    """The files of one run (``inspected``) with the offset of their ids: all readable, of one pair of languages, Word files by themselves.
+
+    Otherwise an error that names a file; only the distinct pairs, two at most, come to the driver.
+    """
+    files = durable(files)
+    broken = files.where("error is not null").orderBy("file").first()
+    if broken:
+        raise Rejected(f"{broken['file']}: {broken['error']}")
+    word = F.col("format") == "docx"
+    kinds = files.groupBy(word.alias("word"), F.when(~word, F.lower("source_lang")).alias("s"), F.when(~word, F.lower("target_lang")).alias("t")).agg(F.min("file").alias("file")).orderBy("file").limit(2).collect()
+    if len(kinds) == 2:
+        raise Rejected(f"{kinds[0]['file']} and {kinds[1]['file']} are of different languages or kinds")
+    rows = files.select("file", F.explode(F.sequence(F.lit(1).cast("long"), F.col("units"))).alias("unit"))
+    return files.join(offsets(rows).withColumnRenamed("_offset", "offset"), "file").drop("error")
+
+
 def write_tmx(segments: list[tuple[str, str, str | None]], source: str, target: str) -> bytes:
     """A TMX file of (source, target, document id) rows."""
     from xml.sax.saxutils import escape, quoteattr

@@ -163,3 +163,17 @@ def test_queries(spark):
     made = file_queries.fl_rewritten(spark, sf)
     assert made.where("not has_codes").count() == 0 and made.where("target_text like '%███%'").count() > 0
     assert file_queries.rp_word_diff(spark, sf).where("marked_before like '%<mark>%'").count() > 0
+
+
+def test_files_of_a_run(spark):
+    shape = "file string, content binary"
+    word = word_file()
+    good = spark.createDataFrame([("b.tmx", TMX.replace("C", "C").encode()), ("a.xliff", XLIFF.encode())], shape)
+    got = [(r.file, r.format, r.source_lang, r.target_lang, r.units, r.offset) for r in bilingual.checked(bilingual.inspected(good)).orderBy("file").collect()]
+    assert got == [("a.xliff", "xliff", "en", "es", 2, 0), ("b.tmx", "tmx", "en", "es", 4, 2)]
+    looked = {r.file: (r.units, r.error) for r in bilingual.inspected(spark.createDataFrame([("x.tmx", b"<tmx>"), ("y.doc", b""), ("z.docx", b"PK\3\4"), ("w.docx", word)], shape)).collect()}
+    assert looked["w.docx"] == (4, None) and all(looked[f][0] == 0 and looked[f][1] for f in ("x.tmx", "y.doc", "z.docx"))
+    for other, why in ((("c.xliff", XLIFF.replace('"es"', '"fr"').encode()), "different languages"), (("c.docx", word), "different languages"), (("c.tmx", b"<tmx/>"), "c.tmx")):
+        with pytest.raises(bilingual.Rejected, match=why):
+            bilingual.checked(bilingual.inspected(good.union(spark.createDataFrame([other], shape))))
+    assert bilingual.checked(bilingual.inspected(good.where("false"))).count() == 0
