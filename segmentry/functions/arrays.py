@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value found once for a row, however often the body, or a lambda in it, refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def settled(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are found once for a row: no filter above is pushed below them with their expressions in it."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_settled")
+    return rows.select(*[f"`{c}`" for c in rows.columns if c not in columns], one).select("*", "_settled.*").drop("_settled")
+
+
 def same_multiset(a: Column, b: Column) -> Column:
     return F.sort_array(a) == F.sort_array(b)
 

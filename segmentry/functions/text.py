@@ -11,8 +11,13 @@ LETTER = "\\p{L}"
 WORD = "[\\p{L}\\p{N}_]"
 
 
+#: The signs of ``SPACE`` one by one.
+BLANKS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Looks at the edges only, whatever the length."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def collapse(c: Column) -> Column:
@@ -23,6 +28,12 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, f"{SPACE}+"), lambda w: w != "")
 
 
+def has_words(c: Column, n: int) -> Column:
+    """Whether there are n words at least; reads no further than to the n-th."""
+    other = "[^" + SPACE[1:]
+    return c.rlike(f"^{SPACE}*+(?:{other}++{SPACE}++){{{n - 1}}}{other}") if n > 0 else c.isNotNull()
+
+
 def find_all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
