@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import more_of, only_in, same_multiset
+from ..functions.arrays import let, more_of, only_in, same_multiset
 from ..functions.text import SPACE, WORD, find_all, strip, whole
 from ..schema import DEFAULT_CHECKS, category_column
 
@@ -88,6 +88,11 @@ def D() -> Column:
     return whole(F.col("target_text"))
 
 
+def found_if(condition: Column, found: Column) -> Column:
+    """What a dear pattern finds, looked for only where a cheap condition that all its matches need holds."""
+    return F.when(condition, found).otherwise(F.array().cast("array<string>"))
+
+
 def empty_target(cfg: Config) -> Column:
     return one_if((strip(S()) != "") & (strip(D()) == ""))
 
@@ -97,13 +102,12 @@ def untranslated_segment(cfg: Config) -> Column:
 
 
 def control_characters(cfg: Config) -> Column:
-    found = F.array_sort(F.array_distinct(find_all(D(), INVISIBLE)))
-    return one_if(F.size(found) > 0, None, found)
+    return let(F.array_sort(F.array_distinct(find_all(D(), INVISIBLE))), lambda found: one_if(F.size(found) > 0, None, found))
 
 
 def mixed_scripts(cfg: Config) -> Column:
     mixed = lambda w: w.rlike(CYRILLIC) & (w.rlike(LATIN) | w.rlike(GREEK))
-    return each(F.filter(F.array_distinct(find_all(D(), "\\p{L}+")), mixed))
+    return each(found_if(D().rlike(CYRILLIC), F.filter(F.array_distinct(find_all(D(), "\\p{L}+")), mixed)))
 
 
 def length_ratio(cfg: Config) -> Column:
@@ -112,11 +116,11 @@ def length_ratio(cfg: Config) -> Column:
 
 
 def repeated_words(cfg: Config) -> Column:
+    # a long line may hold thousands: the first of each word is told by a map, not by looking back from each
     hits = find_all(D(), f"(?iu)(?<!{WORD})(\\p{{L}}{{2,}}){SPACE}+\\1(?!{WORD})")
     first = lambda h: F.lower(F.split(h, f"{SPACE}+")[0])
-    kept = F.filter(F.transform(hits, lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda t: F.size(F.filter(F.slice(hits, 1, t["i"]), lambda o: first(o) == first(t["h"]))) == 0)
-    found = F.transform(kept, lambda t: t["h"])
-    return one_if(F.size(found) > 0, None, found)
+    kept = lambda h: let(F.transform(h, first), lambda w: F.transform(F.array_distinct(w), lambda x: F.get(h, F.array_position(w, x).cast("int") - 1)))
+    return let(hits, lambda h: let(kept(h), lambda found: one_if(F.size(found) > 0, None, found)))
 
 
 def _unbalanced(text: Column) -> Column:
@@ -139,8 +143,8 @@ def _unbalanced(text: Column) -> Column:
 
 
 def bracket_balance(cfg: Config) -> Column:
-    s, d = _unbalanced(S()), _unbalanced(D())
-    return F.concat(one_if(F.size(s) > 0, s, None), one_if(F.size(d) > 0, None, d))
+    side = lambda text, on_target: let(_unbalanced(text), lambda x: one_if(F.size(x) > 0, None if on_target else x, x if on_target else None))
+    return F.concat(side(S(), False), side(D(), True))
 
 
 def _content_tags(tags: Column) -> Column:
@@ -172,21 +176,25 @@ def tag_malformed(cfg: Config) -> Column:
     return F.when(F.size(s) > 0, F.array(finding(F.array_distinct(s)))).otherwise(one_if(F.size(d) > 0, None, F.array_distinct(d)))
 
 
-def _lists_differ(pattern: str, clean: Callable[[Column], Column] = lambda c: c) -> Column:
-    s, d = F.transform(find_all(S(), pattern), clean), F.transform(find_all(D(), pattern), clean)
-    return one_if(~same_multiset(s, d), only_in(s, d), only_in(d, s))
+def _multisets(s: Column, d: Column) -> Column:
+    return let(s, lambda s: let(d, lambda d: one_if(~same_multiset(s, d), only_in(s, d), only_in(d, s))))
+
+
+def _lists_differ(pattern: str, needs: Callable[[Column], Column], clean: Callable[[Column], Column] = lambda c: c) -> Column:
+    tokens = lambda c: F.transform(found_if(needs(c), find_all(c, pattern)), clean)
+    return _multisets(tokens(S()), tokens(D()))
 
 
 def urls(cfg: Config) -> Column:
-    return _lists_differ(URL, lambda u: F.regexp_replace(u, "[.,;:!?)\\]}]+$", ""))
+    return _lists_differ(URL, lambda c: F.contains(c, F.lit("://")) | F.contains(F.lower(c), F.lit("www.")), lambda u: F.regexp_replace(u, "[.,;:!?)\\]}]+$", ""))
 
 
 def emails(cfg: Config) -> Column:
-    return _lists_differ(EMAIL)
+    return _lists_differ(EMAIL, lambda c: F.contains(c, F.lit("@")))
 
 
 def placeholders(cfg: Config) -> Column:
-    return _lists_differ(PLACEHOLDER)
+    return _lists_differ(PLACEHOLDER, lambda c: F.contains(c, F.lit("%")) | F.contains(c, F.lit("{")) | F.contains(c, F.lit("<")))
 
 
 def symbol_mismatch(cfg: Config) -> Column:
@@ -194,19 +202,21 @@ def symbol_mismatch(cfg: Config) -> Column:
     count = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
     signs = F.array(*[F.lit(c) for c in sorted(SYMBOLS[1:-1])])
     more = lambda a, b: F.filter(signs, lambda c: count(a, c) > count(b, c))
-    s, d = more(S(), D()), more(D(), S())
-    return one_if((F.size(s) > 0) | (F.size(d) > 0), F.slice(s, 1, 1), F.slice(d, 1, 1))
+    shown = lambda s, d: one_if((F.size(s) > 0) | (F.size(d) > 0), F.slice(s, 1, 1), F.slice(d, 1, 1))
+    # what else a text holds is no sign, and all 14 are looked for in what is left
+    only = lambda t: F.array_join(find_all(t, SYMBOLS), "")
+    return let(only(S()), lambda a: let(only(D()), lambda b: let(more(a, b), lambda s: let(more(b, a), lambda d: shown(s, d)))))
 
 
 def alphanum_ids(c: Column) -> Column:
     plain = F.translate(c, "‑‐   ", "--   ")
-    tokens = find_all(plain, "[A-Za-z0-9][A-Za-z0-9./_-]*[A-Za-z0-9]")
+    # a token without a digit is left at its first sign: the rest of it has none either
+    tokens = found_if(c.rlike("[0-9]"), find_all(plain, "(?<![A-Za-z0-9])(?=[A-Za-z./_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9./_-]*[A-Za-z0-9]"))
     return F.filter(tokens, lambda t: (F.length(t) >= 3) & t.rlike("[A-Za-z]") & t.rlike("[0-9]"))
 
 
 def alphanum_id_mismatch(cfg: Config) -> Column:
-    s, d = alphanum_ids(S()), alphanum_ids(D())
-    return one_if(~same_multiset(s, d), only_in(s, d), only_in(d, s))
+    return _multisets(alphanum_ids(S()), alphanum_ids(D()))
 
 
 def polarity_mismatch(cfg: Config) -> Column:
@@ -221,7 +231,7 @@ def polarity_mismatch(cfg: Config) -> Column:
 
 def repeated_punctuation(cfg: Config) -> Column:
     found = F.array_distinct(F.filter(find_all(D(), "\\.{2,}|!{2,}|\\?{2,}|,{2,}|;{2,}|:{2,}"), lambda r: r != "..."))
-    return one_if(F.size(found) > 0, None, found)
+    return let(found, lambda found: one_if(F.size(found) > 0, None, found))
 
 
 def final_punctuation_mismatch(cfg: Config) -> Column:
@@ -240,14 +250,12 @@ def first_letter_case(cfg: Config) -> Column:
 
 
 def camelcase_mismatch(cfg: Config) -> Column:
-    tokens = F.array_distinct(find_all(S(), f"(?<!{WORD})[A-Za-z]*[a-z][A-Z][A-Za-z]*(?!{WORD})"))
-    missing = F.filter(tokens, lambda t: ~F.contains(D(), t))
-    return one_if((D() != "") & (F.size(missing) > 0), missing)
+    tokens = found_if(S().rlike("[a-z][A-Z]"), F.array_distinct(find_all(S(), f"(?<!{WORD})[A-Za-z]*[a-z][A-Z][A-Za-z]*(?!{WORD})")))
+    return let(F.filter(tokens, lambda t: ~F.contains(D(), t)), lambda missing: one_if((D() != "") & (F.size(missing) > 0), missing))
 
 
 def double_spaces(cfg: Config) -> Column:
-    found = F.array_distinct(find_all(whole(F.col("target_display")), " {2,}"))
-    return one_if(F.size(found) > 0, None, found)
+    return let(F.array_distinct(find_all(whole(F.col("target_display")), " {2,}")), lambda found: one_if(F.size(found) > 0, None, found))
 
 
 def whitespace_edges(cfg: Config) -> Column:
