@@ -55,6 +55,8 @@ class Layers:
     token: str = TOKEN
     dictionary: Sequence[str] = ()
     whitelist: Sequence[str] = ()
+    #: Whether, without the safe layers, an address that holds a dictionary term goes as a whole; else the term alone does.
+    whole_addresses: bool = True
     #: Words in capitals that are no identifiers, and lists of first and last names (lower case).
     acronyms: Sequence[str] = ()
     first_names: Sequence[str] = ()
@@ -115,7 +117,7 @@ def without_terms(text: str, terms: Terms, token: str, addresses: bool) -> tuple
 def _with_dictionary(rows: DataFrame, text: str, count: str, layers: Layers) -> DataFrame:
     """The automaton goes to the tasks once, whatever its size: a dictionary is what a user keeps in a file."""
     sent = rows.sparkSession.sparkContext.broadcast(sorted({t.strip() for t in layers.dictionary if t.strip()}))
-    token, addresses = layers.token, not layers.safe
+    token, addresses = layers.token, layers.whole_addresses and not layers.safe
 
     @F.pandas_udf("struct<text:string,n:int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
